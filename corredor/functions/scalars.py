@@ -66,14 +66,13 @@ def title_case(value: Column) -> Column:
 
 
 def normalize_zone(value: Column) -> Column:
-    """One spelling per area; numbered zones from any of the operators' notations."""
-    text = F.trim(value)
-    numbered = F.lower(text).rlike(r"^(z|zona\s*|district\s*)[0-9]+$")
-    return (
-        F.when(value.isNull() | (text == ""), F.lit(UNKNOWN_ZONE))
-        .when(numbered, F.concat(F.lit("Zona "), F.regexp_replace(text, "[^0-9]", "")))
-        .otherwise(title_case(text))
-    )
+    """One spelling per area; numbered zones from any of the operators' notations.
+
+    The value flows through once, which keeps the generated code small.
+    """
+    text = F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(UNKNOWN_ZONE))
+    unified = F.regexp_replace(text, r"(?i)^(z|zona\s*|district\s*)([0-9]+)$", "zona $2")
+    return title_case(unified)
 
 
 def money(value: Column, default: str | None = None, divisor: int = 1, scale: int = 4) -> Column:

@@ -193,7 +193,7 @@ def prefix_sum(df: DataFrame, order: Sequence, cols: Mapping[str, str]) -> DataF
 def cumulative_by_score(df: DataFrame, score: str, cols: Mapping[str, str]) -> DataFrame:
     """Totals of ``cols`` (source -> result) over rows scoring at least as much; ties move together."""
     per_score = df.groupBy(score).agg(*[F.sum(src).alias(src) for src in cols])
-    return prefix_sum(per_score, [F.col(score).desc()], cols)
+    return prefix_sum(per_score, [F.col(score).desc()], cols).select(score, *cols.values())
 
 
 def rank_desc(df: DataFrame, col: str, name: str = "ranking") -> DataFrame:
