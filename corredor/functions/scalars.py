@@ -127,9 +127,12 @@ def md5_key(*parts: Column) -> Column:
 
 
 def ts_key(ts: Column) -> Column:
-    """Timestamp as a ``yyyyMMddHHmmss`` number (arithmetic, so no session zone is involved)."""
-    day = F.year(ts).cast("long") * 10_000 + F.month(ts) * 100 + F.day(ts)
-    return day * 1_000_000 + F.hour(ts) * 10_000 + F.minute(ts) * 100 + F.second(ts)
+    """Timestamp as a ``yyyyMMddHHmmss`` number.
+
+    Read from the ISO text, so no session zone is involved and the value is referenced once.
+    """
+    digits = F.translate(ts.cast("string"), "- :.", "")
+    return F.substring(digits, 1, 14).cast("long")
 
 
 def ts_from_key(key: Column) -> Column:

@@ -128,8 +128,42 @@ def profile(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 
 
 def medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Exact medians per group (value counts are merged, not the rows)."""
-    return df.groupBy(*keys).agg(*[F.median(F.col(c)).alias(f"mediana_{c}") for c in cols])
+    """Exact medians per group.
+
+    The built-in median gathers the distinct values of a group in one task. Here the counts per
+    value are laid out in total order, and the middle positions are read off running counts, so
+    a group may be of any size.
+    """
+    from corredor.operators.windows import prefix_sum
+
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])
+    )
+    group = [*keys, "_col"]
+    counts = (
+        df.select(*keys, pairs.alias("_p"))
+        .select(*keys, "_p._col", "_p._v")
+        .filter(F.col("_v").isNotNull())
+        .groupBy(*group, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    laid_out = prefix_sum(counts, [*group, "_v"], {"_n": "_upto"})
+    sizes = laid_out.groupBy(*[F.col(k).alias(f"_g_{k}") for k in group]).agg(
+        F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_size")
+    )
+    same_group = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in group]
+    low = F.col("_start") + F.floor((F.col("_size") - 1) / 2)
+    high = F.col("_start") + F.floor(F.col("_size") / 2)
+
+    def covers(position):
+        return (F.col("_upto") - F.col("_n") <= position) & (position < F.col("_upto"))
+
+    weight = covers(low).cast("int") + covers(high).cast("int")
+    middle = laid_out.join(sizes, same_group).withColumn("_w", weight).filter(F.col("_w") > 0)
+    found = middle.groupBy(*group).agg((F.sum(F.col("_v") * F.col("_w")) / 2).alias("_m"))
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_col") == c, F.col("_m"))).alias(f"mediana_{c}") for c in cols]
+    )
 
 
 def distinct_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:

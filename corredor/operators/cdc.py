@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corredor.functions.scalars import blank_to_null
-from corredor.operators.windows import ordered_context
+from corredor.operators.windows import HOT_ROWS, ordered_context
 
 # Key types and their patterns, and the operations of the change log.
 KEY_PATTERNS = {
@@ -80,7 +80,9 @@ def current_state(cdc: DataFrame, kind: str = "TRANSMETRO") -> DataFrame:
     )
 
 
-def scd2(cdc: DataFrame, kind: str = "TRANSMETRO", slot_width: int = SEQ_SLOT) -> DataFrame:
+def scd2(
+    cdc: DataFrame, kind: str = "TRANSMETRO", slot_width: int = SEQ_SLOT, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """One version per event, valid until the next event of the card.
 
     Attributes persist from the last event that set them. A card with a large share of the log
@@ -97,6 +99,7 @@ def scd2(cdc: DataFrame, kind: str = "TRANSMETRO", slot_width: int = SEQ_SLOT) -
             "perfil_usuario": _carried(events, "perfil"),
             "zona_vigente": _carried(events, "zona_residencia"),
         },
+        hot_rows=hot_rows,
     )
     return context.select(
         F.concat_ws(":", "tarjeta", F.col("seq").cast("string")).alias("version_id"),

@@ -1,9 +1,10 @@
 """Ordered operators that hold up when one key owns a large share of the rows.
 
-A window over ``partitionBy(key)`` puts a whole key into one task. Here each key is cut into
-slots of its order column (a day, a range of sequence numbers). The window runs inside the
-slot, and what must cross a slot border travels through a per-slot summary that has one row
-per key and slot. The rows are shuffled once, on (key, slot).
+A window over ``partitionBy(key)`` puts a whole key into one task. Here the keys that hold too
+large a share are found first; each of them is cut into slots of its order column (a minute, a
+range of sequence numbers). The window runs inside the slot, and what must cross a slot border
+travels through a summary with one row per hot key and slot. All other keys form one slot each.
+The rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from corredor.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
+HOT_ROWS = 1_000_000  # a key with fewer rows is never split
+HOT_SHARE = 20_000  # a hot key holds more than 1/20,000 of the rows, so there are fewer than that
 
 
 def named_window(keys: Sequence[str], order: Sequence) -> WindowSpec:
@@ -48,6 +51,22 @@ def _names(order: Sequence) -> list[str]:
     return [o for o in order if isinstance(o, str)]
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with at least ``hot_rows`` rows and more than ``1 / HOT_SHARE`` of all rows.
+
+    By the second condition there are fewer than ``HOT_SHARE`` of them, whatever the data: the
+    result may be broadcast.
+    """
+    from corredor.operators.joins import with_scalar
+
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    share = with_scalar(counts, total)
+    return share.filter(
+        (F.col("_n") >= hot_rows) & (F.col("_n") * HOT_SHARE > F.col("_total"))
+    ).select(*keys, F.lit(True).alias("_hot"))
+
+
 def ordered_context(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,6 +77,7 @@ def ordered_context(
     following: Sequence[str] = (),
     running_last: Mapping[str, Column] | None = None,
     running_max: Mapping[str, Column] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Neighbouring and running values per key (the engine of W04, W05 and W06).
 
@@ -93,9 +113,13 @@ def ordered_context(
         summary.append(F.max(value).alias(f"_t_{name}"))
         across[f"_c_{name}"] = F.max(f"_t_{name}").over(before)
 
-    slotted = df.withColumn("_slot", slot)
+    hot = F.broadcast(hot_keys(df.select(*keys), keys, hot_rows))
+    # only rows of hot keys get a slot; the NULL slot of a normal key never meets the summary
+    slotted = df.join(hot, list(keys), "left").withColumn("_slot", F.when(F.col("_hot"), slot))
     carry = (
-        slotted.groupBy(*keys, "_slot")
+        df.join(hot, list(keys))
+        .withColumn("_slot", slot)
+        .groupBy(*keys, "_slot")
         .agg(*summary)
         .withColumns(across)
         .select(*keys, "_slot", *across)
@@ -111,17 +135,19 @@ def ordered_context(
 
 
 def previous_event(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, cols: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, cols: Sequence[str],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Struct ``prev`` with the named columns of the row before, per key."""
-    return ordered_context(df, keys, order, slot, previous=cols)
+    return ordered_context(df, keys, order, slot, previous=cols, hot_rows=hot_rows)
 
 
 def next_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, cols: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, cols: Sequence[str],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Struct ``next`` with the named columns of the row after, per key."""
-    return ordered_context(df, keys, order, slot, following=cols)
+    return ordered_context(df, keys, order, slot, following=cols, hot_rows=hot_rows)
 
 
 def running_last(

@@ -1,8 +1,8 @@
 """Star schema and marts.
 
 Time keys are ``yyyyMMddHHmmss`` numbers, so marts read calendar attributes from the key itself
-instead of joining the facts with one dimension row per second. Pseudonyms are computed once
-per identity in the bridge, not once per event.
+instead of joining the facts with one dimension row per second. Identities and pseudonyms are
+functions of the key and are computed in place, so building a fact shuffles no events.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corredor.functions import scalars as fx
 from corredor.operators.joins import join_on, star_join, universe_left
 from corredor.operators.sets import union_all, union_distinct
-from corredor.operators.windows import previous_event
-from corredor.plans.silver import AM, GENERAL_SERVICE, MODE_SUFFIX, MR, TM, TU
+from corredor.operators.windows import HOT_ROWS, previous_event
+from corredor.plans.silver import AM, GENERAL_SERVICE, MODE_SUFFIX, MR, TM, TU, with_identity
 
 
 def dim_mode(points: DataFrame) -> DataFrame:
@@ -98,12 +98,6 @@ def dim_user(bridge: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _pseudonyms(bridge: DataFrame, key: str) -> DataFrame:
-    return bridge.select(
-        "sistema_origen", "llave_origen", fx.hmac_sha256(F.col("usuario_canonico_id"), key).alias("usuario_sk")
-    )
-
-
 # operator -> (key, point, service)
 _BOARDING = {
     TM: ("tarjeta_id", "estacion_id", "linea"),
@@ -113,75 +107,77 @@ _BOARDING = {
 
 
 def fact_boardings(
-    silver: Mapping[str, DataFrame], bridge: DataFrame, points: DataFrame, key: str
+    silver: Mapping[str, DataFrame], points: DataFrame, key: str, bridge: DataFrame | None = None
 ) -> DataFrame:
-    """One row per accepted boarding with a known identity and point."""
+    """One row per accepted boarding with a known identity and point.
+
+    Point and zone keys come from the (small) catalogue side, and the mode key is a constant of
+    each branch; only the event's own keys are hashed per row.
+    """
     events = union_all(
         [
             silver[op].select(
-                F.lit(op).alias("modo"),
-                F.col("bronze_record_id").alias("evento_id"),
+                F.lit(op).alias("fuente_evento"),
+                fx.md5_key(F.lit(op)).alias("modo_sk"),
+                F.col("bronze_record_id"),
                 F.col(card).alias("llave_origen"),
                 F.col(point).alias("codigo_punto"),
-                "fecha_hora",
-                F.col(service).alias("servicio"),
+                fx.ts_key(F.col("fecha_hora")).alias("tiempo_sk"),
+                fx.md5_key(F.lit(op), fx.blank_to(F.col(service), fx.SERVICE_FALLBACK)).alias("servicio_sk"),
                 "tarifa_quetzales",
             )
             for op, (card, point, service) in _BOARDING.items()
         ]
     )
-    known = join_on(
-        events,
-        _pseudonyms(bridge, key),
-        {"modo": "sistema_origen", "llave_origen": "llave_origen"},
-        {"usuario_sk": "usuario_sk"},
-    )
     placed = join_on(
-        known,
-        points,
-        {"modo": "modo", "codigo_punto": "codigo_punto"},
-        {"zona_conformada": "zona_conformada"},
+        with_identity(events, "fuente_evento", "llave_origen", bridge),
+        dim_point(points),
+        {"fuente_evento": "modo", "codigo_punto": "codigo_punto"},
+        {"zona_sk": "zona_sk", "punto_sk": "punto_sk"},
     )
-    mode = F.col("modo")
     return placed.select(
-        fx.md5_key(mode, F.col("evento_id")).alias("abordaje_sk"),
-        "usuario_sk",
-        fx.ts_key(F.col("fecha_hora")).alias("tiempo_sk"),
-        fx.md5_key(F.col("zona_conformada")).alias("zona_sk"),
-        fx.md5_key(mode, F.col("codigo_punto")).alias("punto_sk"),
-        fx.md5_key(mode).alias("modo_sk"),
-        fx.md5_key(mode, fx.blank_to(F.col("servicio"), fx.SERVICE_FALLBACK)).alias("servicio_sk"),
-        mode.alias("fuente_evento"),
+        fx.md5_key(F.col("fuente_evento"), F.col("bronze_record_id")).alias("abordaje_sk"),
+        fx.hmac_sha256(F.col("usuario_canonico_id"), key).alias("usuario_sk"),
+        "tiempo_sk",
+        "zona_sk",
+        "punto_sk",
+        "modo_sk",
+        "servicio_sk",
+        "fuente_evento",
         F.lit(1).alias("cantidad_abordajes"),
         "tarifa_quetzales",
-        F.col("evento_id").alias("bronze_record_id"),
+        "bronze_record_id",
     )
 
 
-def fact_trips(trips: DataFrame, bridge: DataFrame, points: DataFrame, key: str) -> DataFrame:
+def fact_trips(
+    trips: DataFrame, points: DataFrame, key: str, bridge: DataFrame | None = None
+) -> DataFrame:
     """One row per closed trip; the point catalogue plays the origin and destination roles."""
-    mine = _pseudonyms(bridge, key).filter(F.col("sistema_origen") == MR)
-    stations = points.filter(F.col("modo") == MR)
-    known = join_on(trips, mine, {"tarjeta_mr": "llave_origen"}, {"usuario_sk": "usuario_sk"})
+    stations = dim_point(points).filter(F.col("modo") == MR)
+    mode = F.lit(MR)
+    events = trips.withColumn("fuente_evento", mode)
+    known = with_identity(events, "fuente_evento", "tarjeta_mr", bridge)
     origin = join_on(
-        known, stations, {"origen_estacion_id": "codigo_punto"}, {"zona_conformada": "zona_origen"}
+        known, stations, {"origen_estacion_id": "codigo_punto"},
+        {"zona_sk": "zona_origen_sk", "punto_sk": "punto_origen_sk"},
     )
     both = join_on(
-        origin, stations, {"destino_estacion_id": "codigo_punto"}, {"zona_conformada": "zona_destino"}
+        origin, stations, {"destino_estacion_id": "codigo_punto"},
+        {"zona_sk": "zona_destino_sk", "punto_sk": "punto_destino_sk"},
     )
-    mode = F.lit(MR)
     return both.select(
         fx.md5_key(mode, F.col("bronze_record_id")).alias("viaje_sk"),
-        "usuario_sk",
+        fx.hmac_sha256(F.col("usuario_canonico_id"), key).alias("usuario_sk"),
         fx.ts_key(F.col("fecha_hora_ingreso")).alias("tiempo_ingreso_sk"),
         fx.ts_key(F.col("fecha_hora_salida")).alias("tiempo_salida_sk"),
-        fx.md5_key(F.col("zona_origen")).alias("zona_origen_sk"),
-        fx.md5_key(F.col("zona_destino")).alias("zona_destino_sk"),
-        fx.md5_key(mode, F.col("origen_estacion_id")).alias("punto_origen_sk"),
-        fx.md5_key(mode, F.col("destino_estacion_id")).alias("punto_destino_sk"),
+        "zona_origen_sk",
+        "zona_destino_sk",
+        "punto_origen_sk",
+        "punto_destino_sk",
         fx.md5_key(mode).alias("modo_sk"),
         fx.md5_key(mode, F.lit(GENERAL_SERVICE)).alias("servicio_sk"),
-        mode.alias("fuente_evento"),
+        "fuente_evento",
         F.lit(1).alias("cantidad_viajes"),
         "tarifa_quetzales",
         "duracion_minutos",
@@ -339,14 +335,15 @@ def user_events(
 EVENT_ORDER = ["fecha_hora", "modo", "bronze_record_id"]
 
 
-def transfers(events: DataFrame, max_gap_minutes: int = 90) -> DataFrame:
+def transfers(events: DataFrame, max_gap_minutes: int = 90, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Consecutive events of an identity in different modes, ``0 < gap <= max``.
 
-    Adjacency is decided over all events of the identity; a day is a slot, so an identity with
-    a large share of the events is spread over its days.
+    Adjacency is decided over all events of the identity. An identity with a large share of the
+    events is cut into minutes.
     """
     before = ["modo", "zona", "fecha_hora", "tarifa_quetzales", "bronze_record_id"]
-    seq = previous_event(events, ["usuario_sk"], EVENT_ORDER, F.col("fecha_hora").cast("date"), before)
+    minute = F.floor(fx.ts_key(F.col("fecha_hora")) / 100)
+    seq = previous_event(events, ["usuario_sk"], EVENT_ORDER, minute, before, hot_rows)
     prev, now = F.col("prev.fecha_hora"), F.col("fecha_hora")
     gap = F.make_dt_interval(mins=F.lit(max_gap_minutes))
     pairs = seq.filter(

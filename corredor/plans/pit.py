@@ -8,7 +8,7 @@ only if it was known before the limit of its window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -207,3 +207,40 @@ def card_features(
     )
 
 
+
+
+def future_rows(sources: Mapping[str, DataFrame], cut: datetime, days: int) -> dict[str, DataFrame]:
+    """Later rows for the invariance audit, derived from each source's own rows.
+
+    Every event source repeats its rows on each of the following days, the train also gets trips
+    that were open at the cut-off and closed after it, and every card of the history gets a
+    DELETE per day. None of them was known at the cut-off.
+    """
+    base = F.lit(str(cut)).cast("timestamp_ntz")
+    day = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    noon = base + F.make_dt_interval(days=F.col("_day"), hours=F.lit(12))
+    new_id = F.concat(F.lit("futuro:"), F.col("_day").cast("string"), F.lit(":"), F.col("bronze_record_id"))
+    added: dict[str, DataFrame] = {}
+    for name, df in sources.items():
+        if "fecha_hora_ingreso" in df.columns:
+            later = df.withColumn("_day", day).withColumns(
+                {"bronze_record_id": new_id, "fecha_hora_ingreso": noon,
+                 "fecha_hora_salida": noon + F.make_dt_interval(mins=F.lit(20))}
+            )
+            late_exit = df.withColumns(
+                {"bronze_record_id": F.concat(F.lit("cierre:"), "bronze_record_id"),
+                 "fecha_hora_ingreso": base - F.make_dt_interval(mins=F.lit(1)),
+                 "fecha_hora_salida": base + F.make_dt_interval(mins=F.lit(1))}
+            )
+            added[name] = later.drop("_day").unionByName(late_exit)
+        elif "fecha_hora" in df.columns:
+            later = df.withColumn("_day", day).withColumns({"bronze_record_id": new_id, "fecha_hora": noon})
+            added[name] = later.drop("_day")
+        elif "operacion" in df.columns:
+            later = df.withColumn("_day", day).withColumns(
+                {"operacion": F.lit("DELETE"), "valid_from": noon, "valid_to": F.lit(None).cast("timestamp_ntz")}
+            )
+            added[name] = later.drop("_day")
+        elif "id_registro_crudo" in df.columns:
+            added[name] = df.withColumn("id_registro_crudo", F.concat(F.lit("futuro:"), "id_registro_crudo"))
+    return added

@@ -277,9 +277,9 @@ def identity_bridge(silver: Mapping[str, DataFrame], processed_on: str | None =
     return out if processed_on is None else out.withColumn("fecha_proceso", F.lit(processed_on).cast("date"))
 
 
-def card_history(cdc: DataFrame, slot_width: int = 1_000_000) -> DataFrame:
+def card_history(cdc: DataFrame, **skew) -> DataFrame:
     """Type-2 history of the turnstile card registry."""
-    return scd2(cdc, slot_width=slot_width)
+    return scd2(cdc, **skew)
 
 
 # operator -> (key, event time, time of knowledge, point)
@@ -318,8 +318,36 @@ def last_instant(silver: Mapping[str, DataFrame]) -> DataFrame:
 USER_WINDOWS = (7, 30, 90)
 
 
+def with_identity(events: DataFrame, operator: str, key: str, bridge: DataFrame | None) -> DataFrame:
+    """Identity columns of each event.
+
+    The bridge is a pure function of (operator, key), so by default the identity is computed
+    in place and the events are not shuffled for it. A curated bridge is joined instead.
+    """
+    if bridge is None:
+        isolated = F.col(operator) == AM
+        return events.filter(F.col(key).isNotNull()).withColumns(
+            {
+                "usuario_canonico_id": fx.canonical_id(F.col(operator), F.col(key)),
+                "metodo_match": F.when(isolated, "HASH_AISLADO").otherwise("PATRON_NUMERICO_INFERIDO"),
+                "nivel_confianza": F.when(isolated, "ALTO_LOCAL").otherwise("INFERENCIA_ACADEMICA_MEDIA"),
+            }
+        )
+    who = bridge.select(
+        F.col("sistema_origen").alias(operator),
+        F.col("llave_origen").alias(key),
+        "usuario_canonico_id",
+        "metodo_match",
+        "nivel_confianza",
+    )
+    return events.join(who, [operator, key], "inner")
+
+
 def user_features(
-    silver: Mapping[str, DataFrame], bridge: DataFrame, points: DataFrame, cut: str | None = None
+    silver: Mapping[str, DataFrame],
+    points: DataFrame,
+    cut: str | None = None,
+    bridge: DataFrame | None = None,
 ) -> DataFrame:
     """One row per identity at the cut-off; windows are ``(cut - N days, cut]``.
 
@@ -335,13 +363,6 @@ def user_features(
         (F.col("fecha_uso") <= F.col("fecha_corte"))
         & (F.col("disponible_desde") <= F.col("fecha_corte"))
     )
-    who = bridge.select(
-        F.col("sistema_origen").alias("operador"),
-        F.col("llave_origen").alias("llave_operacional"),
-        "usuario_canonico_id",
-        "metodo_match",
-        "nivel_confianza",
-    )
     where = points.select(
         F.col("modo").alias("operador"),
         F.col("codigo_punto").alias("punto_origen"),
@@ -349,7 +370,7 @@ def user_features(
     )
     used = F.col("fecha_uso")
     located = (
-        events.join(who, ["operador", "llave_operacional"], "inner")
+        with_identity(events, "operador", "llave_operacional", bridge)
         .join(where, ["operador", "punto_origen"], "left")
         .withColumn("zona", F.coalesce("_zona", F.lit(fx.ZONE_FALLBACK)))
     )

@@ -265,7 +265,7 @@ class Warehouse:
 
     @cached_property
     def history(self) -> DataFrame:
-        return silver.card_history(self.cdc, slot_width=1_000)
+        return silver.card_history(self.cdc)
 
     @cached_property
     def uses(self) -> DataFrame:
@@ -273,7 +273,7 @@ class Warehouse:
 
     @cached_property
     def user_features(self) -> DataFrame:
-        return silver.user_features(self.silver, self.bridge, self.points)
+        return silver.user_features(self.silver, self.points)
 
     # ---- point in time -------------------------------------------------------------------
     @property
@@ -311,11 +311,11 @@ class Warehouse:
 
     @cached_property
     def boardings(self) -> DataFrame:
-        return gold.fact_boardings(self.silver, self.bridge, self.points, KEY)
+        return gold.fact_boardings(self.silver, self.points, KEY)
 
     @cached_property
     def trips(self) -> DataFrame:
-        return gold.fact_trips(self.silver[MR], self.bridge, self.points, KEY)
+        return gold.fact_trips(self.silver[MR], self.points, KEY)
 
     @cached_property
     def demand(self) -> DataFrame:

@@ -9,7 +9,7 @@ from corredor.operators import aggregates, cdc, joins, ranking, sets, windows
 from corredor.plans import silver
 from corredor.plans.silver import MR, TM, TU
 from corredor.queries.bindings import CUTS, HORIZON, KEY, Warehouse
-from corredor.queries.oracle import _hmac, _key, peak, ts
+from corredor.queries.oracle import _half_up, _hmac, _key, peak, ts
 from corredor.queries.registry import query
 
 c = F.col
@@ -514,7 +514,7 @@ def a04(w: Warehouse):
 
 @query(
     "A05_money_sums",
-    """SELECT l_suppkey, CAST(sum(x) AS DOUBLE) AS total, CAST(round(sum(x) / count(x), 2) AS DOUBLE) AS promedio FROM
+    f"""SELECT l_suppkey, CAST(sum(x) AS DOUBLE) AS total, {_half_up('sum(x)', 100, 'count(x)')} AS promedio FROM
        (SELECT l_suppkey, CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(18,2)) AS x FROM lineitem) GROUP BY 1""",
 )
 def a05(w: Warehouse):
@@ -693,7 +693,7 @@ def _day_slot():
         CAST(lag(v) OVER w AS DOUBLE) AS p_v FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))""",
 )
 def w04(w: Warehouse):
-    seq = windows.previous_event(w.events, ["user_id"], ["t", "event_id"], _day_slot(), ["event_type", "t", "v"])
+    seq = windows.previous_event(w.events, ["user_id"], ["t", "event_id"], _day_slot(), ["event_type", "t", "v"], 65)
     return seq.select(
         "event_id", c("prev.event_type").alias("p_tipo"), c("prev.t").alias("p_t"), c("prev.v").alias("p_v")
     )
@@ -705,7 +705,7 @@ def w04(w: Warehouse):
         WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))""",
 )
 def w05(w: Warehouse):
-    seq = windows.next_value(w.events, ["user_id"], ["t", "event_id"], _day_slot(), ["t", "event_id"])
+    seq = windows.next_value(w.events, ["user_id"], ["t", "event_id"], _day_slot(), ["t", "event_id"], 65)
     return seq.select("event_id", c("next.t").alias("n_t"), c("next.event_id").alias("n_id"))
 
 
@@ -719,7 +719,7 @@ def w06(w: Warehouse):
     bought = F.when(c("event_type") == "purchase", c("v"))
     out = windows.ordered_context(
         w.events, ["user_id"], ["t", "event_id"], _day_slot(),
-        running_last={"ultima": bought}, running_max={"mayor": bought},
+        running_last={"ultima": bought}, running_max={"mayor": bought}, hot_rows=65,
     )
     return out.select("event_id", "ultima", "mayor")
 
@@ -770,17 +770,17 @@ def w10(w: Warehouse):
 
 @query(
     "W11_named_window",
-    """SELECT conv_id, turn, row_number() OVER w AS orden, lag(role) OVER w AS rol_anterior FROM conversations
+    """SELECT conv_id, turn, lag(role) OVER w AS rol_anterior, lead(role) OVER w AS rol_siguiente FROM conversations
        WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def w11(w: Warehouse):
-    # a turn's position is its rank among earlier turns; the slot keeps long conversations apart
-    spec = windows.named_window(["conv_id"], ["turn"])
-    return w.table("conversations").select(
-        "conv_id",
-        "turn",
-        F.row_number().over(spec).alias("orden"),
-        F.lag("role").over(spec).alias("rol_anterior"),
+    # both neighbours share one window specification and one sort
+    turns = w.table("conversations").select("conv_id", "turn", "role")
+    both = windows.ordered_context(
+        turns, ["conv_id"], ["turn"], F.floor(c("turn") / 2), previous=["role"], following=["role"], hot_rows=3
+    )
+    return both.select(
+        "conv_id", "turn", c("prev.role").alias("rol_anterior"), c("next.role").alias("rol_siguiente")
     )
 
 
@@ -901,7 +901,7 @@ def c03(w: Warehouse):
         zona AS zona_residencia FROM scd""",
 )
 def c04(w: Warehouse):
-    return cdc.scd2(w.cdc, slot_width=1_000)
+    return cdc.scd2(w.cdc, slot_width=500, hot_rows=50)
 
 
 @query("C05_current_version", "SELECT tarjeta || ':' || seq AS version_id, op AS operacion FROM scd WHERE seq2 IS NULL")

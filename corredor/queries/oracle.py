@@ -34,6 +34,12 @@ def _key(ts: str) -> str:
     return f"CAST(strftime({ts}, '%Y%m%d%H%M%S') AS BIGINT)"
 
 
+def _half_up(total: str, unit: int, n: str) -> str:
+    """Mean rounded half up to cents in whole numbers; ``unit`` is the scale factor of the total."""
+    scaled = f"CAST(({total}) * {unit} AS BIGINT)"
+    return f"((200 * {scaled} + {unit} * {n}) // (2 * {unit} * {n})) / 100.0"
+
+
 def area(index: str) -> str:
     return f"({_AREA_LIST})[CAST({index} % 14 + 1 AS BIGINT)]"
 
