@@ -193,6 +193,17 @@ def json_payload(*cols: Column) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
+def is_json(text: Column) -> Column:
+    """The whole text is one JSON value.
+
+    The parser stops after the first value, so the text is tried as an array element and as an
+    object member: whatever trails it breaks at least one of the two.
+    """
+    as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return as_element.isNotNull() & as_member.isNotNull()
+
+
 def label(value: Column, mapping: Mapping[object, str], default: str | None = None) -> Column:
     """Fixed code-to-label mapping."""
     chain = reduce(
