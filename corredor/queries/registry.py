@@ -45,4 +45,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from corredor.queries import assertions, core, ingestion, models, streams  # noqa: F401
+    from corredor.queries import assertions, core, decisions, ingestion, models, streams  # noqa: F401
