@@ -90,8 +90,14 @@ def main() -> None:
         "D11_threshold_table": lambda: evaluation.threshold_table(events),
         "Q_all_assertions": lambda: quality.summary(pipeline.checks(t, s)),
     }
+    # the published latencies are warm medians; so are these
     for name, make in queries.items():
-        timed(name, lambda make=make: drain(make()))
+        runs = []
+        for _ in range(3):
+            start = time.perf_counter()
+            drain(make())
+            runs.append(time.perf_counter() - start)
+        times[name] = round(sorted(runs)[1], 3)
     line = {
         "metric": "transit_pipeline_total",
         "value": round(sum(times.values()), 3),

@@ -218,18 +218,31 @@ def choose_model(metrics: DataFrame) -> DataFrame:
     return chosen.select("modelo", "mejor_logistica", F.col("ganancia").alias("delta_auc_vs_logistica"))
 
 
+def stratified_sample(df: DataFrame, label: str, n: int, order: Sequence[str]) -> DataFrame:
+    """First rows per class in the given total order, in proportion, ``n`` in all (or every row)."""
+    numbered = number_rows(df, [label, *order], "_i")
+    classes = numbered.groupBy(label).agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias("_size"))
+    from corredor.operators.joins import with_scalar
+
+    sized = with_scalar(classes, classes.agg(F.sum("_size").alias("_all")))
+    quota = F.least(F.col("_size"), F.round(F.lit(n) * F.col("_size") / F.col("_all")).cast("long"))
+    limits = sized.select(label, "_from", quota.alias("_quota"))
+    # two classes: the limits are a two-row relation
+    return numbered.join(F.broadcast(limits), label).filter(F.col("_i") - F.col("_from") < F.col("_quota")).select(*df.columns)
+
+
 def permutation_importance(
     model: PipelineModel, df: DataFrame, n: int = 4000, repeats: int = 5, seed: int = SEED, label: str = "etiqueta",
     predictors: Sequence[str] = (*NUMERIC, "operador"),
 ) -> DataFrame:
-    """Mean AUC drop when one predictor is shuffled, on a sample of at most ``n`` units.
+    """Mean AUC drop when one predictor is shuffled, on a stratified sample of about ``n`` units.
 
     The sample is numbered in seeded random order; for each predictor and repeat a row takes the
     value of the row a seeded distance away. All shuffles are scored in one pass.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "unidad_id")))
-    sample = hashed.orderBy("_h").limit(n)
-    placed = number_rows(sample.select("unidad_id", label, "_h", *predictors), ["_h", "unidad_id"], "_pos")
+    sample = stratified_sample(hashed.select("unidad_id", label, "_h", *predictors), label, n, ["_h", "unidad_id"])
+    placed = number_rows(sample, ["_h", "unidad_id"], "_pos")
     size = placed.agg(F.count(F.lit(1)).alias("_size"))
     from corredor.operators.joins import with_scalar
 

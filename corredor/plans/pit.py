@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corredor.functions import scalars as fx
 from corredor.operators.cdc import exclude_deleted
 from corredor.operators.joins import range_join
+from corredor.operators.ranking import head_sample
 from corredor.plans.silver import AM
 
 Cuts = Sequence[tuple[str, datetime]]
@@ -156,34 +157,27 @@ def card_features(
 ) -> DataFrame:
     """Ten features per card and cut-off; operators are never linked.
 
-    Uses are reduced to (card, cut-off, day, point) before the distinct counts.
+    Active days are bits of one number (the window is a few weeks), which leaves a single
+    distinct count: uses are reduced per (card, cut-off, point) and then per (card, cut-off).
     """
     longest, *shorter = windows
+    if longest > 61:
+        raise ValueError("the day mask holds windows of up to 61 days")
     cut, used = F.col("fecha_corte"), F.col("fecha_uso")
     spread = range_join(
         _span(uses, cuts, longest, 0), fx.cut_array(cuts), lambda c: _prior(c["fecha_corte"], longest)
     )
-    daily = spread.groupBy(
-        "corte", "fecha_corte", *UNIT, "punto_origen", used.cast("date").alias("dia")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(used >= cut - _days(w)).alias(f"n_{w}") for w in shorter],
-        F.max(used).alias("ultimo"),
-        F.sum("tarifa_quetzales").alias("gasto"),
-        F.count("tarifa_quetzales").alias("con_tarifa"),
-        F.count_if(fx.is_peak(used)).alias("pico"),
-        F.count_if(fx.iso_dow(used) >= 6).alias("finde"),
-    )
-    unit = daily.groupBy("corte", "fecha_corte", *UNIT).agg(
-        F.sum("n").alias(f"viajes_{longest}d"),
-        *[F.sum(f"n_{w}").alias(f"viajes_{w}d") for w in shorter],
-        F.countDistinct("dia").alias(f"dias_activos_{longest}d"),
+    day_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.datediff(cut, used))
+    unit = spread.groupBy("corte", "fecha_corte", *UNIT).agg(
+        F.count(F.lit(1)).alias(f"viajes_{longest}d"),
+        *[F.count_if(used >= cut - _days(w)).alias(f"viajes_{w}d") for w in shorter],
+        F.bit_count(F.bit_or(day_bit)).cast("long").alias(f"dias_activos_{longest}d"),
         F.countDistinct("punto_origen").alias(f"puntos_origen_{longest}d"),
-        F.max("ultimo").alias("_ultimo"),
-        F.sum("gasto").alias(f"gasto_{longest}d_gtq"),
-        F.sum("con_tarifa").alias("_con_tarifa"),
-        F.sum("pico").alias("_pico"),
-        F.sum("finde").alias("_finde"),
+        F.max(used).alias("_ultimo"),
+        F.sum("tarifa_quetzales").alias(f"gasto_{longest}d_gtq"),
+        F.count("tarifa_quetzales").alias("_con_tarifa"),
+        F.count_if(fx.is_peak(used)).alias("_pico"),
+        F.count_if(fx.iso_dow(used) >= 6).alias("_finde"),
     )
     total = F.col(f"viajes_{longest}d")
     return (
@@ -209,38 +203,49 @@ def card_features(
 
 
 
-def future_rows(sources: Mapping[str, DataFrame], cut: datetime, days: int) -> dict[str, DataFrame]:
-    """Later rows for the invariance audit, derived from each source's own rows.
+def future_rows(
+    sources: Mapping[str, DataFrame], cut: datetime, days: int, sample: int = 100
+) -> dict[str, DataFrame]:
+    """Later rows for the invariance audit, made from the first rows of each source.
 
-    Every event source repeats its rows on each of the following days, the train also gets trips
-    that were open at the cut-off and closed after it, and every card of the history gets a
-    DELETE per day. None of them was known at the cut-off.
+    The sampled rows of an event source recur on each of the following days, the train also gets
+    trips that were open at the cut-off and closed after it, and the sampled cards of the history
+    get a DELETE per day. None of them was known at the cut-off.
     """
     base = F.lit(str(cut)).cast("timestamp_ntz")
     day = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
     noon = base + F.make_dt_interval(days=F.col("_day"), hours=F.lit(12))
-    new_id = F.concat(F.lit("futuro:"), F.col("_day").cast("string"), F.lit(":"), F.col("bronze_record_id"))
+    minute = F.make_dt_interval(mins=F.lit(1))
+
+    def prefixed(name, *parts):
+        return F.concat(F.lit(name), *parts, F.col("bronze_record_id"))
+
+    new_id = prefixed("futuro:", F.col("_day").cast("string"), F.lit(":"))
     added: dict[str, DataFrame] = {}
     for name, df in sources.items():
-        if "fecha_hora_ingreso" in df.columns:
-            later = df.withColumn("_day", day).withColumns(
-                {"bronze_record_id": new_id, "fecha_hora_ingreso": noon,
-                 "fecha_hora_salida": noon + F.make_dt_interval(mins=F.lit(20))}
-            )
-            late_exit = df.withColumns(
-                {"bronze_record_id": F.concat(F.lit("cierre:"), "bronze_record_id"),
-                 "fecha_hora_ingreso": base - F.make_dt_interval(mins=F.lit(1)),
-                 "fecha_hora_salida": base + F.make_dt_interval(mins=F.lit(1))}
-            )
-            added[name] = later.drop("_day").unionByName(late_exit)
-        elif "fecha_hora" in df.columns:
-            later = df.withColumn("_day", day).withColumns({"bronze_record_id": new_id, "fecha_hora": noon})
-            added[name] = later.drop("_day")
-        elif "operacion" in df.columns:
-            later = df.withColumn("_day", day).withColumns(
-                {"operacion": F.lit("DELETE"), "valid_from": noon, "valid_to": F.lit(None).cast("timestamp_ntz")}
-            )
-            added[name] = later.drop("_day")
-        elif "id_registro_crudo" in df.columns:
-            added[name] = df.withColumn("id_registro_crudo", F.concat(F.lit("futuro:"), "id_registro_crudo"))
+        columns = set(df.columns)
+        if "bronze_record_id" in columns:
+            first = head_sample(df, ["bronze_record_id"], sample)
+            moved = {"bronze_record_id": new_id}
+            if "fecha_hora_ingreso" in columns:
+                moved.update({"fecha_hora_ingreso": noon, "fecha_hora_salida": noon + F.make_dt_interval(mins=F.lit(20))})
+            else:
+                moved["fecha_hora"] = noon
+            added[name] = first.withColumn("_day", day).withColumns(moved).drop("_day")
+            if "fecha_hora_ingreso" in columns:
+                open_trip = first.withColumns(
+                    {
+                        "bronze_record_id": prefixed("cierre:"),
+                        "fecha_hora_ingreso": base - minute,
+                        "fecha_hora_salida": base + minute,
+                    }
+                )
+                added[name] = added[name].unionByName(open_trip)
+        elif "operacion" in columns:
+            first = head_sample(df, ["tarjeta_id", "valid_from"], sample)
+            closed = {"operacion": F.lit("DELETE"), "valid_from": noon}
+            added[name] = first.withColumn("_day", day).withColumns(closed).drop("_day")
+        elif "id_registro_crudo" in columns:
+            first = head_sample(df, ["fuente", "id_registro_crudo"], sample)
+            added[name] = first.withColumn("id_registro_crudo", F.concat(F.lit("futuro:"), "id_registro_crudo"))
     return added

@@ -165,3 +165,11 @@ def test_oof_contract(spark, matrix):
     assert evaluation.validate_oof(good, 3, 1).count() == 0
     bad = good.withColumn("probabilidad_abandono", F.when(F.col("unidad_id") == "u001", F.lit(float("nan"))).otherwise(F.lit(0.5)))
     assert [tuple(r) for r in evaluation.validate_oof(bad, 3, 1).collect()] == [("u001", "probabilidad")]
+
+
+def test_stratified_sample_keeps_the_share(spark):
+    df = scored(spark, [(0.0, int(i % 5 == 0)) for i in range(100)])
+    picked = models.stratified_sample(df, "etiqueta", 20, ["unidad_id"])
+    counts = {r["etiqueta"]: r["count"] for r in picked.groupBy("etiqueta").count().collect()}
+    assert counts == {0: 16, 1: 4}
+    assert models.stratified_sample(df, "etiqueta", 500, ["unidad_id"]).count() == 100
