@@ -151,6 +151,13 @@ def ts_from_key(key: Column) -> Column:
     )
 
 
+def date_from_key(day: Column) -> Column:
+    """Date of a ``yyyyMMdd`` number."""
+    return F.make_date(
+        F.floor(day / 10_000).cast("int"), (F.floor(day / 100) % 100).cast("int"), (day % 100).cast("int")
+    )
+
+
 def iso_dow(ts: Column) -> Column:
     return F.weekday(ts) + 1
 

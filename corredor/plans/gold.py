@@ -213,12 +213,16 @@ def demand_hour(
             "modo_sk": modes.select("modo_sk", F.col("nombre_modo").alias("modo")),
         },
     )
-    start = fx.ts_from_key(F.col("_hora_sk") * 10_000)
-    return labelled.withColumn("_t", start).select(
-        F.col("_t").cast("date").alias("fecha"),
-        F.hour("_t").alias("hora"),
-        fx.is_business_day(F.col("_t")).alias("es_dia_habil"),
-        fx.is_peak(F.col("_t")).alias("es_hora_pico"),
+    # the key yields date and hour directly, which keeps pushed-down filters short
+    day = fx.date_from_key(F.floor(F.col("_hora_sk") / 100))
+    hour = (F.col("_hora_sk") % 100).cast("int")
+    dated = labelled.withColumns({"fecha": day, "hora": hour})
+    business = fx.is_business_day(F.col("fecha"))
+    return dated.select(
+        "fecha",
+        "hora",
+        business.alias("es_dia_habil"),
+        (business & F.col("hora").isin(*fx.PEAK_HOURS)).alias("es_hora_pico"),
         "modo",
         "zona",
         "tipo_evento",

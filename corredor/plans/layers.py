@@ -18,7 +18,7 @@ from corredor.operators import quality
 from corredor.plans import gold, pit, silver, views
 from corredor.plans.silver import AM, HORIZON, MR, TM, TU
 
-# Staging relations the pipeline starts from.
+# Staging relations the build starts from.
 STAGING = (
     "transmetro_validaciones", "transurbano_transacciones", "metroriel_viajes", "aerometro_boardings",
     "tm_estaciones", "tu_paradas", "mr_estaciones", "am_estaciones", "cdc_registro_ambiguo",

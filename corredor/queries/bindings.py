@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corredor.functions import scalars as fx
 from corredor.operators.cdc import type_cdc
-from corredor.plans import gold, pipeline, pit, silver, views
+from corredor.plans import gold, layers, pit, silver, views
 from corredor.plans.silver import AM, MR, TM, TU
 
 HORIZON = "2024-02-15 00:00:00"
@@ -237,16 +237,16 @@ class Warehouse:
 
     @property
     def staging(self) -> dict[str, DataFrame]:
-        """The staging relations by the names the pipeline expects."""
+        """The staging relations by the names the layer build expects."""
         sources = (
             self.tm_validations, self.tu_transactions_raw, self.mr_trips_raw, self.am_boardings_raw,
             self.tm_stations, self.tu_stops, self.mr_stations, self.am_stations, self.cdc_raw,
         )
-        return dict(zip(pipeline.STAGING, sources, strict=True))
+        return dict(zip(layers.STAGING, sources, strict=True))
 
     @property
-    def settings(self) -> pipeline.Settings:
-        return pipeline.Settings(
+    def settings(self) -> layers.Settings:
+        return layers.Settings(
             key=KEY, detected_at=DETECTED, processed_on="2024-03-01", cuts=self.cuts, horizon=HORIZON, label_days=LABEL_DAYS
         )
 

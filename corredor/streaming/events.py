@@ -103,14 +103,15 @@ def split_valid(messages: DataFrame, consumed_at: str) -> tuple[DataFrame, DataF
     return good, bad
 
 
-def dedup_events(events: DataFrame, horizon: str | None = None, time_column: str | None = None) -> DataFrame:
+def dedup_events(events: DataFrame, horizon: str | None = None, time_column: str = "_published_at") -> DataFrame:
     """First message per ``_event_id``; equal business rows with other ids are all kept.
 
-    The state covers the whole history, as ids may be replayed at any time. With ``horizon``
-    the state is bounded by a watermark on ``time_column``.
+    The state covers the whole history, as ids may be replayed at any time. Where replays are
+    known to be recent, ``horizon`` bounds the state by a watermark on ``time_column``.
     """
     if horizon:
-        return events.withWatermark(time_column, horizon).dropDuplicatesWithinWatermark(["_event_id"])
+        timed = events.withColumn("_event_time", F.to_timestamp(time_column)).withWatermark("_event_time", horizon)
+        return timed.dropDuplicatesWithinWatermark(["_event_id"]).drop("_event_time")
     return events.dropDuplicates(["_event_id"])
 
 
@@ -143,12 +144,13 @@ def consume(
     consumed_at: str,
     max_per_batch: int | None = None,
     fmt: str = "text",
+    horizon: str | None = None,
     **options: str,
 ):
     """Drain a source into Bronze and its dead letters; returns the two queries."""
     messages = event_stream(spark, source, fmt, max_per_batch, **options)
     good, bad = split_valid(messages, consumed_at)
-    main = write_stream(dedup_events(good), bronze, f"{checkpoint}/bronze")
+    main = write_stream(dedup_events(good, horizon), bronze, f"{checkpoint}/bronze")
     dead = write_stream(bad, rejected, f"{checkpoint}/rejected")
     return main, dead
 

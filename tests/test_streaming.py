@@ -47,3 +47,13 @@ def test_ids_are_deterministic(spark):
     b = messages(spark, [("f", 1, "other", 9.0)]).head()["key"]
     c = messages(spark, [("g", 1, "c", 1.0)]).head()["key"]
     assert a == b != c
+
+
+def test_bounded_state_drops_recent_replays(spark, tmp_path):
+    base = str(tmp_path)
+    rows = messages(spark, [("f", 1, "c", 1.0), ("f", 2, "c", 1.0)])
+    st.publish(rows.unionByName(rows), f"{base}/topic")
+    st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, horizon="7 days")
+    st.publish(rows, f"{base}/topic")
+    st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, horizon="7 days")
+    assert spark.read.parquet(f"{base}/bronze").count() == 2

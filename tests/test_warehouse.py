@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corredor.operators import quality
 from corredor.operators.sets import symmetric_diff
-from corredor.plans import gold, pipeline, silver, views
+from corredor.plans import gold, layers, silver, views
 from corredor.queries.bindings import Warehouse
 
 SF = "/root/testdata/sf0.001"
@@ -108,12 +108,12 @@ def test_derived_and_joined_identities_agree(spark):
     assert symmetric_diff(a, b).count() == 0
 
 
-def test_pipeline_passes_its_checks_and_repeats_itself(spark, tmp_path):
+def test_layers_pass_its_checks_and_repeats_itself(spark, tmp_path):
     w = Warehouse(spark, SF)
-    first = pipeline.run(w.staging, str(tmp_path / "a"), w.settings)
-    failed = [r["prueba"] for r in quality.summary(pipeline.checks(first, w.settings)).collect() if r["violaciones"]]
+    first = layers.run(w.staging, str(tmp_path / "a"), w.settings)
+    failed = [r["prueba"] for r in quality.summary(layers.checks(first, w.settings)).collect() if r["violaciones"]]
     assert failed == []
-    second = pipeline.run({n: df.repartition(5) for n, df in w.staging.items()}, str(tmp_path / "b"), w.settings)
+    second = layers.run({n: df.repartition(5) for n, df in w.staging.items()}, str(tmp_path / "b"), w.settings)
     same = [n for n in first.tables if n.startswith(("silver.", "gold."))]
     assert quality.runs_equal({n: first[n] for n in same}, {n: second[n] for n in same}).count() == 0
     abc = [
