@@ -115,6 +115,8 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
     """
     spark = df.sparkSession
     scored, converged = [], []
+    sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
+    total = sum(sizes.values())
     keep = ["unidad_id", "fold", F.col(label).alias("etiqueta"), "puntaje"]
     for spec in specs:
         for fold in range(k):
@@ -128,7 +130,7 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
                 sides = {s: d.withColumn("puntaje", rate.scalar()) for s, d in
                          (("entrenamiento", train), ("validacion", valid))}
             else:
-                model = build(spark, spec, train.count(), label).fit(train)
+                model = build(spark, spec, total - sizes[fold], label).fit(train)
                 if spec.family == "logistic":
                     last = model.stages[-1]
                     finished = last.summary.totalIterations < last.getMaxIter()

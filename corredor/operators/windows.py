@@ -37,18 +37,24 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame
 
 
 def later_duplicates(
-    df: DataFrame, keys: Sequence[str], order: Sequence, row_id: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], row_id: str
 ) -> DataFrame:
     """The rows :func:`keep_first` drops; ``row_id`` identifies a row and ends the order.
 
-    The anti join runs on the unique row id, so it is spread evenly whatever the keys do.
+    Keys are first reduced to the repeated ones with their first row, an aggregation with partial
+    results. Joined with that short list, a hot key may be split by adaptive execution.
     """
-    winners = keep_first(df.select(*dict.fromkeys([*keys, *_names(order), row_id])), keys, order)
-    return df.join(winners.select(row_id), row_id, "left_anti")
-
-
-def _names(order: Sequence) -> list[str]:
-    return [o for o in order if isinstance(o, str)]
+    repeated = (
+        df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        .agg(F.count(F.lit(1)).alias("_n"), F.min_by(row_id, F.struct(*order)).alias("_first"))
+        .filter(F.col("_n") > 1)
+    )
+    same_key = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return (
+        df.join(repeated, same_key)
+        .filter(F.col(row_id) != F.col("_first"))
+        .select(*df.columns)
+    )
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -88,9 +88,11 @@ def build_silver(staging: Mapping[str, DataFrame], base: str, s: Settings) -> Ta
 
 
 def build_point_in_time(t: Tables, s: Settings) -> Tables:
-    """Population, cost and features of cards at the cut-offs; uses stay a view."""
-    uses = silver.card_uses(t.silver(), t["silver.cuarentena"])
-    t.tables["silver.p2_usos_tarjeta"] = uses
+    """Population, cost and features of cards at the cut-offs.
+
+    Uses are written once: three models read them, and each reading would repeat the anti join.
+    """
+    uses = t.store("silver", "p2_usos_tarjeta", silver.card_uses(t.silver(), t["silver.cuarentena"]))
     pop = t.store(
         "silver", "p2_poblacion_tarjeta",
         pit.card_population(uses, t["silver.padron_transmetro_scd2"], s.cuts, label_days=s.label_days),

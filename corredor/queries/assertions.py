@@ -25,7 +25,7 @@ def q01(w: Warehouse):
     return quality.not_null(w.tu_transactions_raw, "cod_parada").select("bronze_record_id")
 
 
-@query("Q02_unique", "SELECT l_orderkey, l_linenumber, count(*) AS filas FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("Q02_unique", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS filas FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def q02(w: Warehouse):
     return quality.unique(w.table("lineitem"), ["l_orderkey", "l_linenumber"])
 

@@ -154,7 +154,7 @@ def p11(w: Warehouse):
 
 @query(
     "P12_json_payload",
-    "SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_name': c_name, 'segmento': nullif(c_mktsegment, 'BUILDING')}) AS payload FROM customer",
+    "SELECT c_custkey, CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'segmento': nullif(c_mktsegment, 'BUILDING')}) AS VARCHAR) AS payload FROM customer",
 )
 def p12(w: Warehouse):
     segment = F.nullif(c("c_mktsegment"), F.lit("BUILDING")).alias("segmento")
@@ -336,7 +336,7 @@ def j03(w: Warehouse):
 
 @query(
     "J04_universe_left",
-    """SELECT n_nationkey, n_name, count(s_suppkey) AS proveedores FROM nation
+    """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, count(s_suppkey) AS proveedores FROM nation
        LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL""",
 )
 def j04(w: Warehouse):
@@ -437,7 +437,7 @@ def j11(w: Warehouse):
 
 @query(
     "J12_join_using",
-    """SELECT nk AS n_nationkey, clientes, proveedores FROM
+    """SELECT CAST(nk AS BIGINT) AS n_nationkey, clientes, proveedores FROM
        (SELECT c_nationkey AS nk, count(*) AS clientes FROM customer GROUP BY 1) JOIN
        (SELECT s_nationkey AS nk, count(*) AS proveedores FROM supplier GROUP BY 1) USING (nk)""",
 )
@@ -463,7 +463,7 @@ def j13(w: Warehouse):
 
 @query(
     "J14_count_flagged",
-    """SELECT c_nationkey, count(*) AS total, count(CASE WHEN c_custkey IN
+    """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS total, count(CASE WHEN c_custkey IN
        (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) THEN 1 END) AS marcados FROM customer GROUP BY 1""",
 )
 def j14(w: Warehouse):
@@ -476,7 +476,7 @@ def j14(w: Warehouse):
 
 @query(
     "A01_count_having",
-    "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3",
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3",
 )
 def a01(w: Warehouse):
     return aggregates.count_having(w.table("lineitem"), ["l_orderkey", "l_linenumber"], 3)
@@ -655,7 +655,7 @@ _LINE_REST = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
 
 @query(
     "W01_keep_first",
-    f"""SELECT l_orderkey, l_linenumber, {ts('l_shipdate')}, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (
+    f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {ts('l_shipdate')}, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_LINE_REST)}) AS r FROM lineitem)
         WHERE r = 1""",
 )
@@ -809,7 +809,7 @@ def l03(w: Warehouse):
 
 @query(
     "L04_arg_max",
-    "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem ORDER BY l_quantity DESC, l_extendedprice, l_orderkey DESC, l_linenumber DESC LIMIT 1",
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice FROM lineitem ORDER BY l_quantity DESC, l_extendedprice, l_orderkey DESC, 2 DESC LIMIT 1",
 )
 def l04(w: Warehouse):
     rows = w.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -842,7 +842,7 @@ def u01(w: Warehouse):
 
 @query(
     "U02_union_distinct",
-    "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation",
+    "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation",
 )
 def u02(w: Warehouse):
     parts = {"customer": "c_nationkey", "supplier": "s_nationkey", "nation": "n_nationkey"}

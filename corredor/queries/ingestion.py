@@ -234,7 +234,7 @@ def s18(w: Warehouse):
     joined = w.table("nation").join(w.table("region"), c("n_regionkey") == c("r_regionkey"))
     per_region = joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
     target = work_dir(w.spark, "por_region")
-    table = staging.materialize(f"por_region_{target[-12:]}", per_region, "table", "corredor_gold", target)
+    table = staging.materialize(f"por_region_{target[-12:]}", per_region, "table", path=target)
     return staging.materialize("v_por_region", table.filter(c("n") > 0), "view")
 
 

@@ -153,16 +153,16 @@ SELECT boarding_id, user_hash, station_code, axis AS eje, utc - INTERVAL 6 HOUR
 FROM am_raw LEFT JOIN points p ON p.modo = 'Aerometro' AND p.codigo_punto = station_code"""
 CTES["quarantine"] = f"""
 SELECT 'Transmetro' AS fuente, bronze_record_id AS id, 'DUPLICADO_TORNIQUETE' AS motivo,
-       to_json({{'tarjeta': tarjeta, 'estacion_id': estacion_id, 'fecha_hora': fecha_hora}}) AS payload
+       CAST(to_json({{'tarjeta': tarjeta, 'estacion_id': estacion_id, 'fecha_hora': fecha_hora}}) AS VARCHAR) AS payload
 FROM tm_ranked WHERE nth > 1
 UNION ALL SELECT 'Transurbano', bronze_record_id, 'COD_PARADA_NULO',
-       to_json({{'num_tarjeta': num_tarjeta, 'ruta': ruta, 'fecha': fecha, 'hora': hora}})
+       CAST(to_json({{'num_tarjeta': num_tarjeta, 'ruta': ruta, 'fecha': fecha, 'hora': hora}}) AS VARCHAR)
 FROM tu_dated WHERE trim(coalesce(cod_parada, '')) = ''
 UNION ALL SELECT 'Transurbano', bronze_record_id, 'FECHA_FUTURA',
-       to_json({{'num_tarjeta': num_tarjeta, 'fecha': fecha, 'hora': hora}})
+       CAST(to_json({{'num_tarjeta': num_tarjeta, 'fecha': fecha, 'hora': hora}}) AS VARCHAR)
 FROM tu_dated WHERE d IS NULL OR fecha_hora > TIMESTAMP '{HORIZON}'
 UNION ALL SELECT 'MetroRiel', bronze_record_id, 'VIAJE_SIN_EXIT',
-       to_json({{'viaje_id': trip_id, 'tarjeta_mr': card, 'origen_estacion_id': entry_station}})
+       CAST(to_json({{'viaje_id': trip_id, 'tarjeta_mr': card, 'origen_estacion_id': entry_station}}) AS VARCHAR)
 FROM mr_raw WHERE exit_ts IS NULL"""
 CTES["universe"] = f"""
 SELECT a.nombre_zona, a.tipo_area, count(DISTINCT modo) AS modos_con_servicio, count(modo) AS puntos_transporte,
@@ -204,8 +204,8 @@ AND (op, id) NOT IN (SELECT (fuente, id) FROM quarantine)"""
 _CUT_ROWS = ", ".join(f"('{n}', TIMESTAMP '{d} 00:00:00')" for n, d in CUTS.items())
 CTES["cuts"] = f"SELECT * FROM (VALUES {_CUT_ROWS}) c(corte, fc)"
 CTES["pop"] = f"""
-SELECT md5(p.op || ':' || p.llave) AS unidad_id, p.op, p.llave, p.corte, p.fc, p.n AS previos,
-       CASE WHEN p.corte <> 'C' THEN p.m END AS futuros,
+SELECT md5(p.op || ':' || p.llave) AS unidad_id, p.op, p.llave, p.corte, p.fc, CAST(p.n AS BIGINT) AS previos,
+       CASE WHEN p.corte <> 'C' THEN CAST(p.m AS BIGINT) END AS futuros,
        CASE WHEN p.corte <> 'C' THEN CASE WHEN p.m = 0 THEN 1 ELSE 0 END END AS etiqueta
 FROM (SELECT corte, fc, op, llave,
              sum(CASE WHEN uso >= fc - INTERVAL 28 DAY AND uso < fc AND sabido < fc THEN 1 ELSE 0 END) AS n,

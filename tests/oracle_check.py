@@ -15,8 +15,7 @@ SPARK_KIND = {
     "float": "float", "string": "text", "boolean": "bool",
 }
 DUCK_KIND = {
-    "BIGINT": "int", "INTEGER": "int", "HUGEINT": "int", "SMALLINT": "int", "UBIGINT": "int",
-    "DOUBLE": "float", "FLOAT": "float", "VARCHAR": "text", "BOOLEAN": "bool", "JSON": "text",
+    "BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "bool",
 }
 
 
