@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from corredor.sources.raw import (
     with_record_number,
 )
 
+LISTED_FILES = 10_000
 MANIFEST = "_source_sha256 string, _source_file string, _source_name string, filas bigint, _ingestion_ts string"
 
 
@@ -74,6 +76,8 @@ def ingest_once(
     new_files = todo.count()
     if not new_files:
         return spark.createDataFrame([], MANIFEST)
+    if new_files <= LISTED_FILES:  # read the new files only; a longer list is filtered by the join below
+        paths = [unquote(r["_file"]) for r in todo.select("_file").collect()]
     scan = with_record_number(csv_text_scan(spark, paths)) if kind == "csv" else jsonl_raw_scan(spark, paths)
     rows = add_bronze_metadata(scan.join(todo.select("_file", "_source_sha256"), "_file"), source, ingested_at)
     write_bronze(rows, bronze, date)

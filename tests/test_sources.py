@@ -45,7 +45,7 @@ def ingest(spark, tmp_path, path, at_, force=False):
 
 
 def test_ingestion_is_idempotent_by_content(spark, tmp_path):
-    one = write(tmp_path / "in" / "one.csv", "id,v\n1,a\n2,b\n")
+    one = write(tmp_path / "in" / "uno año.csv", "id,v\n1,a\n2,b\n")
     folder = str(tmp_path / "in")
     assert ingest(spark, tmp_path, folder, "2024-01-01T00:00:00") == 1
     assert ingest(spark, tmp_path, folder, "2024-01-02T00:00:00") == 0
