@@ -53,13 +53,12 @@ def as_matrix(features: DataFrame) -> DataFrame:
     return features.withColumns({c: F.col(c).cast("double") for c in NUMERIC})
 
 
-def preprocess(spark: SparkSession, family: str, numeric: Sequence[str] = NUMERIC, levels: Sequence[str] = OPERATORS) -> list:
+def preprocess(family: str, numeric: Sequence[str] = NUMERIC, levels: Sequence[str] = OPERATORS) -> list:
     """Stages from predictors to ``features``.
 
     Unknown operators encode as zeros. Logistic models drop the first operator and scale the
     numeric predictors; forests take them as they are.
     """
-    spark.conf  # the fitted indexer below needs an active session
     indexer = StringIndexerModel.from_labels(list(levels), inputCol="operador", outputCol="_op", handleInvalid="keep")
     # the extra index of unknown values is last and is the one left out
     onehot = OneHotEncoder(inputCols=["_op"], outputCols=["_hot"], dropLast=True)
@@ -75,7 +74,7 @@ def preprocess(spark: SparkSession, family: str, numeric: Sequence[str] = NUMERI
     ]
 
 
-def build(spark: SparkSession, spec: Spec, rows: int, label: str = "etiqueta") -> Pipeline:
+def build(spec: Spec, rows: int, label: str = "etiqueta") -> Pipeline:
     """Unfitted pipeline of a specification; ``rows`` turns C into a mean-loss penalty."""
     if spec.family == "logistic":
         estimator = LogisticRegression(
@@ -95,16 +94,16 @@ def build(spark: SparkSession, spec: Spec, rows: int, label: str = "etiqueta") -
             featureSubsetStrategy="sqrt",
             seed=SEED,
         )
-    return Pipeline(stages=[*preprocess(spark, spec.family), estimator])
+    return Pipeline(stages=[*preprocess(spec.family), estimator])
 
 
 def with_score(model: PipelineModel, df: DataFrame, name: str = "puntaje") -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("probability")[1])
 
 
-def forest(spark: SparkSession, df: DataFrame, trees: int = 100, depth: int = 6, leaf: int = 50) -> PipelineModel:
+def forest(df: DataFrame, trees: int = 100, depth: int = 6, leaf: int = 50) -> PipelineModel:
     """D05."""
-    return build(spark, Spec("rf", "forest", {"trees": trees, "depth": depth, "leaf": leaf}), 1).fit(df)
+    return build(Spec("rf", "forest", {"trees": trees, "depth": depth, "leaf": leaf}), 1).fit(df)
 
 
 def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "etiqueta") -> tuple[DataFrame, DataFrame]:
@@ -130,7 +129,7 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
                 sides = {s: d.withColumn("puntaje", rate.scalar()) for s, d in
                          (("entrenamiento", train), ("validacion", valid))}
             else:
-                model = build(spark, spec, total - sizes[fold], label).fit(train)
+                model = build(spec, total - sizes[fold], label).fit(train)
                 if spec.family == "logistic":
                     last = model.stages[-1]
                     finished = last.summary.totalIterations < last.getMaxIter()
@@ -280,7 +279,7 @@ def coefficients(model: PipelineModel, numeric: Sequence[str] = NUMERIC, levels:
 
 def fit_final(df: DataFrame, spec: Spec, path: str, label: str = "etiqueta") -> PipelineModel:
     """Fit the chosen pipeline on the labelled cut-off and save it."""
-    model = build(df.sparkSession, spec, df.count(), label).fit(df)
+    model = build(spec, df.count(), label).fit(df)
     model.write().overwrite().save(path)
     return model
 

@@ -118,7 +118,10 @@ def cross_operator_links(
 def reconcile(
     a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
-    """Keys missing on one side or with a differing column (NULL-safe), with both values."""
+    """Keys missing on one side or with a differing column (NULL-safe), with both values.
+
+    Keys must be unique on each side (see ``unique``); aggregate first where they are not.
+    """
     left = a.select(*keys, F.lit(True).alias("_a"), *[F.col(c).alias(f"{c}_a") for c in cols])
     right = b.select(*keys, F.lit(True).alias("_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
     differing = [~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in cols]

@@ -62,7 +62,7 @@ def d01(w: Warehouse):
 )
 def d02(w: Warehouse):
     rows = _matrix(w, "A")
-    ready = Pipeline(stages=models.preprocess(w.spark, "logistic")).fit(rows).transform(rows)
+    ready = Pipeline(stages=models.preprocess("logistic")).fit(rows).transform(rows)
     x = vector_to_array("features")
     return ready.select(
         "unidad_id", x[0].alias("viajes"), x[5].alias("gasto"), x[10].alias("metroriel"), x[12].alias("transurbano"),
@@ -86,7 +86,7 @@ def d04(w: Warehouse):
 
 @query("D05_forest", "SELECT unidad_id, true AS en_rango FROM feat WHERE corte = 'B'")
 def d05(w: Warehouse):
-    model = models.forest(w.spark, _matrix(w, "A"), trees=20, depth=5, leaf=10)
+    model = models.forest(_matrix(w, "A"), trees=20, depth=5, leaf=10)
     scored = models.with_score(model, _matrix(w, "B"))
     return scored.select("unidad_id", c("puntaje").between(0, 1).alias("en_rango"))
 
@@ -138,7 +138,7 @@ def d08(w: Warehouse):
 
 @query("D09_permutation_importance")
 def d09(w: Warehouse):
-    model = models.forest(w.spark, _folded(w).filter(c("fold") != 0), trees=10, depth=4, leaf=10)
+    model = models.forest(_folded(w).filter(c("fold") != 0), trees=10, depth=4, leaf=10)
     return models.permutation_importance(model, _folded(w).filter(c("fold") == 0), repeats=3)
 
 
@@ -146,7 +146,7 @@ def d09(w: Warehouse):
 def d10(w: Warehouse):
     spec = models.Spec("l2", "logistic", {"C": 0.1, "l1": 0.0, "iterations": 50})
     rows = _matrix(w, "A")
-    return models.coefficients(models.build(w.spark, spec, rows.count()).fit(rows))
+    return models.coefficients(models.build(spec, rows.count()).fit(rows))
 
 
 def _scored(w: Warehouse):

@@ -116,7 +116,7 @@ def test_choice_rule(spark):
 
 
 def test_importance_finds_the_predictor_that_matters(spark, matrix):
-    model = models.build(spark, SPECS[2], 120).fit(matrix)
+    model = models.build(SPECS[2], 120).fit(matrix)
     drops = {r["variable"]: r["caida_auc_media"] for r in models.permutation_importance(model, matrix, repeats=3).collect()}
     assert max(drops, key=drops.get) == "dias_desde_ultimo_uso" and drops["dias_desde_ultimo_uso"] > 0.2
     assert models.coefficients(model).orderBy(F.desc("abs_coef")).head()["variable"] == "dias_desde_ultimo_uso"
