@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corredor.llm import chat, exact, minhash, mixing, packing, substring, token_counts, topk
+from corredor.llm import chat, exact, minhash, mixing, packing, substring, token_counts, topk, toxicity
 from corredor.llm.util import table
 
 
@@ -43,6 +43,13 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.scores(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.END.strip()}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
