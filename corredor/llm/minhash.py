@@ -20,14 +20,13 @@ result; a null id is a document by itself. Extra columns are ignored; an empty t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corredor.llm.graph import components
-from corredor.llm.util import gram_hashes, mix, steps, strings, word_hashes, words_of, written
+from corredor.llm.util import gram_hashes, mix, runs, steps, strings, word_hashes, words_of, written
 
 COORDINATES = 28
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -118,20 +117,36 @@ def in_blocks(rows: DataFrame, key: str, member: str, size: str, block: int) ->
     chunks = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64(F.col(member)), F.greatest(chunks, F.lit(1))).cast("int")
     others = F.transform(
-        F.sequence(F.lit(0), chunks - 1), lambda o: F.concat_ws("-", F.least(o, own), F.greatest(o, own))
+        F.sequence(F.lit(0), chunks - 1), lambda o: F.least(o, own).cast("long") * (1 << 24) + F.greatest(o, own)
     )
-    pieces = F.when(chunks > 1, F.array_distinct(others)).otherwise(F.array(F.lit("")))
+    pieces = F.when(chunks > 1, F.array_distinct(others)).otherwise(F.array(F.lit(-1).cast("long")))
     return rows.withColumn("piece", F.explode(pieces))
 
 
-def matched(lists: pd.DataFrame, matches: int) -> pd.DataFrame:
-    """Spanning forest of the pairs with enough matches in one posting list (or a piece of it)."""
-    sig = np.frombuffer(b"".join(lists["signature"]), dtype=np.uint32).reshape(-1, COORDINATES)
-    reps = lists["rep"].to_numpy()
-    return _forest(reps, lambda one, rest: (sig[rest] == sig[one]).sum(axis=1) >= matches)
+def matched(lists: DataFrame, matches: int) -> DataFrame:
+    """(a, b): spanning forest of the pairs with enough matches in each posting list (or piece of it)."""
 
+    def count(batches):
+        for batch, bounds in runs(batches, ["token", "piece"]):
+            reps = batch.column("rep").to_numpy()
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= matches]
+            a, b = [reps[two]], [reps[two + 1]]
+            for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2]):
+                own = sig[lo:hi]
+                x, y = forest(reps[lo:hi], lambda one, rest, own=own: (own[rest] == own[one]).sum(axis=1) >= matches)
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-def _forest(ids: np.ndarray, linked) -> pd.DataFrame:
+    # lists of a few dozen bytes each: as many tasks as the posts need, all lists of a task in one stream
+    dealt = lists.repartition("token", "piece").sortWithinPartitions("token", "piece")
+    return dealt.select("token", "piece", "rep", "signature").mapInArrow(count, "a long, b long")
+
+
+def forest(ids: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
     """Visits from member to member; ``linked(one, rest)`` tells which unvisited places link to ``one``."""
     rest, a, b = np.arange(len(ids)), [], []
     while len(rest):
@@ -145,7 +160,7 @@ def _forest(ids: np.ndarray, linked) -> pd.DataFrame:
                 queue += rest[hit].tolist()
                 rest = rest[~hit]
     empty = np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
 def confirmed(rows: pa.Table, width: int, percent: int) -> pa.Table:
@@ -177,7 +192,8 @@ def confirmed(rows: pa.Table, width: int, percent: int) -> pa.Table:
         mark[codes[one]] = False
         return hit
 
-    return pa.Table.from_pandas(_forest(ids[live], linked), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]), preserve_index=False)
+    a, b = forest(ids[live], linked)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: int = 4000) -> DataFrame:
@@ -189,8 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: i
     classes = written(classes, "minhash-classes")
     lists = in_blocks(postings(classes, COORDINATES - matches + 1), "token", "rep", "df", block)
     lists = lists.join(classes.select("rep", "signature"), "rep")
-    pairs = lists.groupBy("token", "piece").applyInPandas(lambda g: matched(g, matches), "a long, b long")
-    groups = written(components(pairs), "minhash-groups")
+    groups = written(components(matched(lists, matches)), "minhash-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     placed = in_blocks(groups.join(sizes, "component"), "component", "node", "members", block)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(

@@ -52,6 +52,51 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+#: Stands for a null id inside chunks; sorts before all others.
+NO_ID = -(2**63)
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.int64())
+    return (column.fill_null(NO_ID) if column.null_count else column).to_numpy()
+
+
+def packed(ids: np.ndarray, text: pa.Array) -> bytes:
+    """Documents by id as one compressed value: a chunk moves through a shuffle as one row."""
+    order = pa.array(np.argsort(ids, kind="stable"))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids).take(order), text.take(order)], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(payload: bytes) -> tuple[np.ndarray, pa.Array]:
+    with pa.ipc.open_stream(payload) as stream:
+        batch = stream.read_next_batch()
+    return batch.column(0).to_numpy(), batch.column(1)
+
+
+def runs(batches, keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of rows sorted by integer ``keys``, cut so that no group spans two; with the groups' bounds."""
+    held = None
+    for batch in batches:
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for key in keys:
+            value = ids_of(batch.column(key))
+            change |= value[1:] != value[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(change) + 1])
+        if len(bounds) > 1:
+            yield batch.slice(0, int(bounds[-1])), bounds
+        held = batch.slice(int(bounds[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
 @dataclass
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: byte spans in ``data`` and the words of each text."""
