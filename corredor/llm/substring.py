@@ -25,31 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corredor.llm.util import Words, gram_hashes, inside, kept_bytes, steps, strings, word_hashes, words_of, written
+from corredor.llm.util import (
+    NO_ID, Words, gram_hashes, ids_of, inside, kept_bytes, packed, steps, strings, unpacked, word_hashes, words_of, written,
+)
 
 LEVELS = (1, 2, 4, 8)  # prefix lengths in words before the whole window
 BITS = 14  # histogram cells per prefix length: bounds what reaches the driver and the tasks
-NO_ID = -(2**63)
-
-
-def _packed(ids: np.ndarray, text: pa.Array) -> bytes:
-    order = np.argsort(ids, kind="stable")
-    batch = pa.RecordBatch.from_arrays([pa.array(ids[order]), text.take(pa.array(order))], ["doc_id", "text"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
 
 
 class Chunk:
     """Documents of a chunk by doc_id, their words and suffixes."""
 
     def __init__(self, payload: bytes, window: int):
-        with pa.ipc.open_stream(payload) as stream:
-            batch = stream.read_all().combine_chunks()
-        self.ids = batch.column(0).to_numpy()
-        column = batch.column(1)
-        self.words: Words = words_of(column.chunk(0) if column.num_chunks else pa.array([], pa.string()))
+        self.ids, text = unpacked(payload)
+        self.words: Words = words_of(text)
         self.hashes, self.window = word_hashes(self.words), window
         self.valid = inside(self.words, window)
 
@@ -85,10 +74,10 @@ def chunks(docs: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
         part, number = TaskContext.get().partitionId() << 32, 0
         cells = np.zeros((len(LEVELS) + 1, 1 << BITS), dtype=np.int64)
         for batch in batches:
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(NO_ID))
+            ids = ids_of(batch.column(0))
             text = strings(batch.column(1))
             for i, j in steps(text, chunk_bytes):
-                payload = _packed(ids[i:j], text.slice(i, j - i))
+                payload = packed(ids[i:j], text.slice(i, j - i))
                 chunk = Chunk(payload, window)
                 for level, length in enumerate((*LEVELS, window)):
                     cell = chunk.prefix(min(length, window))[chunk.valid] >> np.uint64(64 - BITS)
