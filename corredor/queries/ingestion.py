@@ -106,12 +106,16 @@ def s04(w: Warehouse):
     )
 
 
-def _ingested(w: Warehouse, path: str, kind="csv", base: str | None = None, at: str = STAMP, force=False):
+def _ingested(w: Warehouse, path: str, kind="csv", base: str | None = None, at: str = STAMP, force=False, date: str = DATE):
     base = base or work_dir(w.spark, "bronze")
-    run = bronze.ingest_once(w.spark, "tu", path, f"{base}/tu", f"{base}/manifest", DATE, at, kind, force)
+    run = bronze.ingest_once(w.spark, "tu", path, f"{base}/tu", f"{base}/manifest", date, at, kind, force)
     return base, run
 
 
+def _entered(w: Warehouse, base: str, latest_batch: bool = False):
+    return bronze.read_bronze(w.spark, f"{base}/tu", latest_batch, f"{base}/manifest")
+
+
 @query("S05_write_bronze", f"SELECT '{DATE}' AS fecha_ingesta, count(*) AS filas FROM tu_raw")
 def s05(w: Warehouse):
     base, _ = _ingested(w, _tu_csv(w))
@@ -139,7 +143,7 @@ def s07(w: Warehouse):
     path = _tu_csv(w)
     base, _ = _ingested(w, path)
     _ingested(w, path, base=base, at="2024-02-02T00:00:00", force=True)
-    return w.spark.read.parquet(f"{base}/tu").groupBy("_ingestion_ts").agg(F.count(F.lit(1)).alias("filas"))
+    return _entered(w, base).groupBy("_ingestion_ts").agg(F.count(F.lit(1)).alias("filas"))
 
 
 @query("S08_assert_written", "SELECT count(*) AS filas FROM orders")
@@ -151,23 +155,48 @@ def s08(w: Warehouse):
     return w.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("filas"))
 
 
+@query("S06_blank_lines", "SELECT count(*) AS filas, CAST(count(*) AS BIGINT) AS distintas FROM tu_raw")
+def s06_blank(w: Warehouse):
+    """Every record followed by a blank line: blank lines are no records, and nothing is lost."""
+    path = work_dir(w.spark, "blank")
+    lines = w.tu_transactions_raw.select(F.concat(F.substring("bronze_record_id", 4, 20), F.lit(","), "fecha", F.lit("\n")).alias("value"))
+    header = w.spark.range(1).select(F.lit("id,fecha").alias("value"))
+    header.unionAll(lines).coalesce(1).write.text(path)
+    base, _ = _ingested(w, path)
+    return _entered(w, base).agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("id", "_record_number").alias("distintas"))
+
+
+@query("S06_header_only", "SELECT CAST(0 AS BIGINT) AS filas, CAST(1 AS BIGINT) AS archivos, CAST(0 AS BIGINT) AS despues UNION ALL SELECT count(*), 3, 0 FROM tu_raw")
+def s06_header(w: Warehouse):
+    """A file with only its header is entered with 0 rows and is known from then on."""
+    path = work_dir(w.spark, "header")
+    w.spark.range(1).select(F.lit("id,fecha,hora,num_tarjeta,cod_parada,ruta,monto_centavos").alias("value")).coalesce(1).write.text(path)
+    base, first = _ingested(w, path)
+    _, again = _ingested(w, path, base=base, at="2024-02-02T00:00:00")
+    _, rest = _ingested(w, _tu_csv(w), base=base, at="2024-02-03T00:00:00")
+
+    def entries(run, later):
+        return run.agg(F.sum("filas").alias("filas"), F.count(F.lit(1)).alias("archivos")).select("filas", "archivos", F.lit(later).cast("long").alias("despues"))
+
+    return entries(first, again.count()).unionAll(entries(rest, 0))
+
+
 @query("S09_read_bronze", "SELECT substr(bronze_record_id, 4) AS id FROM tu_raw UNION ALL SELECT substr(bronze_record_id, 4) FROM tu_raw WHERE monto_centavos > 5000")
 def s09(w: Warehouse):
-    return bronze.read_bronze(w.spark, _two_batches(w)).select("id")
+    return _entered(w, _two_deliveries(w)).select("id")
 
 
-def _two_batches(w: Warehouse) -> str:
-    """A first batch with all bus rows and a later one with the dear ones."""
-    base = work_dir(w.spark, "batches")
+def _two_deliveries(w: Warehouse) -> str:
+    """A first delivery with all bus rows and one a day later with the dear ones, three files each."""
     rows = w.tu_transactions_raw.select(F.substring("bronze_record_id", 4, 20).alias("id"), "monto_centavos")
-    for sha, date, part in (("a", DATE, rows), ("b", "2024-02-02", rows.filter(c("monto_centavos") > 5000))):
-        bronze.write_bronze(part.withColumn("_source_sha256", F.lit(sha * 64)), base, date)
+    base, _ = _ingested(w, _raw_csv(w, rows, "all"))
+    _ingested(w, _raw_csv(w, rows.filter(c("monto_centavos") > 5000), "dear"), base=base, at="2024-02-02T00:00:00", date="2024-02-02")
     return base
 
 
 @query("S10_latest_batch", "SELECT substr(bronze_record_id, 4) AS id FROM tu_raw WHERE monto_centavos > 5000")
 def s10(w: Warehouse):
-    return bronze.read_bronze(w.spark, _two_batches(w), latest_batch=True).select("id")
+    return _entered(w, _two_deliveries(w), latest_batch=True).select("id")
 
 
 @query(

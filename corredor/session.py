@@ -27,6 +27,8 @@ def build_session(app: str = "corredor", master: str | None = None, **conf: str)
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
         "spark.ui.enabled": "false",
+        # checkpoint copies go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
@@ -57,6 +59,31 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def write_once(df, name: str = "fixed"):
+    """``df`` written to the shared folder and read back: later passes see one layout, whatever executors come or go.
+
+    The copy stays until ``release_scratch``.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Deletes the copies that ``write_once`` of this application has made; results that read them must be stored by then."""
+    context = spark.sparkContext
+    paths = _WRITTEN.pop(context.applicationId, [])
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def cut_lineage(df):
     """Reliable checkpoint: the rows are written once and survive executor loss.
 

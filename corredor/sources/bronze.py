@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -14,20 +15,22 @@ from corredor.sources.raw import (
     add_bronze_metadata,
     csv_text_scan,
     file_fingerprints,
+    file_name,
     jsonl_raw_scan,
-    small_side,
     with_record_number,
 )
+from corredor.session import write_once
 
-LISTED_FILES = 10_000
-MANIFEST = "_source_sha256 string, _source_file string, _source_name string, filas bigint, _ingestion_ts string"
+MANIFEST = (
+    "_source_sha256 string, _source_file string, _source_name string, filas bigint, _ingestion_ts string, "
+    "fecha_ingesta string, _batch string, _path string, _bytes bigint, _modified timestamp"
+)
 
 
-def write_bronze(df: DataFrame, path: str, date: str) -> None:
-    """Snappy Parquet by ingestion date and batch; a rewrite replaces only its own batches."""
-    batch = F.substring("_source_sha256", 1, 12)
+def write_bronze(df: DataFrame, path: str, date: str, batch: str) -> None:
+    """Snappy Parquet by ingestion date and delivery; a rewrite replaces only its own delivery."""
     (
-        df.withColumns({"fecha_ingesta": F.lit(date), "_batch": batch})
+        df.withColumns({"fecha_ingesta": F.lit(date), "_batch": F.lit(batch)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
@@ -52,6 +55,15 @@ def assert_written(spark: SparkSession, path: str, expected: int, condition=None
     return rows
 
 
+def _listing(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Path, size and modification time of each file; no content is read."""
+    return spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_size").alias("_bytes"),
+        F.col("_metadata.file_modification_time").alias("_modified"),
+    )
+
+
 def ingest_once(
     spark: SparkSession,
     source: str,
@@ -62,56 +74,91 @@ def ingest_once(
     ingested_at: str,
     kind: str = "csv",
     force: bool = False,
+    batch: str | None = None,
 ) -> DataFrame:
     """Ingest the files whose content is not in the manifest, or all of them if forced.
 
-    Returns the manifest rows of this run. A file counts as known only while its batch exists.
+    One call is one delivery: its files share the batch ``batch`` (default: the time of ingestion).
+    Only files whose path, size or time changed are hashed. The manifest is written last and says
+    which delivery of a file counts (``read_bronze``): a failed run leaves nothing visible, a forced
+    one supersedes its files of the same date. Returns the manifest rows of this run; a file without
+    records is entered with 0 rows.
     """
-    found = file_fingerprints(spark, paths)
+    batch = batch or re.sub(r"\W+", "-", ingested_at)
+    listed = _listing(spark, paths)
+    entered = read_or_empty(spark, manifest, MANIFEST)
     if not force:
-        known = read_or_empty(spark, manifest, MANIFEST).select("_source_sha256").distinct()
-        present = read_or_empty(spark, bronze, "_source_sha256 string").distinct()
-        found = found.join(known.join(present, "_source_sha256"), "_source_sha256", "left_anti")
-    todo = small_side(found)
-    new_files = todo.count()
-    if not new_files:
+        listed = listed.join(entered.select("_path", "_bytes", "_modified"), ["_path", "_bytes", "_modified"], "left_anti")
+    # the reader takes a list of paths; the driver lists the files in any case
+    changed = {r["_path"]: r for r in listed.collect()}
+    if not changed:
         return spark.createDataFrame([], MANIFEST)
-    if new_files <= LISTED_FILES:  # read the new files only; a longer list is filtered by the join below
-        paths = [unquote(r["_file"]) for r in todo.select("_file").collect()]
-    scan = with_record_number(csv_text_scan(spark, paths)) if kind == "csv" else jsonl_raw_scan(spark, paths)
+    found = file_fingerprints(spark, [unquote(p) for p in changed])
+    if not force:
+        found = found.join(entered.select("_source_sha256"), "_source_sha256", "left_anti")
+    first = Window.partitionBy("_source_sha256").orderBy("_file")  # of equal files of a delivery one counts
+    found = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    todo = write_once(found.join(listed.withColumnRenamed("_path", "_file"), "_file"), "to-ingest")
+    new_paths = [unquote(r["_file"]) for r in todo.select("_file").collect()]
+    if not new_paths:
+        return spark.createDataFrame([], MANIFEST)
+    scan = with_record_number(csv_text_scan(spark, new_paths)) if kind == "csv" else jsonl_raw_scan(spark, new_paths)
     rows = add_bronze_metadata(scan.join(todo.select("_file", "_source_sha256"), "_file"), source, ingested_at)
-    write_bronze(rows, bronze, date)
-    written = (
-        spark.read.parquet(bronze)
-        .filter(F.col("fecha_ingesta") == date)
-        .join(todo.select("_source_sha256", "lineas"), "_source_sha256")
-        .groupBy("_source_sha256", "_source_file", "_source_name", "lineas")
+    write_bronze(rows, bronze, date, batch)
+    stored = read_or_empty(spark, bronze, "_source_sha256 string, fecha_ingesta string, _batch string")
+    counts = (
+        stored.filter((F.col("fecha_ingesta") == date) & (F.col("_batch") == batch))
+        .groupBy("_source_sha256")
         .agg(F.count(F.lit(1)).alias("filas"))
     )
-    # a CSV has one header line more than records; JSON lines may include blank ones
-    off = F.col("filas") != F.col("lineas") - 1 if kind == "csv" else F.col("filas") > F.col("lineas")
-    if written.filter(off).limit(1).count():
-        raise RuntimeError(f"{source}: written rows differ from the lines read")
-    entry = written.select(
-        "_source_sha256", "_source_file", "_source_name", "filas", F.lit(ingested_at).alias("_ingestion_ts")
+    entry = todo.join(counts, "_source_sha256", "left").select(
+        "_source_sha256",
+        file_name(F.col("_file")).alias("_source_file"),
+        F.lit(source).alias("_source_name"),
+        F.coalesce("filas", F.lit(0)).cast("bigint").alias("filas"),
+        F.lit(ingested_at).alias("_ingestion_ts"),
+        F.lit(date).alias("fecha_ingesta"),
+        F.lit(batch).alias("_batch"),
+        F.col("_file").alias("_path"),
+        "_bytes",
+        "_modified",
+        # the header of a CSV is a line but no record; blank lines are none in either format
+        (F.col("registros") - (1 if kind == "csv" else 0)).alias("_expected"),
     )
+    entry = write_once(entry, "manifest-entry")
+    lost = entry.filter(F.col("filas") != F.greatest("_expected", F.lit(0))).select("_path", "_expected", "filas").take(1)
+    if lost:
+        raise RuntimeError(f"{source}: written rows differ from the lines read: {lost[0]}")
+    entry = entry.drop("_expected")
     entry.write.mode("append").parquet(manifest)
-    return spark.read.schema(MANIFEST).parquet(manifest).filter(F.col("_ingestion_ts") == ingested_at)
+    return entry
 
 
-def read_bronze(spark: SparkSession, path: str, latest_batch: bool = False) -> DataFrame:
-    """All batches, or only the latest by (date, modification time, batch).
+def read_bronze(spark: SparkSession, path: str, latest_batch: bool = False, manifest: str | None = None) -> DataFrame:
+    """All deliveries, or only the latest by (date, modification time, batch).
 
-    The choice is a scalar subquery on the partition columns, so other batches are pruned.
+    With ``manifest`` only entered files count, and of a file entered twice on a date the last entry.
+    The choice of a delivery is a scalar subquery on the partition columns, so others are pruned.
     """
     df = spark.read.parquet(path)
+    if manifest is not None:
+        last = (
+            spark.read.schema(MANIFEST).parquet(manifest)
+            .groupBy("_source_sha256", "fecha_ingesta")
+            .agg(F.max_by("_batch", F.struct("_ingestion_ts", "_batch")).alias("_batch"))
+            .select("_source_sha256", F.col("fecha_ingesta").cast(df.schema["fecha_ingesta"].dataType), F.col("_batch").cast(df.schema["_batch"].dataType))
+        )
+        df = df.join(last, ["_source_sha256", "fecha_ingesta", "_batch"], "left_semi")
     if not latest_batch:
         return df
     batches = (
-        df.select("fecha_ingesta", "_batch", F.col("_metadata.file_modification_time").alias("_mtime"))
+        spark.read.parquet(path)
+        .select("fecha_ingesta", "_batch", F.col("_metadata.file_modification_time").alias("_mtime"))
         .groupBy("fecha_ingesta", "_batch")
         .agg(F.max("_mtime").alias("_mtime"))
     )
+    if manifest is not None:
+        batches = batches.join(last, ["fecha_ingesta", "_batch"], "left_semi")
     newest = batches.agg(
         F.max_by(
             F.concat_ws("/", F.col("fecha_ingesta").cast("string"), F.col("_batch").cast("string")),

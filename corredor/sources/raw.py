@@ -9,16 +9,7 @@ from pyspark.sql import functions as F
 
 from corredor.functions.scalars import is_json
 from corredor.operators.sets import union_all
-from corredor.session import cut_lineage
-
-SMALL_ROWS = 100_000  # above this many rows a side is joined by shuffle, not broadcast
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the relation; beyond the bound the join shuffles."""
-    fixed = cut_lineage(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
-
+from corredor.session import write_once
 
 def csv_text_scan(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Every field as text. Blank fields stay ``''`` and a byte-order mark is ignored."""
@@ -46,21 +37,26 @@ def text_scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def with_record_number(scan: DataFrame, name: str = "_record_number") -> DataFrame:
     """1-based position of each record in its file.
 
-    Splits are read in parallel; a row's position is its index inside the split plus the rows of
-    the file's earlier splits. Only one row per split is ever ordered. ``scan`` must come
-    straight from a scan of this module.
+    Split borders follow the parallelism of the moment, so the tagged rows are written once and every
+    pass reads that copy. A row's position is its index inside the split plus the rows of the file's
+    earlier splits; only one row per split is ever ordered, and a row without its split is an error.
+    ``scan`` must come straight from a scan of this module.
     """
-    tagged = scan.withColumn("_mid", F.monotonically_increasing_id())
+    tagged = write_once(scan.withColumn("_mid", F.monotonically_increasing_id()), "numbered-scan")
     splits = tagged.groupBy("_file", "_block").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    number = F.col("_before") + F.col("_mid") - F.col("_first") + 1
+    # one row per split, stored: Spark's own size check decides between broadcast and shuffle
+    offsets = write_once(offsets.withColumnsRenamed({"_file": "_f", "_block": "_b"}), "split-offsets")
+    place = (tagged["_file"] == offsets["_f"]) & (tagged["_block"] == offsets["_b"])
+    missing = F.raise_error(F.concat(F.lit("no offset for a split of "), F.col("_file"))).cast("bigint")
+    number = F.coalesce(F.col("_before") + F.col("_mid") - F.col("_first") + 1, missing)
     return (
-        tagged.join(small_side(offsets), ["_file", "_block"])
+        tagged.join(offsets, place, "left")
         .withColumn(name, number)
-        .drop("_mid", "_first", "_before", "_block")
+        .drop("_mid", "_first", "_before", "_block", "_f", "_b")
     )
 
 
@@ -90,7 +86,7 @@ def add_bronze_metadata(df: DataFrame, source: str, ingested_at: str, sha=None)
 
 
 def file_fingerprints(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Content identity and line count per file.
+    """Content identity, lines and non-blank lines per file (``_source_sha256``, ``lineas``, ``registros``).
 
     Two independent sums of hashes of (line number, line): a file is read in splits by many tasks
     and never held whole, so its size does not matter.
@@ -101,10 +97,10 @@ def file_fingerprints(spark: SparkSession, path: str | Sequence[str]) -> DataFra
         for seed in (1, 2)
     ]
     counted = lines.groupBy("_file").agg(
-        F.count(F.lit(1)).alias("lineas"), hashes[0].alias("_h1"), hashes[1].alias("_h2")
+        F.count(F.lit(1)).alias("lineas"), F.count_if(F.trim("value") != "").alias("registros"), hashes[0].alias("_h1"), hashes[1].alias("_h2")
     )
     digest = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("lineas", "_h1", "_h2")]), 256)
-    return counted.select("_file", digest.alias("_source_sha256"), "lineas")
+    return counted.select("_file", digest.alias("_source_sha256"), "lineas", "registros")
 
 
 def validate_raw(

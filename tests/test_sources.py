@@ -30,6 +30,22 @@ def test_record_numbers_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_record_numbers_survive_another_split_layout(spark, tmp_path):
+    path = write(tmp_path / "big.txt", "".join(f"{i:07d}\n" for i in range(1, 60001)))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "300000")
+        numbered = raw.with_record_number(raw.text_scan(spark, path))
+        spark.conf.set(names[0], "20000")
+        spark.conf.set(names[1], "1")
+        assert numbered.filter(F.col("value").cast("int") != F.col("_record_number")).count() == 0
+        assert numbered.select("_record_number").distinct().count() == 60000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_json_lines_keep_original_numbers_and_reject_bad_lines(spark, tmp_path):
     good = write(tmp_path / "g.jsonl", '{"a":1}\n\n  \n{"a":2}\n')
     assert rows(raw.jsonl_raw_scan(spark, good), "_record_number", "raw_json") == [(1, '{"a":1}'), (4, '{"a":2}')]
@@ -44,25 +60,67 @@ def ingest(spark, tmp_path, path, at_, force=False):
     ).count()
 
 
+def entered(spark, tmp_path, latest_batch=False):
+    return bronze.read_bronze(spark, str(tmp_path / "bronze"), latest_batch, str(tmp_path / "manifest"))
+
+
 def test_ingestion_is_idempotent_by_content(spark, tmp_path):
-    one = write(tmp_path / "in" / "uno año.csv", "id,v\n1,a\n2,b\n")
+    write(tmp_path / "in" / "uno año.csv", "id,v\n1,a\n2,b\n")
     folder = str(tmp_path / "in")
     assert ingest(spark, tmp_path, folder, "2024-01-01T00:00:00") == 1
     assert ingest(spark, tmp_path, folder, "2024-01-02T00:00:00") == 0
     # a renamed copy has the same content; a changed one does not
+    write(tmp_path / "in" / "copy.csv", "id,v\n1,a\n2,b\n")
     write(tmp_path / "in" / "two.csv", "id,v\n1,a\n2,c\n")
     assert ingest(spark, tmp_path, folder, "2024-01-03T00:00:00") == 1
-    stored = spark.read.parquet(str(tmp_path / "bronze"))
-    assert stored.count() == 4
+    assert entered(spark, tmp_path).count() == 4
     assert ingest(spark, tmp_path, folder, "2024-01-03T09:00:00", force=True) == 2
-    stored = spark.read.parquet(str(tmp_path / "bronze"))
-    # the batch of the forced day was replaced, not appended
+    stored = entered(spark, tmp_path)
+    # of the forced day the last entry of a file counts
     assert stored.filter("fecha_ingesta = '2024-01-03'").select("_ingestion_ts").distinct().count() == 1
-    latest = bronze.read_bronze(spark, str(tmp_path / "bronze"), latest_batch=True)
-    assert latest.count() == 2
-    sha = latest.head()["_source_sha256"]
+    assert stored.count() == 6
+    latest = entered(spark, tmp_path, latest_batch=True)
+    assert latest.count() == 4 and latest.select("_source_sha256").distinct().count() == 2
+    sha = latest.filter("v = 'c'").head()["_source_sha256"]
     assert bronze.trace(latest, f"{sha}:2").head()["id"] == "2"
-    assert one
+
+
+def test_a_delivery_of_three_files_is_one_batch(spark, tmp_path):
+    for name in "abc":
+        write(tmp_path / "in" / f"{name}.csv", "id,v\n" + "".join(f"{i},{name}\n" for i in range(10)))
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 3
+    assert entered(spark, tmp_path, latest_batch=True).count() == 30
+
+
+def test_blank_lines_and_header_only_files(spark, tmp_path):
+    write(tmp_path / "in" / "blank.csv", "id,v\n1,a\n\n2,b\n\n")
+    write(tmp_path / "in" / "head.csv", "id,v\n")
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 2
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-02T00:00:00") == 0
+    assert sorted((r["id"], r["_record_number"]) for r in entered(spark, tmp_path).collect()) == [("1", 1), ("2", 2)]
+    only = tmp_path / "only"
+    write(only / "in" / "head.csv", "id,v\n")
+    assert ingest(spark, only, str(only / "in"), "2024-01-01T00:00:00") == 1
+
+
+def test_lost_rows_raise_and_leave_nothing_visible(spark, tmp_path, monkeypatch):
+    write(tmp_path / "in" / "a.csv", "id,v\n1,a\n2,b\n")
+    write(tmp_path / "in" / "b.csv", "id,v\n3,a\n")
+    full = bronze.write_bronze
+    monkeypatch.setattr(bronze, "write_bronze", lambda df, *a: full(df.filter("id <> '3'"), *a))
+    with pytest.raises(RuntimeError, match="differ"):
+        ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00")
+    monkeypatch.undo()
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 2
+    assert entered(spark, tmp_path).count() == 3
+
+
+def test_scratch_copies_can_be_released(spark, tmp_path):
+    from corredor import session
+
+    path = write(tmp_path / "n.txt", "a\nb\n")
+    assert raw.with_record_number(raw.text_scan(spark, path)).count() == 2
+    assert session.release_scratch(spark) >= 2 and session.release_scratch(spark) == 0
 
 
 def test_reordered_lines_are_other_content(spark, tmp_path):
