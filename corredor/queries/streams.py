@@ -37,8 +37,8 @@ def _drain(w: Warehouse, messages=None, batches: int | None = None):
     base = work_dir(w.spark, "stream")
     topic = f"{base}/topic"
     st.publish(messages if messages is not None else _with_noise(w), topic)
-    queries = st.consume(w.spark, topic, f"{base}/bronze", f"{base}/rejected", f"{base}/checkpoint", AT, batches)
-    return base, queries
+    drain = st.consume(w.spark, topic, f"{base}/bronze", f"{base}/rejected", f"{base}/checkpoint", AT, batches)
+    return base, drain
 
 
 def _bronze(w: Warehouse, base: str):
@@ -81,16 +81,18 @@ def t04(w: Warehouse):
     return _bronze(w, base).select("_event_id", "_record_number")
 
 
-@query("T05_max_per_batch", f"SELECT {_ID} AS _event_id FROM ev")
+@query("T05_max_per_batch", "SELECT count(*) AS eventos, CAST(2 AS BIGINT) AS lotes FROM ev")
 def t05(w: Warehouse):
-    base, _ = _drain(w, _messages(w).repartition(4), batches=2)
-    return _bronze(w, base).select("_event_id")
+    """Four files, two a batch: two batches."""
+    messages = _messages(w).repartition(4)
+    base, _ = _drain(w, messages, batches=2)
+    return _bronze(w, base).agg(F.count(F.lit(1)).alias("eventos"), F.countDistinct("_lote").alias("lotes"))
 
 
 @query("T06_drain", "SELECT count(*) AS filas, count(DISTINCT user_id) AS usuarios FROM ev")
 def t06(w: Warehouse):
-    base, queries = _drain(w, _messages(w))
-    if any(q.isActive for q in queries):
+    base, drain = _drain(w, _messages(w))
+    if drain.query.isActive:
         raise RuntimeError("the drain did not stop")
     rows = unwrap_payload(_bronze(w, base).select("raw_json"), SCHEMA)
     return rows.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("user_id").alias("usuarios"))
@@ -111,15 +113,25 @@ def t07(w: Warehouse):
 )
 def t08(w: Warehouse):
     noisy = _with_noise(w)
-    _, (main, dead) = _drain(w, noisy)
-    metrics = st.stream_metrics(main, dead, published=noisy.count())
+    _, drain = _drain(w, noisy)
+    metrics = st.stream_metrics(w.spark, drain, published=noisy.count())
     return st.metrics_frame(w.spark, metrics).filter(c("metrica") != "lotes")
 
 
-@query("T09_envelope", f"SELECT {_ID} AS _kafka_key, CAST(0 AS BIGINT) AS _kafka_partition, 'eventos' AS _source_name, '{AT}' AS _consumed_at FROM ev")
+@query(
+    "T09_envelope",
+    f"""SELECT {_ID} AS _kafka_key, event_id - (SELECT min(event_id) FROM ev) AS _kafka_offset, CAST(1 AS BIGINT) AS particiones,
+        'eventos' AS _source_name, '{AT}' AS _consumed_at FROM ev""",
+)
 def t09(w: Warehouse):
-    base, _ = _drain(w, _messages(w))
-    return _bronze(w, base).select("_kafka_key", "_kafka_partition", "_source_name", "_consumed_at")
+    """One file in the order of the events: the offset of a message is its line."""
+    ordered = _messages(w).withColumn("n", F.get_json_object("value", "$._record_number").cast("long"))
+    base, _ = _drain(w, ordered.repartitionByRange(1, "n").sortWithinPartitions("n"))
+    rows = _bronze(w, base)
+    parts = rows.agg(F.countDistinct("_kafka_partition").alias("particiones"))
+    from corredor.operators.joins import with_scalar
+
+    return with_scalar(rows.select("_kafka_key", "_kafka_offset", "_source_name", "_consumed_at"), parts)
 
 
 @query("T10_second_source", "SELECT boarding_id, strftime(utc, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc FROM am_raw")

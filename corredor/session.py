@@ -74,10 +74,16 @@ def write_once(df, name: str = "fixed"):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Deletes the copies that ``write_once`` of this application has made; results that read them must be stored by then."""
+def scratch_mark(spark: SparkSession) -> int:
+    """How many copies this application holds now; give it to ``release_scratch`` to keep them."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the copies that ``write_once`` has made after the first ``keep``; what reads them must be stored by then."""
     context = spark.sparkContext
-    paths = _WRITTEN.pop(context.applicationId, [])
+    held = _WRITTEN.get(context.applicationId, [])
+    paths, held[keep:] = held[keep:], []
     for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

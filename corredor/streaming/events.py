@@ -8,11 +8,16 @@ file source stands in for a broker where no connector is installed; with one, pa
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from corredor.functions.scalars import is_json
+from corredor.session import release_scratch, scratch_mark, write_once
+from corredor.sources.bronze import read_or_empty
+from corredor.sources.raw import with_record_number
 
 ENVELOPE = (
     "_event_id string, _record_number bigint, _source_file string, _source_name string, "
@@ -76,13 +81,23 @@ def event_stream(
     raw = reader.options(**options).load(source)
     return raw.select(
         F.lit(source).alias("_kafka_topic"),
-        F.lit(0).alias("_kafka_partition"),
-        F.col("_metadata.file_block_start").alias("_kafka_offset"),
         F.get_json_object("value", "$._event_id").alias("_kafka_key"),
         F.col("value").cast("binary").alias("_bytes"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
     )
 
 
+def with_position(messages: DataFrame) -> DataFrame:
+    """Of a file source, a file is a partition and the line in it the offset; a broker gives its own."""
+    if "_file" not in messages.columns:
+        return messages
+    numbered = with_record_number(messages, "_line")
+    return numbered.withColumns(
+        {"_kafka_partition": F.hash("_file"), "_kafka_offset": F.col("_line") - 1}
+    ).drop("_file", "_line")
+
+
 def decode(messages: DataFrame) -> DataFrame:
     """Message text and identity fields; ``_valid`` is false for bad UTF-8, bad JSON or a missing id."""
     text = F.try_validate_utf8(F.col("_bytes").cast("string"))
@@ -103,36 +118,43 @@ def split_valid(messages: DataFrame, consumed_at: str) -> tuple[DataFrame, DataF
     return good, bad
 
 
-def dedup_events(events: DataFrame, horizon: str | None = None, time_column: str = "_published_at") -> DataFrame:
-    """First message per ``_event_id``; equal business rows with other ids are all kept.
+def dedup_events(events: DataFrame, stored: DataFrame, horizon: str | None = None) -> DataFrame:
+    """First message per ``_event_id`` that ``stored`` does not hold; equal business rows with other ids are all kept.
 
-    The state covers the whole history, as ids may be replayed at any time. Where replays are
-    known to be recent, ``horizon`` bounds the state by a watermark on ``time_column``.
+    Only the ids of the batch travel: the stored ids are filtered by them where they lie. Ids may be
+    replayed at any time, so all of ``stored`` is asked; ``horizon`` (an interval such as ``7 days``)
+    asks only rows published at most that long before the batch's oldest. No message is dropped for being late.
     """
+    first = events.groupBy("_event_id").agg(
+        F.min_by(F.struct(*events.columns), F.struct("_kafka_partition", "_kafka_offset")).alias("m")
+    ).select("m.*")
     if horizon:
-        timed = events.withColumn("_event_time", F.to_timestamp(time_column)).withWatermark("_event_time", horizon)
-        return timed.dropDuplicatesWithinWatermark(["_event_id"]).drop("_event_time")
-    return events.dropDuplicates(["_event_id"])
+        oldest = first.agg(F.min("_published_at").alias("t")).select(
+            (F.to_timestamp("t") - F.expr(f"INTERVAL {horizon}")).cast("timestamp")
+        )
+        stored = stored.filter(F.to_timestamp("_published_at") >= oldest.scalar())
+    known = stored.join(first.select("_event_id"), "_event_id", "left_semi").select("_event_id").distinct()
+    return first.join(known, "_event_id", "left_anti")
 
 
-def write_stream(events: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()):
-    """Drain what is available into Parquet, exactly once, and stop.
+@dataclass(frozen=True)
+class Drain:
+    """A finished drain: its query, and where the counts of its batches are stored."""
+
+    query: StreamingQuery
+    counts: str
+    consumed_at: str
+
+
+_COUNTS = "consumidos bigint, nuevos bigint, duplicados bigint, invalidos bigint, _consumed_at string, _lote bigint"
 
-    The file sink's commit log names the files of a batch after it is complete, so a repeated
-    batch is not visible twice; the source may have any number of partitions.
-    """
-    writer = (
-        events.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-    )
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    query = writer.start()
-    query.awaitTermination()
-    return query
+
+def write_batch(df: DataFrame, path: str, batch: int) -> None:
+    """A batch's rows as a partition of their own; a repeated batch replaces it."""
+    (
+        df.withColumn("_lote", F.lit(batch).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_lote").parquet(path)
+    )
 
 
 def consume(
@@ -146,34 +168,48 @@ def consume(
     fmt: str = "text",
     horizon: str | None = None,
     **options: str,
-):
-    """Drain a source into Bronze and its dead letters; returns the two queries."""
-    messages = event_stream(spark, source, fmt, max_per_batch, **options)
-    good, bad = split_valid(messages, consumed_at)
-    main = write_stream(dedup_events(good, horizon), bronze, f"{checkpoint}/bronze")
-    dead = write_stream(bad, rejected, f"{checkpoint}/rejected")
-    return main, dead
-
-
-def stream_metrics(main, dead, published: int | None = None) -> dict[str, int]:
-    """Counters of one drain from the queries' progress; raises when messages were lost."""
-
-    def total(query, field):
-        return sum(int(p[field] or 0) for p in query.recentProgress)
-
-    consumed = total(main, "numInputRows")
-    states = [s for p in main.recentProgress for s in p["stateOperators"]]
-    new = sum(int(s["numRowsUpdated"] or 0) for s in states)
-    repeated = sum(int((s["customMetrics"] or {}).get("numDroppedDuplicateRows", 0)) for s in states)
-    metrics = {
-        "consumidos": consumed,
-        "nuevos": new,
-        "duplicados": repeated,
-        "invalidos": consumed - new - repeated,
-        "lotes": sum(1 for p in main.recentProgress if int(p["numInputRows"] or 0)),
-    }
-    if published is not None and consumed < published:
-        raise RuntimeError(f"{consumed} messages consumed, {published} published")
+) -> Drain:
+    """Drain what is available into Bronze and its dead letters, exactly once, and stop.
+
+    Each batch is read and decoded once for both sinks, its counts are stored with it, and progress is
+    committed after all three are written.
+    """
+    counts = f"{checkpoint}/counts"
+
+    def store(batch: DataFrame, number: int) -> None:
+        session, mark = batch.sparkSession, scratch_mark(batch.sparkSession)
+        messages = write_once(with_position(batch), "stream-batch")
+        good, bad = split_valid(messages, consumed_at)
+        stored = read_or_empty(session, bronze, "_event_id string, _published_at string, _lote bigint")
+        fresh = write_once(dedup_events(good, stored.filter(F.col("_lote") != number), horizon), "stream-fresh")
+        write_batch(fresh, bronze, number)
+        write_batch(bad, rejected, number)
+        consumed, valid, new = messages.count(), good.count(), fresh.count()
+        row = session.createDataFrame(
+            [(consumed, new, valid - new, consumed - valid, consumed_at)], _COUNTS.rpartition(", ")[0]
+        )
+        write_batch(row, counts, number)
+        release_scratch(session, mark)
+
+    query = (
+        event_stream(spark, source, fmt, max_per_batch, **options)
+        .writeStream.foreachBatch(store)
+        .option("checkpointLocation", f"{checkpoint}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return Drain(query, counts, consumed_at)
+
+
+def stream_metrics(spark: SparkSession, drain: Drain, published: int | None = None) -> dict[str, int]:
+    """Counters of one drain, summed over the stored counts of all its batches; raises when messages were lost."""
+    names = ["consumidos", "nuevos", "duplicados", "invalidos"]
+    rows = read_or_empty(spark, drain.counts, _COUNTS).filter(F.col("_consumed_at") == drain.consumed_at)
+    total = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count(F.lit(1)).alias("lotes")).first()
+    metrics = total.asDict()
+    if published is not None and metrics["consumidos"] < published:
+        raise RuntimeError(f"{metrics['consumidos']} messages consumed, {published} published")
     return metrics
 
 

@@ -21,8 +21,7 @@ def test_replays_are_dropped_and_equal_business_rows_survive(spark, tmp_path):
     st.publish(first, f"{base}/topic")
     noise = spark.createDataFrame([("{not json",), ('{"data": {}}',), ('{"_event_id": "", "data": {}}',), ('{"_event_id": "x"} y',)], "value string")
     st.publish(noise, f"{base}/topic")
-    main, dead = run(spark, base)
-    metrics = st.stream_metrics(main, dead, published=7)
+    metrics = st.stream_metrics(spark, run(spark, base), published=7)
     assert {k: metrics[k] for k in ("consumidos", "nuevos", "duplicados", "invalidos")} == {
         "consumidos": 7, "nuevos": 2, "duplicados": 1, "invalidos": 4,
     }
@@ -49,11 +48,46 @@ def test_ids_are_deterministic(spark):
     assert a == b != c
 
 
-def test_bounded_state_drops_recent_replays(spark, tmp_path):
+def test_horizon_drops_recent_replays_and_loses_no_late_row(spark, tmp_path):
     base = str(tmp_path)
     rows = messages(spark, [("f", 1, "c", 1.0), ("f", 2, "c", 1.0)])
     st.publish(rows.unionByName(rows), f"{base}/topic")
     st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, horizon="7 days")
-    st.publish(rows, f"{base}/topic")
-    st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, horizon="7 days")
-    assert spark.read.parquet(f"{base}/bronze").count() == 2
+    data = spark.createDataFrame([("g", i, "c", 1.0) for i in range(10)], "_source_sha256 string, _record_number bigint, card string, fare double")
+    late = st.to_events(data, "tm", "2023-06-01T00:00:00", ["card", "fare"])
+    st.publish(rows.unionByName(late), f"{base}/topic")
+    again = st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", "2024-01-02", horizon="7 days")
+    assert spark.read.parquet(f"{base}/bronze").count() == 12
+    got = st.stream_metrics(spark, again)
+    assert (got["nuevos"], got["duplicados"], got["invalidos"]) == (10, 2, 0)
+
+
+def test_counts_are_exact_over_more_batches_than_progress_keeps(spark, tmp_path):
+    base = str(tmp_path)
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        for i in range(6):
+            st.publish(messages(spark, [("f", 10 * i + k, "c", 1.0) for k in range(5)]).coalesce(1), f"{base}/topic")
+        drain = st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, max_per_batch=1)
+        got = st.stream_metrics(spark, drain, published=30)
+        assert got == {"consumidos": 30, "nuevos": 30, "duplicados": 0, "invalidos": 0, "lotes": 6}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    st.write_batch(spark.range(3), path, 1)
+    st.write_batch(spark.range(5), path, 2)
+    st.write_batch(spark.range(3), path, 1)
+    assert spark.read.parquet(path).count() == 8
+
+
+def test_offsets_are_lines_of_their_file(spark, tmp_path):
+    base = str(tmp_path)
+    st.publish(messages(spark, [("f", k, "c", 1.0) for k in range(7)]).coalesce(1), f"{base}/topic")
+    run(spark, base)
+    got = {r["_record_number"]: r["_kafka_offset"] for r in spark.read.parquet(f"{base}/bronze").collect()}
+    assert got == {k: k for k in range(7)}
