@@ -208,9 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: i
     groups = written(components(matched(lists, matches)), "minhash-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     placed = in_blocks(groups.join(sizes, "component"), "component", "node", "members", block)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
-        placed.select(F.col("node").alias("rep"), "component", "piece"), "rep"
-    )
+    wanted = placed.select(F.col("node").alias("rep"), "component", "piece")
+    # the members grow with the input: joined by shuffle at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep")
     links = texts.groupBy("component", "piece").applyInArrow(lambda g: confirmed(g, width, percent), "a long, b long")
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
