@@ -245,11 +245,11 @@ def constant_relation(spark: SparkSession, rows: Sequence[tuple], schema: str) -
 
 
 def cutoffs(
-    cuts: Mapping[str, str] | None = None, include_unlabelled: bool = False
+    cuts: Mapping[str, str] | None = None, include_unlabelled: bool = False, unlabelled: Sequence[str] = ("C",)
 ) -> list[tuple[str, datetime]]:
-    """Cut-off names and instants; the unlabelled one only on request."""
+    """Cut-off names and instants by name; those of ``unlabelled`` only on request."""
     chosen = dict(cuts or DEFAULT_CUTS)
-    names = [n for n in ("A", "B", "C") if n in chosen and (n != "C" or include_unlabelled)]
+    names = [n for n in sorted(chosen) if include_unlabelled or n not in unlabelled]
     return [(n, datetime.fromisoformat(str(chosen[n]))) for n in names]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corredor.functions.scalars import ratio
@@ -79,6 +79,13 @@ def _decision_columns(tp, n, positives, negatives, gain, cost):
     }
 
 
+def checked_score(score: Column) -> Column:
+    """The score, or an error for one that is missing, not a number or outside 0 to 1."""
+    s = score.cast("double")
+    wrong = F.raise_error(F.concat(F.lit("score outside 0 to 1: "), F.coalesce(s.cast("string"), F.lit("null")))).cast("double")
+    return F.when(s.isNull() | F.isnan(s) | ~s.between(0, 1), wrong).otherwise(s)
+
+
 def threshold_table(
     df: DataFrame, label: str = "etiqueta", score: str = "puntaje", gain: int = GAIN, cost: int = COST
 ) -> DataFrame:
@@ -89,6 +96,7 @@ def threshold_table(
     """
     from corredor.operators.joins import with_scalar
 
+    df = df.withColumn(score, checked_score(F.col(score)))
     per_score = df.groupBy(F.col(score).cast("double").alias("umbral")).agg(
         F.sum(F.col(label).cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n")
     )
@@ -114,7 +122,9 @@ def evaluate_threshold(
     df: DataFrame, threshold: float, label: str = "etiqueta", score: str = "puntaje", gain: int = GAIN, cost: int = COST
 ) -> DataFrame:
     """Confusion counts, precision, recall and gain of one threshold."""
-    contact = F.col(score) >= F.lit(threshold)
+    if not 0 <= threshold <= math.nextafter(1.0, math.inf):
+        raise ValueError(f"threshold {threshold} is outside 0 to 1")
+    contact = checked_score(F.col(score)) >= F.lit(threshold)
     totals = df.agg(
         F.count_if(contact & (F.col(label) == 1)).alias("_tp"),
         F.count_if(contact).alias("_n"),

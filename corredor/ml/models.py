@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -106,39 +107,47 @@ def forest(df: DataFrame, trees: int = 100, depth: int = 6, leaf: int = 50) -> P
     return build(Spec("rf", "forest", {"trees": trees, "depth": depth, "leaf": leaf}), 1).fit(df)
 
 
+#: Fits that run side by side; each is a Spark job over all rows.
+PARALLEL_FITS = 8
+
+
+def fit_all(jobs: Sequence) -> list:
+    """Results of the given calls in their order, ``PARALLEL_FITS`` at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "etiqueta") -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores of every specification, and its AUC per fold on both sides.
 
-    ``df`` carries ``fold``; it is read once per fit, so cache it when it is not a table. The
-    AUC of all models, folds and sides is one grouped pass.
+    ``df`` carries ``fold``; it is read once per fit, so cache it when it is not a table. A fitted
+    model scores all rows in one pass, and the AUC of all models, folds and sides is one more.
     """
     spark = df.sparkSession
-    scored, converged = [], []
     sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
     total = sum(sizes.values())
-    keep = ["unidad_id", "fold", F.col(label).alias("etiqueta"), "puntaje"]
+    trained = [(spec, fold) for spec in specs for fold in range(k) if spec.family in ("logistic", "forest")]
+    jobs = [lambda s=s, f=f: build(s, total - sizes[f], label).fit(df.filter(F.col("fold") != f)) for s, f in trained]
+    models = dict(zip([(s.name, f) for s, f in trained], fit_all(jobs)))
+    scored, converged = [], []
     for spec in specs:
         for fold in range(k):
-            train, valid = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
             finished = True
             if spec.family == "recency":
-                sides = {s: d.withColumn("puntaje", F.col("dias_desde_ultimo_uso").cast("double")) for s, d in
-                         (("entrenamiento", train), ("validacion", valid))}
+                rows = df.withColumn("puntaje", F.col("dias_desde_ultimo_uso").cast("double"))
             elif spec.family == "constant":
-                rate = train.agg(F.avg(F.col(label).cast("double")).alias("_r"))
-                sides = {s: d.withColumn("puntaje", rate.scalar()) for s, d in
-                         (("entrenamiento", train), ("validacion", valid))}
+                rate = df.filter(F.col("fold") != fold).agg(F.avg(F.col(label).cast("double")).alias("_r"))
+                rows = df.withColumn("puntaje", rate.scalar())
             else:
-                model = build(spec, total - sizes[fold], label).fit(train)
+                model = models[spec.name, fold]
                 if spec.family == "logistic":
                     last = model.stages[-1]
                     finished = last.summary.totalIterations < last.getMaxIter()
-                sides = {s: with_score(model, d) for s, d in (("entrenamiento", train), ("validacion", valid))}
+                rows = with_score(model, df)
             converged.append((spec.name, spec.family, spec.complexity, fold, finished))
-            for side, rows in sides.items():
-                scored.append(
-                    rows.select(F.lit(spec.name).alias("modelo"), F.lit(fold).alias("vuelta"), F.lit(side).alias("lado"), *keep)
-                )
+            side = F.when(F.col("fold") == fold, "validacion").otherwise("entrenamiento").alias("lado")
+            keep = ["unidad_id", "fold", F.col(label).alias("etiqueta"), "puntaje"]
+            scored.append(rows.select(F.lit(spec.name).alias("modelo"), F.lit(fold).alias("vuelta"), side, *keep))
     every = union_all(scored)
     per_side = roc_auc(every, "etiqueta", "puntaje", ["modelo", "vuelta", "lado"])
     wide = per_side.groupBy("modelo", "vuelta").agg(
@@ -216,7 +225,9 @@ def choose_model(metrics: DataFrame) -> DataFrame:
         F.col("mejor_logistica").alias("modelo"), "mejor_logistica", F.lit(1).alias("_rank"), F.lit(0).alias("_c"), F.lit(0.0).alias("ganancia")
     )
     chosen = arg_max(candidates.unionByName(fallback), [-F.col("_rank"), -F.col("_c")])
-    return chosen.select("modelo", "mejor_logistica", F.col("ganancia").alias("delta_auc_vs_logistica"))
+    # an empty choice means that no logistic model converged: there is no bar to compare with
+    named = F.coalesce("modelo", F.raise_error(F.lit("no converged logistic model to compare with")).cast("string"))
+    return chosen.select(named.alias("modelo"), "mejor_logistica", F.col("ganancia").alias("delta_auc_vs_logistica"))
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, order: Sequence[str]) -> DataFrame:
@@ -233,16 +244,18 @@ def stratified_sample(df: DataFrame, label: str, n: int, order: Sequence[str]) -
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, n: int = 4000, repeats: int = 5, seed: int = SEED, label: str = "etiqueta",
+    model: PipelineModel, df: DataFrame, n: int | None = None, repeats: int = 5, seed: int = SEED, label: str = "etiqueta",
     predictors: Sequence[str] = (*NUMERIC, "operador"),
 ) -> DataFrame:
-    """Mean AUC drop when one predictor is shuffled, on a stratified sample of about ``n`` units.
+    """Mean AUC drop when one predictor is shuffled, on all units or a stratified sample of about ``n``.
 
-    The sample is numbered in seeded random order; for each predictor and repeat a row takes the
+    The units are numbered in seeded random order; for each predictor and repeat a row takes the
     value of the row a seeded distance away. All shuffles are scored in one pass.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "unidad_id")))
-    sample = stratified_sample(hashed.select("unidad_id", label, "_h", *predictors), label, n, ["_h", "unidad_id"])
+    sample = hashed.select("unidad_id", label, "_h", *predictors)
+    if n is not None:
+        sample = stratified_sample(sample, label, n, ["_h", "unidad_id"])
     placed = number_rows(sample, ["_h", "unidad_id"], "_pos")
     size = placed.agg(F.count(F.lit(1)).alias("_size"))
     from corredor.operators.joins import with_scalar
@@ -269,6 +282,28 @@ def permutation_importance(
     )
 
 
+def importance_per_fold(
+    df: DataFrame, spec: Spec, k: int, repeats: int = 5, seed: int = SEED, label: str = "etiqueta"
+) -> DataFrame:
+    """D09 over folds: each fold's model is asked on the rows it has not seen.
+
+    One row per predictor: mean drop, its spread across folds, and the mean spread within a fold's permutations.
+    """
+    sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
+    total = sum(sizes.values())
+    fitted = fit_all([lambda f=f: build(spec, total - sizes[f], label).fit(df.filter(F.col("fold") != f)) for f in range(k)])
+    parts = [
+        permutation_importance(model, df.filter(F.col("fold") == fold), repeats=repeats, seed=seed, label=label).withColumn("vuelta", F.lit(fold))
+        for fold, model in enumerate(fitted)
+    ]
+    return union_all(parts).groupBy("variable").agg(
+        F.avg("caida_auc_media").alias("caida_auc_media"),
+        F.stddev_pop("caida_auc_media").alias("de_vueltas"),
+        F.avg("de_permutacion").alias("de_permutacion"),
+        F.count(F.lit(1)).alias("vueltas"),
+    )
+
+
 def coefficients(model: PipelineModel, numeric: Sequence[str] = NUMERIC, levels: Sequence[str] = OPERATORS) -> DataFrame:
     """Coefficient per predictor of a logistic pipeline, with its magnitude."""
     names = [*numeric, *[f"operador={v}" for v in levels[1:]]]
@@ -277,15 +312,48 @@ def coefficients(model: PipelineModel, numeric: Sequence[str] = NUMERIC, levels:
     return SparkSession.getActiveSession().createDataFrame(rows, "variable string, coeficiente double, abs_coef double")
 
 
-def fit_final(df: DataFrame, spec: Spec, path: str, label: str = "etiqueta") -> PipelineModel:
-    """Fit the chosen pipeline on the labelled cut-off and save it."""
+def fit_final(
+    df: DataFrame, spec: Spec, path: str, label: str = "etiqueta", threshold: float | None = None
+) -> PipelineModel:
+    """Fit the chosen pipeline on the labelled cut-off and save it with its predictors and threshold."""
+    if threshold is not None and not 0 <= threshold <= 1:
+        raise ValueError(f"threshold {threshold} is outside 0 to 1")
     model = build(spec, df.count(), label).fit(df)
-    model.write().overwrite().save(path)
+    model.write().overwrite().save(f"{path}/modelo")
+    contract = [(spec.name, threshold, [*NUMERIC, "operador"])]
+    df.sparkSession.createDataFrame(contract, CONTRACT).write.mode("overwrite").json(f"{path}/contrato")
     return model
 
 
-def score(df: DataFrame, path: str, threshold: float, key: str = "tarjetas") -> DataFrame:
-    """``unidad_id``, card, score and contact flag of every unit, by a saved pipeline."""
-    scored = with_score(PipelineModel.load(path), df)
+CONTRACT = "modelo string, umbral double, columnas array<string>"
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """A saved pipeline and its contract."""
+    return PipelineModel.load(f"{path}/modelo"), spark.read.schema(CONTRACT).json(f"{path}/contrato").first().asDict()
+
+
+def score(df: DataFrame, path: str, threshold: float | None = None, key: str = "tarjetas") -> DataFrame:
+    """``unidad_id``, card, score and contact flag of every unit, by a saved pipeline.
+
+    Units that may not be scored (Q23) and missing columns stop the batch before, scores outside 0 to 1
+    after. The threshold is the one saved with the model unless another is given.
+    """
+    from corredor.operators.quality import scoring_input_rules
+
+    model, contract = load_model(df.sparkSession, path)
+    threshold = contract["umbral"] if threshold is None else threshold
+    if threshold is None:
+        raise ValueError("no threshold was saved with the model")
+    missing = sorted({"unidad_id", key, *contract["columnas"]} - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    problems = scoring_input_rules(df, NUMERIC, key).groupBy("problema").count().collect()  # one row per rule
+    if problems:
+        raise ValueError(f"units that may not be scored: {sorted((r['problema'], r['count']) for r in problems)}")
+    scored = with_score(model, df)
+    bad = F.col("puntaje").isNull() | F.isnan("puntaje") | ~F.col("puntaje").between(0, 1)
+    wrong = F.raise_error(F.concat(F.lit("score outside 0 to 1: "), F.col("unidad_id"))).cast("double")
+    scored = scored.withColumn("puntaje", F.when(bad, wrong).otherwise(F.col("puntaje")))
     flag = (F.col("puntaje") >= F.lit(threshold)).cast("int")
     return scored.select("unidad_id", key, "puntaje", flag.alias("contactar"))

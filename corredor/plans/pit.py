@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,21 +159,23 @@ def card_features(
 ) -> DataFrame:
     """Ten features per card and cut-off; operators are never linked.
 
-    Active days are bits of one number (the window is a few weeks), which leaves a single
+    Active days are bits of a few numbers, one for each 60 days of the window, which leaves a single
     distinct count: uses are reduced per (card, cut-off, point) and then per (card, cut-off).
     """
     longest, *shorter = windows
-    if longest > 61:
-        raise ValueError("the day mask holds windows of up to 61 days")
     cut, used = F.col("fecha_corte"), F.col("fecha_uso")
     spread = range_join(
         _span(uses, cuts, longest, 0), fx.cut_array(cuts), lambda c: _prior(c["fecha_corte"], longest)
     )
-    day_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.datediff(cut, used))
+    day = F.datediff(cut, used)  # 0 to ``longest``
+    masks = [
+        F.bit_count(F.bit_or(F.when(F.floor(day / 60) == i, F.call_function("shiftleft", F.lit(1).cast("long"), day % 60)).otherwise(0)))
+        for i in range(longest // 60 + 1)
+    ]
     unit = spread.groupBy("corte", "fecha_corte", *UNIT).agg(
         F.count(F.lit(1)).alias(f"viajes_{longest}d"),
         *[F.count_if(used >= cut - _days(w)).alias(f"viajes_{w}d") for w in shorter],
-        F.bit_count(F.bit_or(day_bit)).cast("long").alias(f"dias_activos_{longest}d"),
+        reduce(add, masks).cast("long").alias(f"dias_activos_{longest}d"),
         F.countDistinct("punto_origen").alias(f"puntos_origen_{longest}d"),
         F.max(used).alias("_ultimo"),
         F.sum("tarifa_quetzales").alias(f"gasto_{longest}d_gtq"),
@@ -204,12 +208,12 @@ def card_features(
 
 
 def future_rows(
-    sources: Mapping[str, DataFrame], cut: datetime, days: int, sample: int = 100
+    sources: Mapping[str, DataFrame], cut: datetime, days: int, sample: int | None = None
 ) -> dict[str, DataFrame]:
-    """Later rows for the invariance audit, made from the first rows of each source.
+    """Later rows for the invariance audit, made from every row of each source (or the first ``sample``).
 
-    The sampled rows of an event source recur on each of the following days, the train also gets
-    trips that were open at the cut-off and closed after it, and the sampled cards of the history
+    The rows of an event source recur on each of the following days, the train also gets
+    trips that were open at the cut-off and closed after it, and the cards of the history
     get a DELETE per day. None of them was known at the cut-off.
     """
     base = F.lit(str(cut)).cast("timestamp_ntz")
@@ -217,6 +221,9 @@ def future_rows(
     noon = base + F.make_dt_interval(days=F.col("_day"), hours=F.lit(12))
     minute = F.make_dt_interval(mins=F.lit(1))
 
+    def first_rows(df, order):
+        return df if sample is None else head_sample(df, order, sample)
+
     def prefixed(name, *parts):
         return F.concat(F.lit(name), *parts, F.col("bronze_record_id"))
 
@@ -225,7 +232,7 @@ def future_rows(
     for name, df in sources.items():
         columns = set(df.columns)
         if "bronze_record_id" in columns:
-            first = head_sample(df, ["bronze_record_id"], sample)
+            first = first_rows(df, ["bronze_record_id"])
             moved = {"bronze_record_id": new_id}
             if "fecha_hora_ingreso" in columns:
                 moved.update({"fecha_hora_ingreso": noon, "fecha_hora_salida": noon + F.make_dt_interval(mins=F.lit(20))})
@@ -242,10 +249,10 @@ def future_rows(
                 )
                 added[name] = added[name].unionByName(open_trip)
         elif "operacion" in columns:
-            first = head_sample(df, ["tarjeta_id", "valid_from"], sample)
+            first = first_rows(df, ["tarjeta_id", "valid_from"])
             closed = {"operacion": F.lit("DELETE"), "valid_from": noon}
             added[name] = first.withColumn("_day", day).withColumns(closed).drop("_day")
         elif "id_registro_crudo" in columns:
-            first = head_sample(df, ["fuente", "id_registro_crudo"], sample)
+            first = first_rows(df, ["fuente", "id_registro_crudo"])
             added[name] = first.withColumn("id_registro_crudo", F.concat(F.lit("futuro:"), "id_registro_crudo"))
     return added

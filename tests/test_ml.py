@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corredor.functions.scalars import md5_key
 from corredor.ml import evaluation, models, segments
 
 
@@ -115,6 +116,21 @@ def test_choice_rule(spark):
     assert models.choose_model(metrics([base, few_wins])).head()["modelo"] == "l2"
 
 
+def test_no_converged_logistic_model_is_an_error(spark):
+    rows = [("rf", "forest", 1, v, 0.9, 0.8, 0.1, True) for v in range(5)] + [("l2", "logistic", 0, v, 0.9, 0.8, 0.1, False) for v in range(5)]
+    metrics = spark.createDataFrame(
+        rows, "modelo string, familia string, complejidad int, vuelta int, auc_entrenamiento double, auc_validacion double, brecha double, convergio boolean"
+    )
+    with pytest.raises(Exception, match="no converged logistic"):
+        models.choose_model(metrics).collect()
+
+
+def test_importance_per_fold(spark, matrix):
+    got = {r["variable"]: r for r in models.importance_per_fold(matrix, SPECS[2], 3, repeats=2).collect()}
+    assert max(got.values(), key=lambda r: r["caida_auc_media"])["variable"] == "dias_desde_ultimo_uso"
+    assert all(r["vueltas"] == 3 for r in got.values()) and got["dias_desde_ultimo_uso"]["de_vueltas"] >= 0
+
+
 def test_importance_finds_the_predictor_that_matters(spark, matrix):
     model = models.build(SPECS[2], 120).fit(matrix)
     drops = {r["variable"]: r["caida_auc_media"] for r in models.permutation_importance(model, matrix, repeats=3).collect()}
@@ -122,16 +138,29 @@ def test_importance_finds_the_predictor_that_matters(spark, matrix):
     assert models.coefficients(model).orderBy(F.desc("abs_coef")).head()["variable"] == "dias_desde_ultimo_uso"
 
 
-def test_saved_model_scores_alike_and_tolerates_unknown_operators(spark, matrix, tmp_path):
+def test_saved_model_scores_alike_and_checks_its_input(spark, matrix, tmp_path):
     path = str(tmp_path / "m")
-    model = models.fit_final(matrix, SPECS[3], path)
+    model = models.fit_final(matrix, SPECS[3], path, threshold=0.5)
     rows = matrix.withColumn("tarjetas", F.col("unidad_id")).withColumn(
         "operador", F.when(F.col("unidad_id") == "u000", "Nuevo").otherwise(F.col("operador"))
     )
-    out = models.score(rows, path, 0.5)
+    rows = rows.withColumn("unidad_id", md5_key(F.col("operador"), F.col("tarjetas")))
+    out = models.score(rows, path)
     assert out.columns == ["unidad_id", "tarjetas", "puntaje", "contactar"] and out.count() == 120
     direct = models.with_score(model, rows).select("unidad_id", F.col("puntaje").alias("p"))
-    assert out.join(direct, "unidad_id").filter(F.col("p") != F.col("puntaje")).count() == 0
+    assert out.join(direct, "unidad_id").filter((F.col("p") != F.col("puntaje")) | (F.col("contactar") != (F.col("p") >= 0.5).cast("int"))).count() == 0
+    with pytest.raises(ValueError, match="may not be scored"):
+        models.score(rows.withColumn("viajes_28d", F.lit(float("nan"))), path)
+    with pytest.raises(ValueError, match="missing columns"):
+        models.score(rows.drop("viajes_28d"), path)
+    with pytest.raises(ValueError, match="threshold"):
+        models.fit_final(matrix, SPECS[3], path, threshold=1.5)
+
+
+def test_thresholds_reject_scores_that_are_none(spark):
+    for bad in (float("nan"), 1.5, None):
+        with pytest.raises(Exception, match="score outside"):
+            evaluation.threshold_table(scored(spark, [(0.2, 0), (bad, 1)])).collect()
 
 
 def test_segments_of_separated_clusters(spark):
@@ -145,19 +174,44 @@ def test_segments_of_separated_clusters(spark):
 
 
 def test_silhouette_equals_brute_force(spark):
+    from pyspark.ml.linalg import Vectors
+
     rng = random.Random(9)
     points = [([rng.random(), rng.random()], i % 3) for i in range(40)]
-    got = segments.silhouette(spark.createDataFrame(points, "_p array<double>, g int"), "g").head()[0]
+    df = spark.createDataFrame([(Vectors.dense(p), g) for p, g in points], ["x", "g"])
     total = 0
     for i, (p, g) in enumerate(points):
         by = {}
         for j, (q, h) in enumerate(points):
             if i != j:
-                by.setdefault(h, []).append(math.dist(p, q))
+                by.setdefault(h, []).append(math.dist(p, q) ** 2)
         a = sum(by[g]) / len(by[g])
         b = min(sum(v) / len(v) for k, v in by.items() if k != g)
         total += (b - a) / max(a, b)
-    assert abs(got - total / len(points)) < 1e-9
+    assert abs(segments.silhouette(df, "g") - total / len(points)) < 1e-9
+
+
+def test_elbow_measures_true_distances_of_uneven_k(spark):
+    curve = [(2, 100.0), (3, 40.0), (4, 30.0), (8, 0.0)]
+    df = spark.createDataFrame(curve, "k int, inercia double")
+    far = max(curve, key=lambda r: 1 - (r[0] - 2) / 6 - r[1] / 100)[0]
+    assert segments.elbow(df).head()[0] == far == 3
+
+
+def test_segment_rejects_what_it_cannot_split(spark):
+    flat = spark.createDataFrame([(f"u{i}", 1.0) for i in range(9)], "unidad_id string, a double")
+    with pytest.raises(ValueError, match="distinct"):
+        segments.segment(flat, features=("a",))
+    broken = spark.createDataFrame([(f"u{i}", float(i) if i else float("nan")) for i in range(9)], "unidad_id string, a double")
+    with pytest.raises(ValueError, match="finite"):
+        segments.segment(broken, features=("a",))
+
+
+def test_segments_get_two_proposals(spark):
+    rows = [(f"u{i}", i % 3, 5.0, float(i % 3), 0) for i in range(30)]
+    flat = spark.createDataFrame(rows, "unidad_id string, segmento int, viajes_28d double, dias_desde_ultimo_uso double, etiqueta int")
+    out = segments.describe_segments(flat, features=("viajes_28d", "dias_desde_ultimo_uso"), offers=("x", "y"))
+    assert {r["segmento"]: r["accion_retencion"] for r in out.collect()} == {0: "x", 1: "x", 2: "y"}
 
 
 def test_oof_contract(spark, matrix):
