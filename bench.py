@@ -16,11 +16,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from corredor.ml import evaluation  # noqa: E402
+from corredor.ml import evaluation, models  # noqa: E402
 from corredor.operators import cdc, quality, windows  # noqa: E402
 from corredor.plans import gold, layers, pit, silver, views  # noqa: E402
 from corredor.queries.bindings import Warehouse  # noqa: E402
 from corredor.session import build_session  # noqa: E402
+from corredor.sources import bronze, staging  # noqa: E402
 
 
 def main() -> None:
@@ -65,6 +66,14 @@ def main() -> None:
     changes = cdc.type_cdc(staged["cdc_registro_ambiguo"])
     uses, history = t["silver.p2_usos_tarjeta"], t["silver.padron_transmetro_scd2"]
     pop = t["silver.p2_poblacion_tarjeta"]
+    raw_csv = f"{base}/raw"
+    w.tu_transactions_raw.select("bronze_record_id", "fecha", "hora", "num_tarjeta", "cod_parada", "ruta", "monto_centavos").write.option("header", True).csv(raw_csv)
+    timed("S06_ingest_once", lambda: bronze.ingest_once(spark, "tu", raw_csv, f"{base}/bronze", f"{base}/manifest", "2024-01-01", "2024-01-01T00:00:00"))
+    timed("S17_rebuild_staging", lambda: staging.rebuild_staging({"tm": w.staging["transmetro_validaciones"]}, f"{base}/stg"))
+    matrix = models.as_matrix(t["silver.p2_features_tarjeta"].filter("corte = 'A'")).persist()
+    fitted = timed("D05_forest", lambda: models.forest(matrix))
+    timed("D19_scoring", lambda: drain(models.with_score(fitted, matrix)))
+    matrix.unpersist()
     events = w.events.selectExpr("event_id AS unidad_id", "CAST(v AS DOUBLE) / 1000 AS puntaje", "int(event_type = 'purchase') AS etiqueta")
     queries = {
         "M35_a_from_fact": lambda: views.demand_from_fact(facts, zones, modes),

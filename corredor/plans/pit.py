@@ -39,9 +39,16 @@ def _span(uses: DataFrame, cuts: Cuts, before: int, after: int) -> DataFrame:
     first, last = min(c for _, c in cuts), max(c for _, c in cuts)
     low = F.lit(str(first)).cast("timestamp_ntz") - _days(before)
     high = F.lit(str(last)).cast("timestamp_ntz") + _days(after)
+    if "mes" in uses.columns:  # stored by month: other months are not read
+        uses = uses.filter((F.col("mes") >= month_of(low)) & (F.col("mes") <= month_of(high)))
     return uses.filter((F.col("fecha_uso") >= low) & (F.col("fecha_uso") < high))
 
 
+def month_of(moment):
+    """Month of a timestamp as ``yyyyMM``."""
+    return F.year(moment) * 100 + F.month(moment)
+
+
 def _prior(cut, days):
     """Condition on a use: inside the prior window and known before the cut-off."""
     used, known = F.col("fecha_uso"), F.col("disponible_desde")

@@ -128,10 +128,15 @@ def events_last_month(boardings: DataFrame, trips: DataFrame) -> DataFrame:
         fx.month_start(fx.ts_from_key(F.col("_k"))).alias("inicio_mes")
     )
 
+    start, end = F.col("inicio_mes"), F.add_months("inicio_mes", 1).cast("timestamp_ntz")
+    low, high = (month.select(fx.ts_key(t.cast("timestamp_ntz")).alias("k")).scalar() for t in (start, end))
+
     def in_month(facts, column, name):
-        dated = with_scalar(facts.select(fx.ts_from_key(F.col(column)).alias("_t")), month)
-        inside = fx.month_window(F.col("_t"), F.col("inicio_mes"))
-        return dated.agg(F.count_if(inside).alias(name))
+        # a range of the stored key: files, row groups and months outside it are skipped
+        inside = facts.filter((F.col(column) >= low) & (F.col(column) < high))
+        if "mes" in facts.columns:
+            inside = inside.filter((F.col("mes") >= F.floor(low / 100_000_000)) & (F.col("mes") <= F.floor(high / 100_000_000)))
+        return inside.agg(F.count(F.lit(1)).alias(name))
 
     out = with_scalar(
         with_scalar(month, in_month(boardings, "tiempo_sk", "abordajes_mes_tm_tu_am")),

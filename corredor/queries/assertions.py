@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corredor.operators import cdc, quality
+from corredor.operators.sets import union_all
 from corredor.plans import gold, pit, silver
 from corredor.plans.silver import AM, MR, TM, TU
 from corredor.queries.bindings import LABEL_DAYS, Warehouse
@@ -69,11 +70,15 @@ RAW_IDENTIFIERS = [
 
 @query(
     "Q06_forbidden_columns",
-    "SELECT * FROM (VALUES ('bridge', 'usuario_canonico_id'), ('bridge', 'llave_origen')) x(relacion, columna)",
+    """SELECT relacion, columna, filas FROM (VALUES ('bridge', 'usuario_canonico_id'), ('bridge', 'llave_origen')) x(relacion, columna),
+       (SELECT count(*) AS filas FROM bridge)""",
 )
 def q06(w: Warehouse):
+    """Exposed identifiers with the rows that expose them; the published relations have none."""
     relations = {"fact_abordajes": w.boardings, "fact_viajes": w.trips, "dim_usuario": w.users, "bridge": w.bridge}
-    return quality.forbidden_columns(relations, RAW_IDENTIFIERS)
+    found = quality.forbidden_columns(relations, RAW_IDENTIFIERS)
+    rows = [df.agg(F.lit(name).alias("relacion"), F.count(F.lit(1)).alias("filas")) for name, df in relations.items()]
+    return found.join(union_all(rows), "relacion").select("relacion", "columna", "filas")
 
 
 @query(

@@ -76,6 +76,9 @@ def min_user_catalog(df: DataFrame, key: str) -> DataFrame:
     return df.select(key).dropDuplicates()
 
 
+_LOG = "version string, numero int"
+
+
 def rebuild_staging(tables: Mapping[str, DataFrame], base: str, expected: Mapping[str, int] | None = None) -> str:
     """Write every table under a new version and publish it once all of them check out.
 
@@ -90,15 +93,17 @@ def rebuild_staging(tables: Mapping[str, DataFrame], base: str, expected: Mappin
         # the input count prunes every column, so it does not repeat the work of the write
         wanted = (expected or {}).get(name)
         assert_written(spark, target, df.count() if wanted is None else wanted)
-    log = spark.createDataFrame([(version,)], "version string").withColumn("publicada", F.current_timestamp())
+    log = read_or_empty(spark, f"{base}/_versions", _LOG)
+    number = (log.agg(F.max("numero")).first()[0] or 0) + 1  # one row per rebuild; nothing reads the clock
+    log = spark.createDataFrame([(version, number)], _LOG)
     log.coalesce(1).write.mode("append").parquet(f"{base}/_versions")
     return version
 
 
 def read_staging(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The published version of a staging table."""
-    log = read_or_empty(spark, f"{base}/_versions", "version string, publicada timestamp")
-    newest = log.agg(F.max_by("version", "publicada").alias("v")).head()
+    log = read_or_empty(spark, f"{base}/_versions", _LOG)
+    newest = log.agg(F.max_by("version", "numero").alias("v")).head()
     if newest is None or newest["v"] is None:
         raise FileNotFoundError(f"no published version under {base}")
     return spark.read.parquet(f"{base}/{name}/version={newest['v']}")
