@@ -22,10 +22,14 @@ from __future__ import annotations
 import hashlib
 import pickle
 import random
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,7 @@ CONTEXTS = 3
 SHORTEST = 4
 SPELLING = 3
 BASE_BYTES = 112_640
+BASE_ROWS = 4000
 LONGEST = 200_000
 CACHED = 400_000
 
@@ -103,8 +108,8 @@ class Distances(dict):
         return float(1 / (1 + np.exp(-np.clip(self.model.weights[0] + x @ self.model.weights[1:], -30, 30))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, seed: int) -> list[tuple[str, int]]:
-    """(text, toxic) of a bounded sample of the labelled rows that may be learned from."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, seed: int) -> pa.Table:
+    """(text, mark) of a bounded sample of the labelled rows that may be learned from, toxic ones marked 1."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     parts = [
@@ -113,37 +118,59 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: i
     ]
     chosen = F.broadcast(parts[0].unionAll(parts[1]))  # at most toxic_rows + ordinary_rows ids
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.length("text") <= LONGEST).dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "text", "mark").toArrow().sort_by("doc_id")
-    return list(zip(rows.column("text").to_pylist(), rows.column("mark").to_pylist()))
+    return texts.select("doc_id", "text", "mark").toArrow().sort_by("doc_id").select(["text", "mark"])
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 11) -> Model:
+def _texts(rows: pa.Table, mark: int):
+    """The texts of one mark, a few at a time: word lists of the whole sample would not fit the driver."""
+    for batch in rows.filter(pc.equal(rows.column("mark"), mark)).to_batches(max_chunksize=500):
+        yield from strings(batch.column(0)).to_pylist()
+
+
+def _marked(rows: pa.Table) -> list[str]:
+    """Words and word beginnings that recur in toxic texts and begin no word of ordinary ones, rarest first."""
+    common = sorted({w for text in _texts(rows, 0) for w in set(words(text))})
+
+    def begins(text: str) -> Iterator[tuple[str, str]]:
+        own = words(text)
+        for before, word in zip(["", *own], own):
+            for n in range(SHORTEST, min(len(word), 24) + 1):
+                yield before, word[:n]
+
+    seen = Counter(start for text in _texts(rows, 1) for _, start in begins(text))
+    often = {w for w, n in seen.items() if n >= CONTEXTS and not _is_begun(common, w)}
+    near: dict[str, set[str]] = {w: set() for w in often}
+    for text in _texts(rows, 1):
+        for before, start in begins(text):
+            if start in near:
+                near[start].add(before)
+    return sorted((w for w, n in near.items() if len(n) >= CONTEXTS), key=lambda w: (len(near[w]), w))
+
+
+def _is_begun(ordered: list[str], start: str) -> bool:
+    at = bisect_left(ordered, start)
+    return at < len(ordered) and ordered[at].startswith(start)
+
+
+def fit(rows: pa.Table, seed: int = 11) -> Model:
     """Trains both dictionaries and the calibration on labelled texts."""
     rnd = random.Random(seed)
     spelling, lead = [rnd.randbytes(SPELLING) for _ in range(256)], rnd.randbytes(16)
-    plain = [words(t) for t, mark in rows if mark == 0]
-    bad = [words(t) for t, mark in rows if mark == 1]
-    if not any(plain) or not any(bad):
+    if not any(map(words, _texts(rows, 0))) or not any(map(words, _texts(rows, 1))):
         return Model(b" " * 8, b" " * 8, None, np.zeros(8), np.ones(8), spelling, lead)
-    common = Counter(w for own in plain for w in set(own))
-    known = {w[:n] for w in common for n in range(SHORTEST, min(len(w), 24) + 1)}
-    near = defaultdict(set)
-    for own in bad:
-        for before, word in zip(["", *own], own):
-            for n in range(SHORTEST, min(len(word), 24) + 1):
-                if word[:n] not in known:
-                    near[word[:n]].add(before)
-    marked = sorted((w for w, n in near.items() if len(n) >= CONTEXTS), key=lambda w: (len(near[w]), w))
-    toxic = f" {' '.join(marked)} ".encode(errors="replace")[-BASE_BYTES:]
+    toxic = f" {' '.join(_marked(rows))} ".encode(errors="replace")[-BASE_BYTES:]
+    windows, usual = [], Counter()
+    for text in islice(_texts(rows, 0), BASE_ROWS):
+        own = words(text)
+        usual.update(set(own))
+        windows += [f" {' '.join(own[i : i + 16])} ".encode(errors="replace") for i in range(0, len(own), 16)]
     filler, size = [], 0
-    for word, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
+    for word, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])):
         if size >= len(toxic):
             break
         filler.append(word)
         size += len(word.encode(errors="replace")) + 1
     ordinary = f" {' '.join(filler)} ".encode(errors="replace")[: len(toxic) - 1] + b" "
-    picked = rnd.sample(plain, min(4000, len(plain)))
-    windows = [f" {' '.join(own[i : i + 16])} ".encode(errors="replace") for own in picked for i in range(0, len(own), 16)]
     base = _trained(windows)
     model = Model(b"", b"", None, np.zeros(8), np.ones(8), spelling, lead)
     model.ordinary, model.toxic = (model.spell(base + tail) + lead for tail in (ordinary, toxic))
@@ -158,14 +185,13 @@ def _trained(windows: list[bytes]) -> bytes:
         return b"".join(windows)[:BASE_BYTES]
 
 
-def _calibrate(model: Model, rows: list[tuple[str, int]], ordinary: int = 4000) -> None:
-    """Logistic regression (Newton steps); ordinary rows beyond ``ordinary`` are weighted instead of scored."""
-    plain = [t for t, mark in rows if mark == 0]
-    used = [(t, 1) for t, mark in rows if mark == 1] + [(t, 0) for t in plain[:ordinary]]
+def _calibrate(model: Model, rows: pa.Table) -> None:
+    """Logistic regression (Newton steps); ordinary rows beyond ``BASE_ROWS`` are weighted instead of scored."""
     table = Distances(model)
-    x = np.array([table.features(t) for t, _ in used])
-    y = np.array([mark for _, mark in used], dtype=np.float64)
-    weight = np.where(y == 1, 1.0, len(plain) / min(len(plain), ordinary))
+    bad = [table.features(t) for t in _texts(rows, 1)]
+    plain = [table.features(t) for t in islice(_texts(rows, 0), BASE_ROWS)]
+    x, y = np.array(bad + plain), np.repeat([1.0, 0.0], [len(bad), len(plain)])
+    weight = np.where(y == 1, 1.0, (rows.num_rows - len(bad)) / len(plain))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     w = np.zeros(z.shape[1])
@@ -176,7 +202,7 @@ def _calibrate(model: Model, rows: list[tuple[str, int]], ordinary: int = 4000)
     model.weights = w
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, ordinary_rows: int = 12_000, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, ordinary_rows: int = 10_000, seed: int = 11) -> Model:
     return fit(sample(docs, labels, toxic_rows, ordinary_rows, seed), seed)
 
 

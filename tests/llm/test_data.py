@@ -275,7 +275,7 @@ def test_toxicity_never_learns_held_out_labels_and_needs_both_classes(spark):
     docs = frame(spark, rows)
     held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     labels = spark.createDataFrame([(i, 1, 1) for i in held], "doc_id long, quality int, toxic int")
-    assert toxicity.sample(docs, labels, 10, 10, 1) == []
+    assert toxicity.sample(docs, labels, 10, 10, 1).num_rows == 0
     assert {r["score"] for r in toxicity.scores(docs, toxicity.train(docs, labels)).collect()} == {0.0}
     flags = docs.select("doc_id", toxicity.held_out(docs["doc_id"]).alias("h")).collect()
     assert [r["doc_id"] for r in flags if r["h"]] == held
