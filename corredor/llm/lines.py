@@ -2,7 +2,7 @@
 
 Lines end at line feeds. A line is normalised (A-Z lower-cased, digits as 0, blanks as one space); lines
 without words are blank and stay. Equal normalised lines are one class. Each class has a 64-bit SimHash
-of its words. Two classes are linked when their SimHashes differ in at most ``distance`` bits and their
+of its distinct words. Two classes are linked when their SimHashes differ in at most ``distance`` bits and their
 edit similarity, 1 - distance / longer length in characters, is ``similarity`` or more; of each connected
 group the first occurrence (by doc_id, then place) stays and all others go.
 
@@ -74,13 +74,19 @@ def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin, counts = lines.first[spoken], np.diff(lines.first)[spoken]
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, counts).astype(np.uint64)
     keys = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + counts.astype(np.uint64))
+    # each word of a line counts once: a mark between all words must not drown them
+    line = np.repeat(np.arange(len(spoken)), counts)
+    order = np.lexsort((h, line))
+    new = np.append(True, (line[order][1:] != line[order][:-1]) | (h[order][1:] != h[order][:-1]))
+    h, distinct = h[order][new], np.bincount(line[order][new], minlength=len(spoken))
+    begin = np.cumsum(distinct) - distinct
     ones = np.zeros((len(spoken), 64), dtype=np.int32)
     for lo in range(0, len(spoken), 4000):  # bounds the bit matrix
         hi = min(lo + 4000, len(spoken))
-        a, b = begin[lo], begin[hi - 1] + counts[hi - 1]
+        a, b = begin[lo], begin[hi - 1] + distinct[hi - 1]
         bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1)
         ones[lo:hi] = np.add.reduceat(bits, begin[lo:hi] - a, axis=0, dtype=np.int32)
-    sim = np.packbits(2 * ones > counts[:, None], axis=1).view(np.uint64).ravel()
+    sim = np.packbits(2 * ones > distinct[:, None], axis=1).view(np.uint64).ravel()
     return spoken, keys.view(np.int64), sim.view(np.int64)
 
 
@@ -199,7 +205,18 @@ def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity:
 
     def confirm(rows: pa.Table) -> pa.Table:
         text, ids = rows.column("text").to_pylist(), rows.column("node").to_numpy()
-        a, b = forest(ids, lambda one, rest: np.array([similar(text[one], text[r], similarity) for r in rest], dtype=bool))
+        size = np.array([len(t) for t in text])
+        letters = np.array([np.bincount(np.frombuffer(t.encode(), dtype=np.uint8) & 63, minlength=64) for t in text], dtype=np.int32)
+
+        def linked(one, rest):
+            longer = np.maximum(size[rest], size[one])
+            # an edit changes two counts of bytes at most (per byte of a character, so four times as many)
+            least = np.maximum(np.abs(size[rest] - size[one]), np.abs(letters[rest] - letters[one]).sum(axis=1) / 8)
+            hit = longer - least >= similarity * longer
+            hit[hit] = [similar(text[one], text[r], similarity) for r in rest[hit]]
+            return hit
+
+        a, b = forest(ids, linked)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return placed.groupBy("component", "piece").applyInArrow(confirm, "a long, b long")
