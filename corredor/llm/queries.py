@@ -75,7 +75,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+              FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM again, generate_series(0, 19) AS t(k)),
+        words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d)
+        SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(g.p) AS n_removed,
+               sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY words.p), '')) AS kept_sha256
+        FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.p = words.p
+        GROUP BY d.doc_id""",
+    "op5_minhash_near_dedup": rf"""
+        WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM l WHERE len(w) >= 3)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM l WHERE len(w) BETWEEN 1 AND 2)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
+        SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, node = min(root) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node""",
     "op3_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h

@@ -310,7 +310,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] == now.agg({"length": "sum"}).first()[0]
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op8_exact_top_k"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_exact_dedup", "op5_minhash_near_dedup", "op8_exact_top_k"])
 def test_query_equals_its_sql(spark, name):
     from oracle_check import compare, connect
 
