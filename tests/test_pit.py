@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from fixtures import at, history, quarantine, rows, silver
 
+from corredor.functions import scalars as fx
 from corredor.operators import quality
 from corredor.plans import pit
 from corredor.plans.silver import AM, MR, TM, card_uses, identity_bridge
@@ -97,29 +98,50 @@ def test_empty_population_has_null_rates(spark):
     assert (cost["poblacion"], cost["tasa_positiva"], cost["proporcion_costo"]) == (0, None, None)
 
 
-def test_golden_features(spark):
-    data = [
-        ("viejo", "t", "2026-06-02T23:59:59", 1000, "p4"), ("a", "t", "2026-06-03", 1, "p1"),
-        ("b", "t", "2026-06-24T08:00", 2, "p2"), ("cuarentena", "t", "2026-06-28", 2000, "p5"),
-        ("c", "t", "2026-06-30T18:00", 3, "p1"), ("futuro", "t", "2026-07-01", 999, "p3"),
+def at_cut(spark, moment, rejected=(), **events):
+    """Population and uses at one cut-off of its own."""
+    cuts = [("A", at(moment))]
+    data = silver(spark, **events)
+    uses = card_uses(data, quarantine(spark, rejected))
+    return cuts, pit.card_population(uses, history(spark, []), cuts), uses
+
+
+def test_features_at_the_borders_of_their_windows(spark):
+    card = "TC-00004410"
+    rides = [
+        ("half an hour early", card, "2026-02-14T23:30", 80, "n9"),
+        ("first instant", card, "2026-02-15T00:00", 4.5, "n1"),
+        ("monday evening", card, "2026-03-02T17:15", 6.25, "n2"),
+        ("tuesday morning", card, "2026-03-10T07:45", 6.25, "n2"),
+        ("rejected", card, "2026-03-12T12:00", 500, "n7"),
+        ("saturday", card, "2026-03-14T06:00", 3, "n3"),
+        ("at the cut", card, "2026-03-15T00:00", 70, "n8"),
     ]
-    pop, uses = population(spark, tm=data, rejected=[(TM, "cuarentena")])
-    features = pit.card_features(pop, uses, CUTS)
-    row = features.filter("corte = 'A'").head()
-    assert (row["viajes_28d"], row["viajes_7d"], row["viajes_14d"]) == (3, 2, 2)
-    assert (row["gasto_28d_gtq"], row["tarifa_media_gtq"]) == (6, 2)
-    assert (row["puntos_origen_28d"], row["dias_activos_28d"], row["etiqueta"]) == (2, 3, 0)
-    assert row["dias_desde_ultimo_uso"] == Decimal("0.25")
-    assert abs(float(row["proporcion_hora_pico"]) - 2 / 3) < 1e-12
+    cuts, pop, uses = at_cut(spark, "2026-03-15", [(TM, "rejected")], tm=rides)
+    features = pit.card_features(pop, uses, cuts)
+    row = features.head()
+    assert (row["viajes_28d"], row["viajes_14d"], row["viajes_7d"]) == (4, 3, 2)
+    assert (row["gasto_28d_gtq"], row["tarifa_media_gtq"]) == (20, 5)
+    assert (row["puntos_origen_28d"], row["dias_activos_28d"], row["etiqueta"]) == (3, 4, 0)
+    assert row["dias_desde_ultimo_uso"] == Decimal("0.75")
+    assert float(row["proporcion_fin_semana"]) == 0.5
+    busy = sum(fx.PEAK_HOURS.count(h) for h in (17, 7))
+    assert float(row["proporcion_hora_pico"]) == busy / 4
     assert quality.card_feature_rules(features, pop).count() == 0
 
 
-def test_trip_closing_at_the_cut_is_not_a_feature(spark):
-    trips = [("m1", "MR1", "2026-06-10", "2026-06-10T01:00", 3, "1"), ("m2", "MR1", "2026-06-11", "2026-06-11T01:00", 5, "1"),
-             ("m3", "MR1", "2026-06-30T23:00", "2026-07-01", 7, "1")]
-    pop, uses = population(spark, mr=trips)
-    row = pit.card_features(pop, uses, CUTS).head()
-    assert (row["viajes_28d"], row["gasto_28d_gtq"]) == (2, 8)
+def test_windows_longer_than_two_months(spark):
+    rides = [(f"r{d}", "TC-00000031", str(at("2026-03-15") - timedelta(days=d, hours=-1))[:19].replace(" ", "T"), 1, "n") for d in (1, 20, 59, 60, 61, 62, 100, 130)]
+    cuts, pop, uses = at_cut(spark, "2026-03-15", tm=rides)
+    assert pit.card_features(pop, uses, cuts, windows=(120, 7, 61)).head()["dias_activos_120d"] == 7
+
+
+def test_an_open_trip_at_the_cut_is_not_a_feature(spark):
+    trips = [("x1", "MR0440", "2026-02-20T09:00", "2026-02-20T09:40", 11, "4"), ("x2", "MR0440", "2026-03-01T21:00", "2026-03-01T21:30", 2, "9"),
+             ("x3", "MR0440", "2026-03-14T23:50", "2026-03-15T00:00", 40, "4")]
+    cuts, pop, uses = at_cut(spark, "2026-03-15", mr=trips)
+    row = pit.card_features(pop, uses, cuts).head()
+    assert (row["viajes_28d"], row["gasto_28d_gtq"], row["puntos_origen_28d"]) == (2, 13, 2)
 
 
 def _build(cuts):
