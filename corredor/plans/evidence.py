@@ -26,7 +26,7 @@ def population_evidence(
     label_days: int = LABEL_DAYS,
 ) -> DataFrame:
     """Per labelled cut-off and operator: population, positives, differences against an
-    independent recount, recomputed cost and the days covered on both sides of the cut-off."""
+    independent recount, recomputed cost, the first and last use and the days covered on both sides of the cut-off."""
     labelled = [(n, c) for n, c in cuts if n != UNLABELLED]
     cut = F.col("fecha_corte")
 
@@ -75,19 +75,22 @@ def population_evidence(
         .groupBy(*group)
         .agg(F.count_if(F.size(F.array_remove("_ops", F.col("operador"))) > 0).alias("costo_recalculado"))
     )
-    everywhere = range_join(uses, fx.cut_array(labelled), lambda k: F.lit(True))
-    days = daily_coverage(
-        everywhere,
+    # the windows' uses are spread already; operators without any still get their row
+    bounds = uses.groupBy("operador").agg(F.min("fecha_uso").alias("primer_uso"), F.max("fecha_uso").alias("ultimo_uso"))
+    universe = bounds.withColumn("_cut", F.explode(fx.cut_array(labelled)))
+    covered = daily_coverage(
+        spread,
         group,
         "fecha_uso",
         {"dias_previos": _prior(cut, prior_days), "dias_futuros": _future(cut, label_days)},
     )
+    days = universe.select("_cut.corte", "operador", "primer_uso", "ultimo_uso").join(covered, group, "left")
     counted = published.groupBy(*group).agg(
         F.count(F.lit(1)).alias("poblacion"), F.count_if(F.col("etiqueta") == 1).alias("positivos")
     )
     joined = counted.join(days, group, "full").join(differences, group, "full").join(cost, group, "left")
     measures = ["poblacion", "positivos", "diferencias", "costo_recalculado", "dias_previos", "dias_futuros"]
-    return joined.select(*group, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
+    return joined.select(*group, "primer_uso", "ultimo_uso", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
 
 
 def layer_profile(

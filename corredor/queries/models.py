@@ -445,8 +445,8 @@ def m36(w: Warehouse):
 @query(
     "M37_population_evidence",
     f"""SELECT d.corte, d.op AS operador, coalesce(n, 0) AS poblacion, coalesce(pos, 0) AS positivos, CAST(0 AS BIGINT) AS diferencias,
-        coalesce(otra, 0) AS costo_recalculado, dias_previos, dias_futuros FROM
-        (SELECT corte, op, count(DISTINCT CASE WHEN uso >= fc - INTERVAL 28 DAY AND uso < fc AND sabido < fc THEN CAST(uso AS DATE) END) AS dias_previos,
+        coalesce(otra, 0) AS costo_recalculado, dias_previos, dias_futuros, {ts('primer_uso')}, {ts('ultimo_uso')} FROM
+        (SELECT corte, op, min(uso) AS primer_uso, max(uso) AS ultimo_uso, count(DISTINCT CASE WHEN uso >= fc - INTERVAL 28 DAY AND uso < fc AND sabido < fc THEN CAST(uso AS DATE) END) AS dias_previos,
            count(DISTINCT CASE WHEN uso >= fc AND uso < fc + INTERVAL {LABEL_DAYS} DAY AND sabido < fc + INTERVAL {LABEL_DAYS} DAY
                  THEN CAST(uso AS DATE) END) AS dias_futuros FROM cuts, uses WHERE corte <> 'C' GROUP BY corte, op) d
         LEFT JOIN (SELECT corte, op, count(*) AS n, count(CASE WHEN etiqueta = 1 THEN 1 END) AS pos FROM pop GROUP BY 1, 2) p
