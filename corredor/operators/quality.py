@@ -140,11 +140,25 @@ def transfer_rules(df: DataFrame, max_gap_minutes: int = 90, isolated: str = "Ae
 
 
 def transfer_sequence(df: DataFrame, events: DataFrame, max_gap_minutes: int = 90) -> Violations:
-    """Q13: transfers missing from, or not supported by, the event sequence of the facts."""
-    from corredor.plans.gold import transfers
+    """Q13: transfers missing from, or not supported by, the event sequence of the facts.
+
+    Neighbours are found a second way, by places in one total order of all events and a join of
+    each place with the next; the mart's own operator takes no part.
+    """
+    from corredor.operators.windows import number_rows
 
     columns = ["usuario_sk", "bronze_record_id_origen", "bronze_record_id_destino"]
-    expected = transfers(events, max_gap_minutes).select(*columns)
+    order = ["usuario_sk", "fecha_hora", "modo", "bronze_record_id"]
+    placed = number_rows(events.select(*order), order, "_n")
+    before = placed.select(
+        (F.col("_n") + 1).alias("_n"), "usuario_sk", F.col("fecha_hora").alias("_t"), F.col("modo").alias("_m"),
+        F.col("bronze_record_id").alias("bronze_record_id_origen"),
+    )
+    gap = F.col("fecha_hora") - F.col("_t")
+    expected = placed.join(before, ["_n", "usuario_sk"]).filter(
+        (F.col("modo") != F.col("_m")) & (F.col("fecha_hora") > F.col("_t")) & (gap <= F.make_dt_interval(mins=F.lit(max_gap_minutes)))
+    )
+    expected = expected.withColumnRenamed("bronze_record_id", "bronze_record_id_destino").select(*columns)
     return symmetric_diff(expected, df.select(*columns))
 
 
