@@ -10,7 +10,7 @@ that touch are the maximal repeats whose words go.
 
 What is shipped stays small: equal windows inside one chunk of documents are one leaf; a window goes out
 only if its anchor, the smallest hash of its half-length word runs, also occurs in another chunk (equal
-windows have equal anchors, so none is lost); leaves carry 128-bit fingerprints instead of words. Chunks are
+windows have equal anchors, so none is lost); leaves carry 96-bit fingerprints instead of words. Chunks are
 written once, so all passes see the same layout. A passage that a third of the rows share costs one leaf a chunk.
 
 Null text has no words; a null doc_id sorts before all others; repeated rows count in the order of their
