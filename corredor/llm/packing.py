@@ -20,6 +20,10 @@ from corredor.llm.tokens import encoder, tokenizer_path
 from corredor.llm.util import strings, written
 
 
+#: Partitions of the input up to which their offsets are broadcast; beyond it the ids join by shuffle.
+MOST_PARTS = 1_000_000
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(part, at, n, doc_id, ids): ids little-endian, two bytes each where the vocabulary allows; ``at`` within the part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -53,6 +57,8 @@ def pack(docs: DataFrame, length: int = 1024, path: str | None = None, end_id: i
     totals = stored.groupBy("part").agg(F.sum("n").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= MOST_PARTS:
+        offsets = F.broadcast(offsets)  # one row of 12 bytes per partition of the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
