@@ -47,6 +47,8 @@ class Chunk:
         return gram_hashes(self.hashes, length, seed=40 + length)[: len(self.valid)]
 
     def anchors(self) -> np.ndarray:
+        if not len(self.valid):
+            return np.zeros(0, dtype=np.uint64)
         half = max(1, self.window // 2)
         low, width, want = gram_hashes(self.hashes, half, seed=5), 1, self.window - half + 1
         while width < want:

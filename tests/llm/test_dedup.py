@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corredor.llm import exact, graph, lines, minhash, substring
-from corredor.llm.util import gram_hashes, inside, kept_bytes, word_hashes, words_of
+from corredor.llm.util import gram_hashes, inside, kept_bytes, packed, word_hashes, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -168,6 +168,13 @@ def test_substring_dedup_of_odd_tables(spark):
     assert first["n_removed"] == 29 and all(r["n_removed"] == 30 for r in got if r["doc_id"] == 2)
 
 
+@pytest.mark.parametrize("window", [1, 2, 20])
+def test_substring_anchors_of_few_words(window):
+    for n in range(window + 2):
+        chunk = substring.Chunk(packed(np.array([1]), pa.array([" ".join(["w"] * n)], pa.string())), window)
+        assert len(chunk.anchors()) == len(chunk.valid) == max(0, n - window + 1)
+
+
 def brute_lines(texts, similarity):
     def plain(x):
         return " ".join(WORD.findall(x.translate(LOWER | {ord(str(d)): "0" for d in range(10)})))
