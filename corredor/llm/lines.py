@@ -12,6 +12,11 @@ same pairs; their number follows the number of classes. Buckets yield spanning f
 The members of a candidate component then meet with their texts for the edit similarity. Texts move as
 compressed chunks. Buckets and components above ``block`` members are cut, each pair of chunks a task.
 
+With ``distance=None`` edit similarity alone links. Pairs whose longer line has at most ``SHORT`` characters are
+all found: of the ``d + 1`` segments of the shorter one, where ``d`` edits are allowed, one stays whole. Longer
+pairs become candidates if one of ``BANDS`` bands of ``ROWS`` minima over runs of ``GRAM`` bytes is equal and
+``AGREE`` of all minima agree in two bits, or if their SimHashes are within 3 bits; the README gives the recall.
+
 Null text counts as one blank line; a null doc_id sorts first; rows that share an id count one after the
 other. Extra columns are ignored; an empty table gives no rows.
 """
@@ -30,11 +35,16 @@ from pyspark.sql import functions as F
 from corredor.llm.graph import components
 from corredor.llm.minhash import forest, in_blocks
 from corredor.llm.util import (
-    LOWER, NO_ID, Words, ids_of, mix, offsets_of, packed, runs, steps, strings, unpacked, word_hashes, words_of, written,
+    LOWER, NO_ID, Words, ids_of, kept_bytes, mix, offsets_of, packed, runs, steps, strings, unpacked, word_hashes, words_of, written,
 )
 
 PLAIN = LOWER.copy()
 PLAIN[48:58] = 48
+SHORT = 19
+GRAM = 5
+BANDS, ROWS = 20, 3
+AGREE = 27
+_MINIMA = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
 @dataclass
@@ -64,6 +74,15 @@ def lines_of(text: pa.Array) -> Lines:
     return Lines(words, first, of_text)
 
 
+def _class_keys(lines: Lines, h: np.ndarray) -> np.ndarray:
+    """64-bit key of each line with words, of the words' hashes."""
+    begin, counts = lines.first[lines.spoken], np.diff(lines.first)[lines.spoken]
+    if not len(begin):
+        return np.zeros(0, dtype=np.int64)
+    place = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, counts).astype(np.uint64)
+    return mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + counts.astype(np.uint64)).view(np.int64)
+
+
 def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines with words, 64-bit key, SimHash)."""
     spoken = lines.spoken
@@ -71,9 +90,7 @@ def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         empty = np.zeros(0, dtype=np.int64)
         return spoken, empty, empty
     h = word_hashes(lines.words, seed=3)
-    begin, counts = lines.first[spoken], np.diff(lines.first)[spoken]
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, counts).astype(np.uint64)
-    keys = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + counts.astype(np.uint64))
+    keys, counts = _class_keys(lines, h), np.diff(lines.first)[spoken]
     # each word of a line counts once: a mark between all words must not drown them
     line = np.repeat(np.arange(len(spoken)), counts)
     order = np.lexsort((h, line))
@@ -87,7 +104,7 @@ def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1)
         ones[lo:hi] = np.add.reduceat(bits, begin[lo:hi] - a, axis=0, dtype=np.int32)
     sim = np.packbits(2 * ones > distinct[:, None], axis=1).view(np.uint64).ravel()
-    return spoken, keys.view(np.int64), sim.view(np.int64)
+    return spoken, keys, sim.view(np.int64)
 
 
 def normalised(lines: Lines, line: int) -> str:
@@ -184,6 +201,166 @@ def _near(classes: DataFrame, distance: int, block: int) -> DataFrame:
     return dealt.select("table", "value", "piece", "key", "sim").mapInArrow(join, "a long, b long")
 
 
+def minima(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Smallest value of each line's byte runs under each of ``BANDS * ROWS`` hashes; line i is body[at[i]:at[i + 1]]."""
+    if len(at) < 2:
+        return np.zeros((BANDS * ROWS, 0), dtype=np.uint32)
+    n = len(body) - GRAM + 1
+    gram = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        gram |= body[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    h = mix(gram) >> np.uint64(32)
+    lens = np.diff(at) - GRAM + 1  # lines are longer than a run
+    first = np.cumsum(lens) - lens
+    h = h[np.arange(lens.sum()) + np.repeat(at[:-1] - first, lens)].astype(np.uint32)
+    out = np.empty((BANDS * ROWS, len(lens)), dtype=np.uint32)
+    for k, c in enumerate(_MINIMA):
+        x = h * c
+        x ^= x >> np.uint32(15)
+        out[k] = np.minimum.reduceat(x * np.uint32(0x2C1B3C6D), first)
+    return out
+
+
+def _sketch(lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each minimum, in two words."""
+    out = []
+    for part in (lows[:32], lows[32:]):
+        word = np.zeros(lows.shape[1], dtype=np.uint64)
+        for x in part:
+            word = word << np.uint64(2) | (x >> np.uint32(7) & np.uint32(3)).astype(np.uint64)
+        out.append(word)
+    return out[0], out[1]
+
+
+def _agreeing(one: int, rest: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    even = np.uint64(0x5555555555555555)
+    apart = sum(np.bitwise_count((x | x >> np.uint64(1)) & even) for x in (high[rest] ^ high[one], low[rest] ^ low[one]))
+    return BANDS * ROWS - apart.astype(np.int64) >= AGREE
+
+
+def allowed(longer: int, similarity: float) -> int:
+    """Edits that ``similar`` allows a pair by its longer line."""
+    return max(d for d in range(longer + 1) if longer - d >= similarity * longer)
+
+
+def _segments(short: int, similarity: float) -> list[tuple[int, int]]:
+    """(start, end) of the segments of a line of ``short`` characters: one more than edits allowed with any partner."""
+    longer = max(n for n in range(short, SHORT + 1) if short >= similarity * n)
+    parts = min(short, allowed(longer, similarity) + 1)
+    cuts = [short * i // parts for i in range(parts + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _short_keys(text: str, similarity: float) -> tuple[list[str], list[str]]:
+    """Segments of a short line, and the pieces in which it would hold a segment of a shorter or equally long partner."""
+    n = len(text)
+    own = [f"{n} {i} {text[a:b]}" for i, (a, b) in enumerate(_segments(n, similarity))]
+    found, edits = set(), allowed(n, similarity)
+    for short in range(1, n + 1):
+        if short >= similarity * n:
+            for i, (a, b) in enumerate(_segments(short, similarity)):
+                for at in range(max(0, a - edits), min(n - (b - a), a + edits) + 1):
+                    found.add(f"{short} {i} {text[at : at + b - a]}")
+    return own, sorted(found)
+
+
+def _short_links(stored: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of classes of at most ``SHORT`` characters whose edit similarity suffices."""
+
+    def post(batches):
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                lines = lines_of(unpacked(payload)[1])
+                spoken, keys = lines.spoken, _class_keys(lines, word_hashes(lines.words, seed=3))
+                _, at = _bodies(lines)
+                size = np.diff(at)[spoken] - 1
+                rows = {}
+                for i in np.flatnonzero(size <= 4 * SHORT):
+                    text = normalised(lines, spoken[i])
+                    if len(text) <= SHORT:
+                        rows[text] = int(keys[i])
+                out = [(s, k, t, probe) for t, k in rows.items() for probe, own in enumerate(_short_keys(t, similarity)) for s in own]
+                columns = list(zip(*out)) or [(), (), (), ()]
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment", "key", "line", "probe"])
+
+    posted = written(stored.select("payload").mapInArrow(post, "segment string, key long, line string, probe int").distinct(), "line-segments")
+    one = posted.filter("probe = 0").select("segment", F.col("key").alias("a"), F.col("line").alias("x"))
+    two = posted.filter("probe = 1").select("segment", F.col("key").alias("b"), F.col("line").alias("y"))
+    longer = F.greatest(F.length("x"), F.length("y"))
+    near = longer - F.levenshtein("x", "y") >= F.lit(similarity) * longer
+    return one.join(two, "segment").filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+
+
+def _bodies(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all lines, each with a space behind it, and where each line begins."""
+    w = lines.words
+    body, at = kept_bytes(Words(w.data, w.starts, w.ends, lines.first), np.ones(len(w.starts), dtype=bool))
+    return np.frombuffer(body, dtype=np.uint8), at
+
+
+def _banded(stored: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): forests of the longer lines that share a band of minima and agree in enough of them."""
+    least = int(similarity * SHORT)  # a partner of a line above SHORT characters has as many at least
+
+    def post(batches):
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                lines = lines_of(unpacked(payload)[1])
+                spoken, keys = lines.spoken, _class_keys(lines, word_hashes(lines.words, seed=3))
+                keys, pick = np.unique(keys, return_index=True)
+                body, at = _bodies(lines)
+                begin, size = at[spoken[pick]], (at[1:] - at[:-1])[spoken[pick]]
+                long = np.flatnonzero(size > max(least, GRAM))
+                keys, begin, size = keys[long], begin[long], size[long]
+                own = np.concatenate([[0], np.cumsum(size)])
+                flat = body[np.arange(own[-1]) + np.repeat(begin - own[:-1], size)]
+                lows = minima(flat, own)
+                high, low = _sketch(lows)
+                values = np.empty((len(keys), BANDS), dtype=np.uint64)
+                for k in range(BANDS):
+                    value = np.full(len(keys), k, dtype=np.uint64)
+                    for x in lows[k * ROWS : (k + 1) * ROWS]:
+                        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + x)
+                    values[:, k] = value
+                bands = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, values.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [bands, *(pa.array(x) for x in (keys, high.view(np.int64), low.view(np.int64), size.astype(np.int32)))],
+                    ["values", "key", "high", "low", "size"],
+                )
+
+    def join(batches):
+        for batch, bounds in runs(batches, ["value", "piece"]):
+            keys, size = batch.column("key").to_numpy(), batch.column("size").to_numpy()
+            high, low = (batch.column(n).to_numpy().view(np.uint64) for n in ("high", "low"))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(np.diff(bounds) > 1):
+                ids, pick = np.unique(keys[bounds[i] : bounds[i + 1]], return_index=True)
+                if len(ids) < 2:
+                    continue
+                h, w, n = (x[bounds[i] : bounds[i + 1]][pick] for x in (high, low, size))
+
+                def linked(one, rest, h=h, w=w, n=n):
+                    # sizes are bytes: of characters of two to four bytes, a few more
+                    return _agreeing(one, rest, h, w) & (np.minimum(n[rest], n[one]) >= (similarity - 0.2) * np.maximum(n[rest], n[one]))
+
+                x, y = forest(ids, linked)
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    posted = written(stored.select("payload").mapInArrow(post, "values array<long>, key long, high long, low long, size int"), "line-bands")
+    # counts by cells of many values find the overfull ones; what shares their cell is only cut too
+    cells = 1 << min(22, max(14, (4 * BANDS * posted.count() // block).bit_length()))
+    cell = F.pmod("value", F.lit(cells)).alias("cell")
+    sizes = posted.select(F.explode("values").alias("value")).groupBy(cell).agg(F.count("*").alias("members")).filter(F.col("members") > block)
+    flat = posted.select(F.explode("values").alias("value"), "key", "high", "low", "size").select("*", cell)
+    sized = flat.join(F.broadcast(sizes), "cell", "left").withColumn("members", F.coalesce("members", F.lit(1)))  # 2**22 rows at most
+    placed = in_blocks(sized, "value", "key", "members", block)
+    dealt = placed.repartition("value", "piece").sortWithinPartitions("value", "piece")
+    return dealt.select("value", "piece", "key", "high", "low", "size").mapInArrow(join, "a long, b long")
+
+
 def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b): links confirmed by edit similarity within the candidate components."""
     groups = written(components(near), "line-groups")
@@ -222,14 +399,20 @@ def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity:
     return placed.groupBy("component", "piece").applyInArrow(confirm, "a long, b long")
 
 
-def remove_repeated_lines(docs: DataFrame, distance: int = 3, similarity: float = 0.8, block: int = 4000, chunk_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, distance: int | None = 3, similarity: float = 0.8, block: int = 4000, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, kept (the lines that stay), classes (of its removed lines)."""
     stored = _chunks(docs, chunk_bytes)
     seen = _occurrences(stored)
     place = F.struct("doc", "chunk", "line")
     classes = seen.groupBy("key").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
     classes = written(classes, "line-classes")
-    groups = components(_linked(stored, classes, _near(classes, distance, block), similarity, block))
+    near = _near(classes, 3 if distance is None else distance, block)
+    if distance is None:
+        near = near.unionAll(_banded(stored, similarity, block)).distinct()
+    links = _linked(stored, classes, near, similarity, block)
+    if distance is None:
+        links = links.unionAll(_short_links(stored, similarity))
+    groups = components(links)
     named = classes.join(groups, classes["key"] == groups["node"], "left").select(
         "key", "first", "n", F.coalesce("component", "key").alias("group")
     )

@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    cut = lines.remove_repeated_lines(table(spark, sf_dir, "documents"), distance=None)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "classes")
 
 

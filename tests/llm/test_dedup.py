@@ -215,6 +215,29 @@ def test_line_dedup_equals_brute_force(spark, block, chunk_bytes):
     assert sum(r["n_removed"] for r in got) > 24
 
 
+def test_line_dedup_by_edit_similarity_alone(spark):
+    """Short pairs are all found; of longer ones with words replaced nearly all."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdeghilmnorstuv"), rng.integers(2, 9))) for _ in range(900)]
+    bases = [[vocabulary[k] for k in rng.integers(0, 900, n)] for n in (1, 2, 2, 3, 3, 4, 8, 10, 17, 20, 30, 50) for _ in range(12)]
+    names = {}
+    for words in bases:
+        line = " ".join(words)
+        short = list(line)
+        short[rng.integers(len(short))] = "x"
+        changed = list(words)
+        for k in rng.choice(len(words), max(1, len(words) // 8), replace=False):
+            changed[k] = vocabulary[rng.integers(900)]
+        names |= dict.fromkeys((line, "".join(short), " ".join(changed)))
+    names = [n for n in dict.fromkeys(" ".join(x.split()) for x in names) if n]
+    texts = list(enumerate(names))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(names)), 2) if lines.similar(names[a], names[b], 0.8)]
+    short = {b for a, b in pairs if max(len(names[a]), len(names[b])) <= lines.SHORT}
+    long = {b for a, b in pairs if max(len(names[a]), len(names[b])) > lines.SHORT}
+    got = {r["doc_id"] for r in lines.remove_repeated_lines(frame(spark, texts), distance=None).collect() if r["n_removed"]}
+    assert got <= short | long and short <= got and len(got & long) >= 0.95 * len(long) and len(short) > 20 and len(long) > 80
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert lines.remove_repeated_lines(frame(spark, [])).count() == 0
     got = lines.remove_repeated_lines(frame(spark, [(None, "same here"), (1, "same here"), (1, "same here")])).collect()
