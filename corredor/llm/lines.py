@@ -12,7 +12,7 @@ same pairs; their number follows the number of classes. Buckets yield spanning f
 The members of a candidate component then meet with their texts for the edit similarity. Texts move as
 compressed chunks. Buckets and components above ``block`` members are cut, each pair of chunks a task.
 
-With ``distance=None`` edit similarity alone links. Pairs whose longer line has at most ``SHORT`` characters are
+With ``distance=None`` digits count as they are and edit similarity alone links. Pairs whose longer line has at most ``SHORT`` characters are
 all found: of the ``d + 1`` segments of the shorter one, where ``d`` edits are allowed, one stays whole. Longer
 pairs become candidates if one of ``BANDS`` bands of ``ROWS`` minima over runs of ``GRAM`` bytes is equal and
 ``AGREE`` of all minima agree in two bits, or if their SimHashes are within 3 bits; the README gives the recall.
@@ -61,7 +61,7 @@ class Lines:
         return np.flatnonzero(np.diff(self.first) > 0)
 
 
-def lines_of(text: pa.Array) -> Lines:
+def lines_of(text: pa.Array, plain: np.ndarray = PLAIN) -> Lines:
     words = words_of(text)
     offs = offsets_of(text)
     offs = offs - offs[0]
@@ -70,7 +70,7 @@ def lines_of(text: pa.Array) -> Lines:
     of_text = np.arange(len(offs)) + np.searchsorted(breaks, offs)
     # a line's words begin where its bytes do; of lines that start together only the last has any
     first = np.append(np.searchsorted(words.starts, starts), len(words.starts))
-    words.data = PLAIN[words.data]
+    words.data = plain[words.data]
     return Lines(words, first, of_text)
 
 
@@ -155,14 +155,14 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return written(rows.mapInArrow(pack, "chunk long, payload binary"), "line-chunks")
 
 
-def _occurrences(stored: DataFrame) -> DataFrame:
+def _occurrences(stored: DataFrame, plain: np.ndarray) -> DataFrame:
     """(key, sim, doc, chunk, line) of every line with words."""
 
     def read(batches):
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, text = unpacked(payload)
-                lines = lines_of(text)
+                lines = lines_of(text, plain)
                 spoken, keys, sim = line_keys(lines)
                 doc = ids[np.searchsorted(lines.of_text, spoken, side="right") - 1]
                 yield pa.RecordBatch.from_arrays(
@@ -270,7 +270,7 @@ def _short_links(stored: DataFrame, similarity: float) -> DataFrame:
     def post(batches):
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                lines = lines_of(unpacked(payload)[1])
+                lines = lines_of(unpacked(payload)[1], LOWER)
                 spoken, keys = lines.spoken, _class_keys(lines, word_hashes(lines.words, seed=3))
                 _, at = _bodies(lines)
                 size = np.diff(at)[spoken] - 1
@@ -306,7 +306,7 @@ def _banded(stored: DataFrame, similarity: float, block: int) -> DataFrame:
     def post(batches):
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                lines = lines_of(unpacked(payload)[1])
+                lines = lines_of(unpacked(payload)[1], LOWER)
                 spoken, keys = lines.spoken, _class_keys(lines, word_hashes(lines.words, seed=3))
                 keys, pick = np.unique(keys, return_index=True)
                 body, at = _bodies(lines)
@@ -361,7 +361,7 @@ def _banded(stored: DataFrame, similarity: float, block: int) -> DataFrame:
     return dealt.select("value", "piece", "key", "high", "low", "size").mapInArrow(join, "a long, b long")
 
 
-def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, block: int) -> DataFrame:
+def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, block: int, plain: np.ndarray) -> DataFrame:
     """(a, b): links confirmed by edit similarity within the candidate components."""
     groups = written(components(near), "line-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
@@ -371,7 +371,7 @@ def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity:
     def texts(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            lines = lines_of(unpacked(left.column("payload")[0].as_py())[1])
+            lines = lines_of(unpacked(left.column("payload")[0].as_py())[1], plain)
             out = [normalised(lines, i) for i in right.column("line").to_pylist()]
         else:
             right = right.slice(0, 0)
@@ -402,14 +402,15 @@ def _linked(stored: DataFrame, classes: DataFrame, near: DataFrame, similarity:
 def remove_repeated_lines(docs: DataFrame, distance: int | None = 3, similarity: float = 0.8, block: int = 4000, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, kept (the lines that stay), classes (of its removed lines)."""
     stored = _chunks(docs, chunk_bytes)
-    seen = _occurrences(stored)
+    plain = PLAIN if distance is not None else LOWER
+    seen = _occurrences(stored, plain)
     place = F.struct("doc", "chunk", "line")
     classes = seen.groupBy("key").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
     classes = written(classes, "line-classes")
     near = _near(classes, 3 if distance is None else distance, block)
     if distance is None:
         near = near.unionAll(_banded(stored, similarity, block)).distinct()
-    links = _linked(stored, classes, near, similarity, block)
+    links = _linked(stored, classes, near, similarity, block, plain)
     if distance is None:
         links = links.unionAll(_short_links(stored, similarity))
     groups = components(links)

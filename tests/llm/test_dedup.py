@@ -238,6 +238,12 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert got <= short | long and short <= got and len(got & long) >= 0.95 * len(long) and len(short) > 20 and len(long) > 80
 
 
+def test_lines_that_share_no_digits_stay(spark):
+    texts = [(1, "1998 4417 23.5"), (2, "2021 8852 67.1"), (3, "1998 4417 23.6"), (4, "1998  4417 23.5")]
+    got = lines.remove_repeated_lines(frame(spark, texts), distance=None).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_line_dedup_of_odd_tables(spark):
     assert lines.remove_repeated_lines(frame(spark, [])).count() == 0
     got = lines.remove_repeated_lines(frame(spark, [(None, "same here"), (1, "same here"), (1, "same here")])).collect()
