@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, with their oracle SQL where SQL can say it."""
+"""Registered queries of the thirteen operators and the pipeline, with their oracle SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corredor.llm import chat, exact, lines, minhash, mixing, packing, substring, token_counts, topk, toxicity
+from corredor.llm import chat, exact, lines, minhash, mixing, packing, substring, syncmers, token_counts, topk, toxicity
 from corredor.llm.util import table
 
 
@@ -62,6 +62,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    digest = F.sha2("edited", 256).alias("edited_sha256")
+    return rows.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,4 +126,41 @@ ORACLE: dict[str, str] = {
             FROM v a JOIN v b ON a.i = b.i AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op13_fingerprints": r"""
+        WITH t AS (
+            SELECT doc_id, text, lead(text, 1, top) OVER (ORDER BY doc_id DESC) AS nxt
+            FROM (SELECT doc_id, coalesce(text, '') AS text, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents)),
+        e AS (
+            SELECT doc_id, text, nxt, left(text, CAST(length(text) - length(text) // 3 AS BIGINT)) || left(nxt, CAST(length(text) // 3 AS BIGINT)) AS edited FROM t),
+        x AS (SELECT doc_id, 0 AS side, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+        w AS (
+            SELECT doc_id, side, text, regexp_extract_all(text, '[0-9A-Za-z\x{C0}-\x{24F}\x{370}-\x{52F}]{1,24}|[^\x20\x09-\x0D]') AS w FROM x),
+        c AS (SELECT doc_id, side, text, CASE WHEN len(w) >= 20 THEN w ELSE regexp_extract_all(text, '(?s).') END AS w FROM w),
+        u AS (SELECT doc_id, side, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM c),
+        h AS (
+            SELECT *, md5(tok || ' ' || lead(tok) OVER o) AS h,
+                   tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' ' || lead(tok, 3) OVER o || ' ' || lead(tok, 4) OVER o AS g
+            FROM u WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+        m AS (SELECT *, lead(h, 1) OVER o AS h2, lead(h, 2) OVER o AS h3, lead(h, 3) OVER o AS h4 FROM h WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+        a AS (
+            SELECT doc_id, side, i, left(md5(g), 6) AS t FROM m
+            WHERE i <= n - 4 AND (h <= least(h2, h3, h4) OR h4 < least(h, h2, h3))
+            UNION ALL SELECT doc_id, side, 1, left(md5(array_to_string(w, ' ')), 6) FROM c WHERE len(w) < 5 AND trim(text, ' ') <> ''),
+        k AS (SELECT * FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id, side ORDER BY i) AS before FROM a) WHERE before IS DISTINCT FROM t),
+        f AS (
+            SELECT *, lag(t) OVER o AS last,
+                   substr('123456789abcdefghijklmnopqrstuvwxyz', CAST(least(i - coalesce(lag(i) OVER o, 0), 35) AS INTEGER), 1) || t AS item
+            FROM k WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+        l AS (
+            SELECT doc_id, side, string_agg(item, '' ORDER BY i) AS fp, list_distinct(list(coalesce(last, '') || item)) AS keys FROM f GROUP BY ALL),
+        z AS (SELECT x.doc_id, x.side, coalesce(l.fp, '') AS fp, coalesce(l.keys, []) AS keys FROM x LEFT JOIN l ON l.doc_id = x.doc_id AND l.side = x.side),
+        n AS (SELECT doc_id, lead(doc_id, 1, top) OVER (ORDER BY doc_id DESC) AS after
+              FROM (SELECT doc_id, max(doc_id) OVER () AS top FROM documents))
+        SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, own.fp AS fingerprint, ed.fp AS edited_fingerprint,
+               CASE WHEN len(own.keys) + len(ed.keys) = 0 THEN 1.0
+                    ELSE CAST(2 * len(list_intersect(own.keys, ed.keys)) AS DOUBLE) / (len(own.keys) + len(ed.keys)) END AS near_edited,
+               CASE WHEN len(own.keys) + len(nx.keys) = 0 THEN 1.0
+                    ELSE CAST(2 * len(list_intersect(own.keys, nx.keys)) AS DOUBLE) / (len(own.keys) + len(nx.keys)) END AS near_next
+        FROM e JOIN n USING (doc_id) JOIN z own ON own.doc_id = e.doc_id AND own.side = 0 JOIN z ed ON ed.doc_id = e.doc_id AND ed.side = 1
+        JOIN z nx ON nx.doc_id = n.after AND nx.side = 0""",
 }
