@@ -133,19 +133,22 @@ ORACLE: dict[str, str] = {
         e AS (
             SELECT doc_id, text, nxt, left(text, CAST(length(text) - length(text) // 3 AS BIGINT)) || left(nxt, CAST(length(text) // 3 AS BIGINT)) AS edited FROM t),
         x AS (SELECT doc_id, 0 AS side, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
-        w AS (
-            SELECT doc_id, side, text, regexp_extract_all(text, '[0-9A-Za-z\x{C0}-\x{24F}\x{370}-\x{52F}]{1,24}|[^\x20\x09-\x0D]') AS w FROM x),
-        c AS (SELECT doc_id, side, text, CASE WHEN len(w) >= 20 THEN w ELSE regexp_extract_all(text, '(?s).') END AS w FROM w),
+        w AS (SELECT doc_id, side, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM x),
+        c AS (
+            SELECT doc_id, side, text,
+                   CASE WHEN len(w) >= 20 AND length(text) <= 24 * len(w) THEN w ELSE regexp_extract_all(text, '(?s).') END AS w FROM w),
         u AS (SELECT doc_id, side, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM c),
         h AS (
-            SELECT *, md5(tok || ' ' || lead(tok) OVER o) AS h,
-                   tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' ' || lead(tok, 3) OVER o || ' ' || lead(tok, 4) OVER o AS g
+            SELECT *, md5(tok || ' ' || lead(tok) OVER o) AS h, tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' '
+                   || lead(tok, 3) OVER o || ' ' || lead(tok, 4) OVER o || ' ' || lead(tok, 5) OVER o AS g
             FROM u WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
-        m AS (SELECT *, lead(h, 1) OVER o AS h2, lead(h, 2) OVER o AS h3, lead(h, 3) OVER o AS h4 FROM h WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+        m AS (
+            SELECT *, lead(h, 1) OVER o AS h2, lead(h, 2) OVER o AS h3, lead(h, 3) OVER o AS h4, lead(h, 4) OVER o AS h5
+            FROM h WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
         a AS (
-            SELECT doc_id, side, i, left(md5(g), 6) AS t FROM m
-            WHERE i <= n - 4 AND (h <= least(h2, h3, h4) OR h4 < least(h, h2, h3))
-            UNION ALL SELECT doc_id, side, 1, left(md5(array_to_string(w, ' ')), 6) FROM c WHERE len(w) < 5 AND trim(text, ' ') <> ''),
+            SELECT doc_id, side, i, to_base64(unhex(left(md5(g), 6))) AS t FROM m
+            WHERE i <= n - 5 AND (h <= least(h2, h3, h4, h5) OR h5 < least(h, h2, h3, h4))
+            UNION ALL SELECT doc_id, side, 1, to_base64(unhex(left(md5(array_to_string(w, ' ')), 6))) FROM c WHERE len(w) < 6 AND trim(text, ' ') <> ''),
         k AS (SELECT * FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id, side ORDER BY i) AS before FROM a) WHERE before IS DISTINCT FROM t),
         f AS (
             SELECT *, lag(t) OVER o AS last,

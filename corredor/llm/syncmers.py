@@ -1,20 +1,20 @@
 """Document fingerprints from closed syncmers, by SQL functions only.
 
-A text is cut into words (runs of letters and digits, 24 at most; any other visible character by itself).
-Of its ``k``-grams those are anchors whose leftmost smallest ``s``-gram (by MD5) is their first or their last:
-whether a gram is an anchor depends on its own words only, so a passage keeps its anchors wherever it stands.
-Where s-grams do not repeat, neighbouring anchors are at most k - s words apart.
-
-The fingerprint lists the anchors in order, seven characters each: the distance from the anchor before (base 36,
-``z`` for 35 or more, the first counted from the start) and six hexadecimal digits of the gram's MD5. Of equal
-neighbouring anchors the first stays, so a text that repeats itself does not blow up. Anchors match by place: an
-anchor counts together with the distance to its predecessor and with that predecessor, so a moved passage matches but
-for its first anchor and scattered equal grams do not. ``likeness`` is twice the shared anchors over the anchors of both.
-
-A text of fewer than 4 k words is cut into code points instead; one of fewer than k code points is one anchor. Null counts as
-empty. Texts without anchors (no visible character and fewer than ``k`` code points in blanks only) have an empty fingerprint;
-two of those are alike with 1, one of them and another text with 0. Texts are read whole at every length; a row in work needs
-about thirty bytes of memory per byte of its text. Equal texts have equal fingerprints. Other columns are not looked at.
+A text is cut into words ``[^\\x20\\x09-\\x0D]+``; a text of fewer than 20 words, or with more than 24 code points a word
+(scripts without blanks), is cut into code points. Of its ``k``-grams those are anchors whose leftmost smallest ``s``-gram
+(by MD5) is their first or their last: whether a gram is an anchor depends on its own words only, so a passage keeps its
+anchors wherever it stands. Where s-grams do not repeat, neighbouring anchors are at most k - s words apart.
+
+The fingerprint lists the anchors in order, five characters each: the distance from the anchor before (base 36, ``z`` for
+35 or more, the first counted from the start) and 24 bits of the gram's MD5 in base 64. Of equal neighbouring anchors the
+first stays, so a text that repeats itself does not blow up. Anchors match by place: an anchor counts together with the
+distance to its predecessor and with that predecessor, so a moved passage matches but for its first anchor and scattered
+equal grams do not. ``likeness`` is twice the shared anchors over the anchors of both.
+
+A text of fewer than ``k`` code points is one anchor. Null counts as empty. Texts of spaces only, fewer than ``k``, and empty
+ones have an empty fingerprint; two of those are alike with 1, one of them and another text with 0. Texts are read whole at
+every length; a row in work needs about thirty bytes of memory per byte of its text. Equal texts have equal fingerprints.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from corredor.operators.windows import number_rows
 
-#: Words of Latin, Greek and Cyrillic letters; every other visible character is a word of its own.
-WORD = r"[0-9A-Za-z\x{C0}-\x{24F}\x{370}-\x{52F}]{1,24}|[^\x20\x09-\x0D]"
+BLANKS = r"[\x20\x09-\x0D]+"
+SHORT, LONG = 20, 24
 GAPS = "123456789abcdefghijklmnopqrstuvwxyz"
-K, S = 5, 2
+K, S = 6, 2
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", k: int = K, s: int = S) -> DataFrame:
@@ -35,35 +35,41 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     if not 1 <= s < k:
         raise ValueError(f"s = {s} must be 1 or more and below k = {k}")
     w, keep = k - s + 1, df.columns
-    source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = df.select(
-        *[F.col(f"`{c}`") for c in keep], F.regexp_extract_all(source, F.lit(WORD), F.lit(0)).alias("_w"), source.alias("_t")
-    )
-    # a column per step: each is evaluated once, however often a later one refers to it
-    cut = words.withColumn("_w", F.when(F.size("_w") >= 4 * k, F.col("_w")).otherwise(F.regexp_extract_all("_t", F.lit("(?s)."), F.lit(0))))
-    grams = cut.withColumn(
-        "_h", F.expr(f"CASE WHEN size(_w) >= {k} THEN transform(sequence(1, size(_w) - {s - 1}), i -> md5(array_join(slice(_w, i, {s}), ' '))) END")
-    )
-    chosen = grams.withColumn(
+    gram = lambda n: "concat_ws(' ', " + ", ".join(f"_w[i + {j}]" for j in range(n)) + ")"
+    own = [f"_h[i + {j}]" for j in range(w)]
+    first = f"{own[0]} <= {_least(own[1:])}"
+    last = f"{own[-1]} < {_least(own[:-1])}"
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    # a column per step: each is evaluated once, however often a later one refers to it. Elements are taken by
+    # place: slice() would copy the whole array each time
+    rows = rows.withColumn("_w", F.array_remove(F.split("_t", BLANKS), ""))
+    worded = (F.size("_w") >= max(SHORT, k)) & (F.length("_t") <= LONG * F.size("_w"))
+    rows = rows.withColumn("_w", F.when(worded, F.col("_w")).when(F.col("_t") != "", F.split("_t", "")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_h", F.expr(f"CASE WHEN size(_w) >= {k} THEN transform(sequence(0, size(_w) - {s}), i -> md5({gram(s)})) END"))
+    rows = rows.withColumn(
         "_at",
-        F.expr(f"""CASE WHEN size(_w) >= {k} THEN filter(sequence(1, size(_w) - {k - 1}), i ->
-                     array_position(slice(_h, i, {w}), array_min(slice(_h, i, {w}))) IN (1, {w}))
-                   WHEN trim(_t) <> '' THEN array(1) ELSE array() END"""),
+        F.expr(f"""CASE WHEN size(_w) >= {k} THEN filter(sequence(0, size(_w) - {k}), i -> {first} OR {last})
+                   WHEN trim(_t) <> '' THEN array(0) ELSE array() END"""),
     )
-    anchors = chosen.withColumn("_a", F.expr(f"transform(_at, i -> struct(i AS p, substring(md5(array_join(slice(_w, i, {k}), ' ')), 1, 6) AS t))"))
-    single = anchors.withColumn("_a", F.expr("filter(_a, (x, j) -> j = 0 OR x.t <> _a[j - 1].t)"))
+    token = f"base64(unhex(substring(md5(if(size(_w) < {k}, array_join(_w, ' '), {gram(k)})), 1, 6)))"
+    rows = rows.withColumn("_a", F.expr(f"transform(_at, i -> struct(i + 1 AS p, {token} AS t))"))
+    rows = rows.withColumn("_a", F.expr("filter(_a, (x, j) -> j = 0 OR x.t <> _a[j - 1].t)"))
     item = f"transform(_a, (x, j) -> concat(substring('{GAPS}', least(x.p - if(j = 0, 0, _a[j - 1].p), 35), 1), x.t))"
-    return single.select(*[F.col(f"`{c}`") for c in keep], F.array_join(F.expr(item), "").alias(name))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.array_join(F.expr(item), "").alias(name))
+
+
+def _least(values: list[str]) -> str:
+    return f"least({', '.join(values)})" if len(values) > 1 else values[0]
 
 
 def anchors_of(fingerprint: Column) -> Column:
     """Distinct anchors with the distance to their predecessor and that predecessor."""
     raw = fingerprint.cast("binary")  # of binary, unlike of strings, a part is cut without reading what is before it
-    count = (F.length(fingerprint) / 7).cast("int")
+    count = (F.length(fingerprint) / 5).cast("int")
 
     def key(i: Column) -> Column:
-        own = F.substring(raw, i * 7 + 1, F.lit(7)).cast("string")
-        return F.concat(F.when(i == 0, F.lit("")).otherwise(F.substring(raw, i * 7 - 5, F.lit(6)).cast("string")), own)
+        own = F.substring(raw, i * 5 + 1, F.lit(5)).cast("string")
+        return F.concat(F.when(i == 0, F.lit("")).otherwise(F.substring(raw, i * 5 - 3, F.lit(4)).cast("string")), own)
 
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(places, key))
@@ -103,18 +109,19 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     is its own successor; an empty table gives no rows. Texts are shuffled once, by document; what the document before
     needs of them (its replacement and a fingerprint) once more.
     """
-    base = with_fingerprint(_named(docs).select("key", "text"), k=k, s=s)
+    base = _named(docs).select("key", "text")
     pairs = neighbours(docs).withColumnRenamed("key", "own")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    beside = pairs.join(base, pairs["next_key"] == base["key"]).select(
-        "own", F.struct("doc_id", "n_chars", F.expr("substring(text, 1, cast(floor(n_chars / 3) AS int))").alias("head"),
-                        F.col("fingerprint").alias("next_fp")).alias("b"),
+    # fingerprints come after the shuffle of the texts: both joins can then read the same one
+    beside = pairs.join(base, pairs["next_key"] == base["key"]).select("own", "doc_id", "n_chars", "text")
+    beside = with_fingerprint(beside, "text", "next_fp", k, s).select(
+        "own", F.struct("doc_id", "n_chars", F.substring("text", F.lit(1), cut).alias("head"), "next_fp").alias("b")
     )
     beside = beside.groupBy("own").agg(F.first("b").alias("b")).select("own", "b.*")
-    # the same three columns on both sides, so both joins read one shuffle of the texts
     rows = base.join(beside, base["key"] == beside["own"])
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), "head"))
-    rows = with_fingerprint(rows.select("doc_id", "n_chars", "edited", "fingerprint", "next_fp"), "edited", "edited_fingerprint", k, s)
+    rows = with_fingerprint(rows.select("doc_id", "n_chars", "text", "edited", "next_fp"), "text", "fingerprint", k, s)
+    rows = with_fingerprint(rows.drop("text"), "edited", "edited_fingerprint", k, s)
     keyed = rows.withColumns({f"_k_{c}": anchors_of(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fp")})
     return keyed.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
