@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corredor.llm import chat, exact, lines, minhash, mixing, packing, substring, syncmers, token_counts, topk, toxicity
+from corredor.llm import chat, codes, exact, lines, minhash, mixing, packing, substring, syncmers, token_counts, topk, toxicity
 from corredor.llm.util import table
 
 
@@ -62,6 +62,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
     digest = F.sha2("edited", 256).alias("edited_sha256")
@@ -79,11 +84,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_vector_codes": op11_vector_codes,
     "op13_fingerprints": op13_fingerprints,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _vector_codes_sql() -> str:
+    """Four rounds of assignment and averaging, then the codes, as one chain of common tables."""
+    away = "sum((v.x - c.x) * (v.x - c.x)) AS w FROM v JOIN c{n} c ON c.g = v.g AND c.d = v.d GROUP BY v.vec_id, v.g, c.e"
+    rounds = [
+        f"""a{n} AS MATERIALIZED (
+            SELECT vec_id, g, min(CAST(w AS BIGINT) * 256 + e) AS m FROM (SELECT v.vec_id, v.g, c.e, {away.format(n=n)}) GROUP BY vec_id, g)"""
+        + (f""",
+        c{n + 1} AS MATERIALIZED (
+            SELECT c.g, c.e, c.d, coalesce(s.x, c.x) AS x FROM c{n} c LEFT JOIN (
+                SELECT v.g, a.m % 256 AS e, v.d, CAST(floor(CAST(sum(v.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+                FROM v JOIN a{n} a ON a.vec_id = v.vec_id AND a.g = v.g GROUP BY ALL) s ON s.g = c.g AND s.e = c.e AND s.d = c.d)""" if n < 4 else "")
+        for n in range(5)
+    ]
+    return f"""
+        WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM k),
+        v AS MATERIALIZED (SELECT vec_id, i // 16 AS g, i % 16 AS d, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+        c0 AS MATERIALIZED (SELECT v.g, f.e, v.d, v.x FROM v JOIN f USING (vec_id) WHERE f.e < 256),
+        {", ".join(rounds)},
+        r AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY g) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+        SELECT r.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY g, e, d)) FROM c4) AS codebooks_sha256
+        FROM r JOIN k USING (vec_id)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -166,4 +199,5 @@ ORACLE: dict[str, str] = {
                     ELSE CAST(2 * len(list_intersect(own.keys, nx.keys)) AS DOUBLE) / (len(own.keys) + len(nx.keys)) END AS near_next
         FROM e JOIN n USING (doc_id) JOIN z own ON own.doc_id = e.doc_id AND own.side = 0 JOIN z ed ON ed.doc_id = e.doc_id AND ed.side = 1
         JOIN z nx ON nx.doc_id = n.after AND nx.side = 0""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
