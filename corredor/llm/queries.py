@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corredor.llm import chat, codes, exact, lines, minhash, mixing, packing, substring, syncmers, token_counts, topk, toxicity
+from corredor.llm import chat, codes, exact, lines, minhash, mixing, packing, repair, substring, syncmers, token_counts, topk, toxicity
 from corredor.llm.util import table
 
 
@@ -67,6 +67,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
     digest = F.sha2("edited", 256).alias("edited_sha256")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_vector_codes": op11_vector_codes,
+    "op12_structure_repair": op12_structure_repair,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -117,6 +123,63 @@ def _vector_codes_sql() -> str:
         FROM r JOIN k USING (vec_id)"""
 
 
+def _structure_repair_sql() -> str:
+    """Forward dynamic programme over the rows: per state the least (cost, audit) and the text it gives."""
+    put = lambda s, cost, op, said: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{op}', 't': {s}.t || {said}}}"
+    best = lambda *of: f"list_min([{', '.join(of)}])"
+    far = "{'c': 1000000000, 'a': '', 't': ''}"
+    delete = lambda s: put(s, 3, "D", "''")
+    insert = lambda s, role: put(s, 2, "I", f"chr(10) || '{role}:'")
+    keep = lambda s, x: f"CASE WHEN x = '{x}' THEN {put(s, 'cut', 'K', 'chr(10) || role || chr(58) || text')} ELSE {far} END"
+    rerole = lambda s, role: put(s, "2 + cut", "R", f"chr(10) || '{role}:' || text")
+    inserted = f"""SELECT *, {best('u1', insert('a0', 'user'))} AS u, {best('a0', insert(best('u1', insert('a0', 'user')), 'assistant'))} AS a FROM (
+                SELECT *, q0 AS q, s0 AS s, {best('u0', insert('q0', 'user'), insert('s0', 'user'))} AS u1 FROM SOURCE)"""
+    step = {
+        "q0": delete("q"),
+        "s0": best(delete("s"), keep("q", "s")),
+        "u0": best(delete("u"), *[f for p in "qsa" for f in (keep(p, "u"), rerole(p, "user"))]),
+        "a0": best(delete("a"), keep("u", "a"), rerole("u", "assistant")),
+    }
+    joined = "(SELECT r.*, p.q0, p.s0, p.u0, p.a0 FROM path p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)"
+    moved = ", ".join(f"CASE WHEN forced THEN {delete(k)} ELSE {v} END AS {k}" for k, v in step.items())
+    return rf"""
+        WITH RECURSIVE tab AS (
+            SELECT list(list_reduce(list_concat([n], range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+            FROM range(256) r(n)),
+        src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        crc AS (
+            SELECT src.*, xor(list_reduce(list_concat([4294967295], [ascii(ch) FOR ch IN string_split(k, '')]),
+                lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM src, tab),
+        dam AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+        num AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM dam),
+        flt AS (
+            SELECT *, left(role, 1) AS x, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair,
+                   CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM num),
+        r AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS forced, CAST(fault = 'truncated' AS INTEGER) AS cut FROM flt),
+        path AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS q0, {far} AS s0, {far} AS u0, {far} AS a0 FROM r
+            UNION ALL
+            SELECT conv_id, i, {moved} FROM ({inserted.replace("SOURCE", joined)})),
+        n AS (
+            SELECT conv_id, count(*) AS rows, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+        e AS (SELECT p.conv_id, {best('q', 'a')} AS b FROM ({inserted.replace("SOURCE", "path")}) p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.rows = p.i),
+        o AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT o.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+               coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost,
+               coalesce(e.b.a, '') AS audit, sha256(coalesce(substr(e.b.t, 2), '')) AS repaired_sha256
+        FROM o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -200,4 +263,5 @@ ORACLE: dict[str, str] = {
         FROM e JOIN n USING (doc_id) JOIN z own ON own.doc_id = e.doc_id AND own.side = 0 JOIN z ed ON ed.doc_id = e.doc_id AND ed.side = 1
         JOIN z nx ON nx.doc_id = n.after AND nx.side = 0""",
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_structure_repair": _structure_repair_sql(),
 }
