@@ -235,7 +235,7 @@ ORACLE: dict[str, str] = {
                    CASE WHEN len(w) >= 20 AND length(text) <= 24 * len(w) THEN w ELSE regexp_extract_all(text, '(?s).') END AS w FROM w),
         u AS (SELECT doc_id, side, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM c),
         h AS (
-            SELECT *, md5(tok || ' ' || lead(tok) OVER o) AS h, tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' '
+            SELECT *, tok || ' ' || lead(tok) OVER o AS h, tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' '
                    || lead(tok, 3) OVER o || ' ' || lead(tok, 4) OVER o || ' ' || lead(tok, 5) OVER o AS g
             FROM u WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
         m AS (

@@ -2,7 +2,7 @@
 
 A text is cut into words ``[^\\x20\\x09-\\x0D]+``; a text of fewer than 20 words, or with more than 24 code points a word
 (scripts without blanks), is cut into code points. Of its ``k``-grams those are anchors whose leftmost smallest ``s``-gram
-(by MD5) is their first or their last: whether a gram is an anchor depends on its own words only, so a passage keeps its
+(in byte order) is their first or their last: whether a gram is an anchor depends on its own words only, so a passage keeps its
 anchors wherever it stands. Where s-grams do not repeat, neighbouring anchors are at most k - s words apart.
 
 The fingerprint lists the anchors in order, five characters each: the distance from the anchor before (base 36, ``z`` for
@@ -45,7 +45,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     rows = rows.withColumn("_w", F.array_remove(F.split("_t", BLANKS), ""))
     worded = (F.size("_w") >= max(SHORT, k)) & (F.length("_t") <= LONG * F.size("_w"))
     rows = rows.withColumn("_w", F.when(worded, F.col("_w")).when(F.col("_t") != "", F.split("_t", "")).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_h", F.expr(f"CASE WHEN size(_w) >= {k} THEN transform(sequence(0, size(_w) - {s}), i -> md5({gram(s)})) END"))
+    rows = rows.withColumn("_h", F.expr(f"CASE WHEN size(_w) >= {k} THEN transform(sequence(0, size(_w) - {s}), i -> {gram(s)}) END"))
     rows = rows.withColumn(
         "_at",
         F.expr(f"""CASE WHEN size(_w) >= {k} THEN filter(sequence(0, size(_w) - {k}), i -> {first} OR {last})

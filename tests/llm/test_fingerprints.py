@@ -24,7 +24,7 @@ def plain(text, k=6, s=2):
     if len(words) < k:
         at = [0] if (text or "").strip(" ") else []
     else:
-        small, w = [md5(words[i : i + s]) for i in range(len(words) - s + 1)], k - s + 1
+        small, w = [" ".join(words[i : i + s]).encode() for i in range(len(words) - s + 1)], k - s + 1
         at = [i for i in range(len(words) - k + 1) if small[i : i + w].index(min(small[i : i + w])) in (0, w - 1)]
     anchors, last = [], None
     for i in at:
