@@ -7,9 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,12 @@ def preprocess(family: str, numeric: Sequence[str] = NUMERIC, levels: Sequence[s
 
 
 def build(spec: Spec, rows: int, label: str = "etiqueta") -> Pipeline:
-    """Unfitted pipeline of a specification; ``rows`` turns C into a mean-loss penalty."""
+    """Unfitted pipeline of a specification; ``rows`` turns C into a mean-loss penalty.
+
+    A forest is fitted as a regression on the 0/1 label: the variance of a 0/1 label is half its Gini impurity, so the
+    splits are the same, and a leaf keeps the mean of its rows. The classifier would merge leaves of one majority class,
+    and with it lose all probabilities below one half.
+    """
     if spec.family == "logistic":
         estimator = LogisticRegression(
             labelCol=label,
@@ -87,7 +93,7 @@ def build(spec: Spec, rows: int, label: str = "etiqueta") -> Pipeline:
             tol=1e-6,
         )
     else:
-        estimator = RandomForestClassifier(
+        estimator = RandomForestRegressor(
             labelCol=label,
             numTrees=int(spec.params["trees"]),
             maxDepth=int(spec.params["depth"]),
@@ -99,7 +105,23 @@ def build(spec: Spec, rows: int, label: str = "etiqueta") -> Pipeline:
 
 
 def with_score(model: PipelineModel, df: DataFrame, name: str = "puntaje") -> DataFrame:
-    return model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    """``df`` with the probability of label 1: of a logistic model directly, of a forest the mean of its leaves' means."""
+    scored = model.transform(df)
+    return scored.withColumn(name, vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction"))
+
+
+def converged(model: PipelineModel) -> bool:
+    """A logistic model that ended before its last iteration; other models always."""
+    last = model.stages[-1]
+    return not hasattr(last, "getMaxIter") or last.summary.totalIterations < last.getMaxIter()
+
+
+def fit_converged(spec: Spec, df: DataFrame, rows: int, label: str = "etiqueta") -> PipelineModel:
+    """The fitted pipeline; a logistic model that ran out of iterations is an error."""
+    model = build(spec, rows, label).fit(df)
+    if not converged(model):
+        raise RuntimeError(f"{spec.name} did not converge")
+    return model
 
 
 def forest(df: DataFrame, trees: int = 100, depth: int = 6, leaf: int = 50) -> PipelineModel:
@@ -129,7 +151,7 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
     trained = [(spec, fold) for spec in specs for fold in range(k) if spec.family in ("logistic", "forest")]
     jobs = [lambda s=s, f=f: build(s, total - sizes[f], label).fit(df.filter(F.col("fold") != f)) for s, f in trained]
     models = dict(zip([(s.name, f) for s, f in trained], fit_all(jobs)))
-    scored, converged = [], []
+    scored, outcomes = [], []
     for spec in specs:
         for fold in range(k):
             finished = True
@@ -140,11 +162,9 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
                 rows = df.withColumn("puntaje", rate.scalar())
             else:
                 model = models[spec.name, fold]
-                if spec.family == "logistic":
-                    last = model.stages[-1]
-                    finished = last.summary.totalIterations < last.getMaxIter()
+                finished = converged(model)
                 rows = with_score(model, df)
-            converged.append((spec.name, spec.family, spec.complexity, fold, finished))
+            outcomes.append((spec.name, spec.family, spec.complexity, fold, finished))
             side = F.when(F.col("fold") == fold, "validacion").otherwise("entrenamiento").alias("lado")
             keep = ["unidad_id", "fold", F.col(label).alias("etiqueta"), "puntaje"]
             scored.append(rows.select(F.lit(spec.name).alias("modelo"), F.lit(fold).alias("vuelta"), side, *keep))
@@ -153,7 +173,7 @@ def cross_validate(df: DataFrame, specs: Sequence[Spec], k: int, label: str = "e
     wide = per_side.groupBy("modelo", "vuelta").agg(
         *[F.max(F.when(F.col("lado") == s, F.col("auc"))).alias(f"auc_{s}") for s in ("entrenamiento", "validacion")]
     )
-    info = spark.createDataFrame(converged, "modelo string, familia string, complejidad int, vuelta int, convergio boolean")
+    info = spark.createDataFrame(outcomes, "modelo string, familia string, complejidad int, vuelta int, convergio boolean")
     metrics = wide.join(F.broadcast(info), ["modelo", "vuelta"]).withColumn(
         "brecha", F.col("auc_entrenamiento") - F.col("auc_validacion")
     )
@@ -247,7 +267,17 @@ def permutation_importance(
     model: PipelineModel, df: DataFrame, n: int | None = None, repeats: int = 5, seed: int = SEED, label: str = "etiqueta",
     predictors: Sequence[str] = (*NUMERIC, "operador"),
 ) -> DataFrame:
-    """Mean AUC drop when one predictor is shuffled, on all units or a stratified sample of about ``n``.
+    """Mean AUC drop when one predictor is shuffled, and its spread over the repeats."""
+    return permutation_drops(model, df, n, repeats, seed, label, predictors).groupBy("variable").agg(
+        F.avg("caida_auc").alias("caida_auc_media"), F.stddev_pop("caida_auc").alias("de_permutacion")
+    )
+
+
+def permutation_drops(
+    model: PipelineModel, df: DataFrame, n: int | None = None, repeats: int = 5, seed: int = SEED, label: str = "etiqueta",
+    predictors: Sequence[str] = (*NUMERIC, "operador"),
+) -> DataFrame:
+    """AUC drop (``variable``, ``repeticion``, ``caida_auc``) of every shuffle, on all units or a stratified sample of about ``n``.
 
     The units are numbered in seeded random order; for each predictor and repeat a row takes the
     value of the row a seeded distance away. All shuffles are scored in one pass.
@@ -276,30 +306,50 @@ def permutation_importance(
     )
     dropped = roc_auc(with_score(model, shuffled), label, "puntaje", ["variable", "vuelta"]).select("variable", "vuelta", "auc")
     base = roc_auc(with_score(model, placed), label, "puntaje").select(F.col("auc").alias("_base"))
-    drop = with_scalar(dropped, base).withColumn("_drop", F.col("_base") - F.col("auc"))
-    return drop.groupBy("variable").agg(
-        F.avg("_drop").alias("caida_auc_media"), F.stddev_pop("_drop").alias("de_permutacion")
+    return with_scalar(dropped, base).select("variable", F.col("vuelta").alias("repeticion"), (F.col("_base") - F.col("auc")).alias("caida_auc"))
+
+
+#: A refit on the same rows gives the same scores but for the order of floating-point sums.
+REFIT_TOLERANCE = 1e-6
+
+
+def drops_per_fold(
+    df: DataFrame, spec: Spec, k: int, repeats: int = 5, seed: int = SEED, label: str = "etiqueta", oof: DataFrame | None = None
+) -> DataFrame:
+    """D09, raw: (``vuelta``, ``variable``, ``repeticion``, ``caida_auc``) of each fold's model on the rows it has not seen.
+
+    With ``oof``, the out-of-fold scores of a cross validation, the refitted models must reproduce the scores of
+    ``spec`` unit by unit, and a model that did not converge is an error.
+    """
+    sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
+    total = sum(sizes.values())
+    fitted = fit_all([lambda f=f: fit_converged(spec, df.filter(F.col("fold") != f), total - sizes[f], label) for f in range(k)])
+    unseen = [df.filter(F.col("fold") == fold) for fold in range(k)]
+    if oof is not None:
+        again = union_all([with_score(m, rows, "_otra").select("unidad_id", "_otra") for m, rows in zip(fitted, unseen)])
+        known = oof.filter(F.col("modelo") == spec.name).select("unidad_id", "puntaje")
+        far = F.coalesce(F.abs(F.col("puntaje") - F.col("_otra")) > REFIT_TOLERANCE, F.lit(True))
+        moved = known.join(again, "unidad_id", "full").filter(far).select("unidad_id").take(1)
+        if moved:
+            raise RuntimeError(f"the refit of {spec.name} does not reproduce the score of {moved[0]['unidad_id']}")
+    return union_all(
+        [permutation_drops(m, rows, repeats=repeats, seed=seed, label=label).withColumn("vuelta", F.lit(f)) for f, (m, rows) in enumerate(zip(fitted, unseen))]
     )
 
 
 def importance_per_fold(
-    df: DataFrame, spec: Spec, k: int, repeats: int = 5, seed: int = SEED, label: str = "etiqueta"
+    df: DataFrame, spec: Spec, k: int, repeats: int = 5, seed: int = SEED, label: str = "etiqueta", oof: DataFrame | None = None
 ) -> DataFrame:
-    """D09 over folds: each fold's model is asked on the rows it has not seen.
+    """D09 over folds, from :func:`drops_per_fold`.
 
     One row per predictor: mean drop, its spread across folds, and the mean spread within a fold's permutations.
     """
-    sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
-    total = sum(sizes.values())
-    fitted = fit_all([lambda f=f: build(spec, total - sizes[f], label).fit(df.filter(F.col("fold") != f)) for f in range(k)])
-    parts = [
-        permutation_importance(model, df.filter(F.col("fold") == fold), repeats=repeats, seed=seed, label=label).withColumn("vuelta", F.lit(fold))
-        for fold, model in enumerate(fitted)
-    ]
-    return union_all(parts).groupBy("variable").agg(
-        F.avg("caida_auc_media").alias("caida_auc_media"),
-        F.stddev_pop("caida_auc_media").alias("de_vueltas"),
-        F.avg("de_permutacion").alias("de_permutacion"),
+    raw = drops_per_fold(df, spec, k, repeats, seed, label, oof)
+    per_fold = raw.groupBy("variable", "vuelta").agg(F.avg("caida_auc").alias("media"), F.stddev_pop("caida_auc").alias("de"))
+    return per_fold.groupBy("variable").agg(
+        F.avg("media").alias("caida_auc_media"),
+        F.stddev_pop("media").alias("de_vueltas"),
+        F.avg("de").alias("de_permutacion"),
         F.count(F.lit(1)).alias("vueltas"),
     )
 
@@ -315,10 +365,13 @@ def coefficients(model: PipelineModel, numeric: Sequence[str] = NUMERIC, levels:
 def fit_final(
     df: DataFrame, spec: Spec, path: str, label: str = "etiqueta", threshold: float | None = None
 ) -> PipelineModel:
-    """Fit the chosen pipeline on the labelled cut-off and save it with its predictors and threshold."""
+    """Fit the chosen pipeline on the labelled cut-off and save it with its predictors and threshold.
+
+    A logistic model that did not converge is not saved but an error.
+    """
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError(f"threshold {threshold} is outside 0 to 1")
-    model = build(spec, df.count(), label).fit(df)
+    model = fit_converged(spec, df, df.count(), label)
     model.write().overwrite().save(f"{path}/modelo")
     contract = [(spec.name, threshold, [*NUMERIC, "operador"])]
     df.sparkSession.createDataFrame(contract, CONTRACT).write.mode("overwrite").json(f"{path}/contrato")

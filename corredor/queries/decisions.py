@@ -225,14 +225,18 @@ def d08b(w: Warehouse):
         UNION ALL SELECT variable, false, {K} FROM (VALUES {', '.join(f"('{n}')" for n in (*models.NUMERIC[1:], 'operador'))}) v(variable)""",
 )
 def d09(w: Warehouse):
-    """Of the 0/1 predictor and the constant ones only the first can lose AUC, and it does in every fold's permutations."""
-    drops = models.importance_per_fold(_binary(w), FREE, K)
+    """A predictor that equals the label but for one unit in sixteen, beside constant ones: only it can lose AUC, in every fold."""
+    other = F.substring(F.md5("unidad_id"), 1, 1) == "0"
+    planted = F.when(other, 1 - c("etiqueta")).otherwise(c("etiqueta")).cast("double")
+    rows = cut_lineage(_binary(w).withColumn("viajes_28d", planted))
+    oof, _ = models.cross_validate(rows, [FREE], K)
+    drops = models.importance_per_fold(rows, FREE, K, oof=oof)
     return drops.select("variable", (c("caida_auc_media") > 1e-9).alias("primera"), "vueltas")
 
 
 @query("D09_all_predictors")
 def d09b(w: Warehouse):
-    return models.importance_per_fold(_folded(w), models.SPECS[4], K)
+    return models.importance_per_fold(_folded(w), models.SPECS[4], K, oof=_validated(w)[0])
 
 
 @query(

@@ -125,6 +125,39 @@ def test_no_converged_logistic_model_is_an_error(spark):
         models.choose_model(metrics).collect()
 
 
+def test_forests_keep_their_leaves_on_rare_labels(spark, matrix):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = random.Random(4)
+    rare = {r["unidad_id"]: int(rng.random() < (0.25 if r["dias_desde_ultimo_uso"] > 0 else 0.05)) for r in matrix.collect()}
+    labels = spark.createDataFrame(list(rare.items()), "unidad_id string, etiqueta int")
+    rows = matrix.drop("etiqueta").join(labels, "unidad_id")
+    model = models.forest(rows, trees=20, depth=4, leaf=5)
+    pruned = RandomForestClassifier(labelCol="etiqueta", numTrees=20, maxDepth=4, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=models.SEED)
+    pruned = Pipeline(stages=[*models.preprocess("forest"), pruned]).fit(rows)
+    assert model.stages[-1].totalNumNodes > pruned.stages[-1].totalNumNodes
+    scored = models.with_score(model, rows)
+    low, high, values = scored.agg(F.min("puntaje"), F.max("puntaje"), F.countDistinct("puntaje")).head()
+    assert 0 <= low < high <= 1 and values > 20
+    rates = {r["alto"]: r["m"] for r in scored.groupBy((F.col("dias_desde_ultimo_uso") > 0).alias("alto")).agg(F.avg("puntaje").alias("m")).collect()}
+    assert rates[True] > rates[False]
+
+
+def test_importance_stops_on_other_scores_and_on_models_that_did_not_converge(spark, matrix):
+    oof, _ = models.cross_validate(matrix, SPECS[2:], 3)
+    for spec in SPECS[2:]:
+        drops = models.drops_per_fold(matrix, spec, 3, repeats=2, oof=oof)
+        assert drops.groupBy("vuelta", "variable").count().filter("count <> 2").count() == 0 and drops.count() == 3 * 11 * 2
+    with pytest.raises(RuntimeError, match="reproduce"):
+        models.drops_per_fold(matrix, SPECS[2], 3, repeats=1, oof=oof.withColumn("puntaje", F.col("puntaje") + 1e-3))
+    short = models.Spec("corta", "logistic", {"C": 1.0, "l1": 0.0, "iterations": 1})
+    with pytest.raises(RuntimeError, match="converge"):
+        models.drops_per_fold(matrix, short, 3, repeats=1)
+    with pytest.raises(RuntimeError, match="converge"):
+        models.fit_final(matrix, short, "/nowhere")
+
+
 def test_importance_per_fold(spark, matrix):
     got = {r["variable"]: r for r in models.importance_per_fold(matrix, SPECS[2], 3, repeats=2).collect()}
     assert max(got.values(), key=lambda r: r["caida_auc_media"])["variable"] == "dias_desde_ultimo_uso"
