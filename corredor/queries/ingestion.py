@@ -138,6 +138,22 @@ def s06(w: Warehouse):
     return with_scalar(with_scalar(total, rows(first, "primera")), rows(second, "segunda"))
 
 
+@query(
+    "S06_same_time",
+    """SELECT (SELECT count(*) FROM tu_raw) + count(*) AS filas, (SELECT count(*) FROM tu_raw) + count(*) AS en_manifiesto, CAST(2 AS BIGINT) AS entregas
+       FROM tu_raw WHERE monto_centavos > 5000""",
+)
+def s06_same_time(w: Warehouse):
+    """Two deliveries of one time stamp: both stay, and the manifest's rows are the rows that are there."""
+    rows = w.tu_transactions_raw.select(F.substring("bronze_record_id", 4, 20).alias("id"), "monto_centavos")
+    base, _ = _ingested(w, _raw_csv(w, rows, "all"))
+    _ingested(w, _raw_csv(w, rows.filter(c("monto_centavos") > 5000), "dear"), base=base)
+    from corredor.operators.joins import with_scalar
+
+    entered = w.spark.read.parquet(f"{base}/manifest").agg(F.sum("filas").alias("en_manifiesto"), F.countDistinct("_batch").alias("entregas"))
+    return with_scalar(_entered(w, base).agg(F.count(F.lit(1)).alias("filas")), entered)
+
+
 @query("S07_force_reingest", "SELECT '2024-02-02T00:00:00' AS _ingestion_ts, count(*) AS filas FROM tu_raw")
 def s07(w: Warehouse):
     path = _tu_csv(w)

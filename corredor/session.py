@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,17 +62,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: dict[str, list[str]] = {}
+_SCOPE = threading.local()
 
 
 def write_once(df, name: str = "fixed"):
     """``df`` written to the shared folder and read back: later passes see one layout, whatever executors come or go.
 
-    The copy stays until ``release_scratch``.
+    The copy stays until ``release_scratch``, or inside ``scratch_scope`` until its end.
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    scope = getattr(_SCOPE, "paths", None)
+    (_WRITTEN.setdefault(spark.sparkContext.applicationId, []) if scope is None else scope).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,13 +85,32 @@ def scratch_mark(spark: SparkSession) -> int:
 
 def release_scratch(spark: SparkSession, keep: int = 0) -> int:
     """Deletes the copies that ``write_once`` has made after the first ``keep``; what reads them must be stored by then."""
-    context = spark.sparkContext
-    held = _WRITTEN.get(context.applicationId, [])
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
     paths, held[keep:] = held[keep:], []
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
     for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    return len(paths)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Copies that ``write_once`` makes inside, in this thread, are deleted at the end, also after an error.
+
+    What leaves the scope must be stored and not read them; calls in other threads keep their own copies.
+    """
+    outer = getattr(_SCOPE, "paths", None)
+    _SCOPE.paths = own = []
+    try:
+        yield
+    finally:
+        _SCOPE.paths = outer
+        _delete(spark, own)
 
 
 def cut_lineage(df):

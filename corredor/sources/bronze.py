@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -19,24 +20,48 @@ from corredor.sources.raw import (
     jsonl_raw_scan,
     with_record_number,
 )
-from corredor.session import write_once
+from corredor.session import scratch_scope, write_once
 
 MANIFEST = (
     "_source_sha256 string, _source_file string, _source_name string, filas bigint, _ingestion_ts string, "
-    "fecha_ingesta string, _batch string, _path string, _bytes bigint, _modified timestamp"
+    "fecha_ingesta string, _batch string, _path string, _bytes bigint, _modified timestamp, _orden bigint"
 )
 
 
 def write_bronze(df: DataFrame, path: str, date: str, batch: str) -> None:
-    """Snappy Parquet by ingestion date and delivery; a rewrite replaces only its own delivery."""
-    (
-        df.withColumns({"fecha_ingesta": F.lit(date), "_batch": F.lit(batch)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy("fecha_ingesta", "_batch")
-        .parquet(path)
-    )
+    """Snappy Parquet by ingestion date and delivery. A delivery is written once: one that exists is an error.
+
+    The delivery is written into its own folder, so calls that run at once do not share a commit.
+    """
+    df.write.mode("errorifexists").option("compression", "snappy").parquet(f"{path}/fecha_ingesta={date}/_batch={batch}")
+
+
+_PLACE = re.compile(r"/fecha_ingesta=([^/]+)/_batch=([^/]+)/")
+
+
+def deliveries(spark: SparkSession, path: str) -> set[tuple[str, str]]:
+    """(date, batch) of the deliveries that have files; read from the file listing, no file is opened."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException:
+        return set()
+    return {(unquote(m[1]), unquote(m[2])) for m in map(_PLACE.search, files) if m}
+
+
+def delivery_name(label: str) -> str:
+    """A name that no other call has, so attempts never meet: the label and a random part."""
+    return f"{label}-a{uuid.uuid4().hex[:12]}"
+
+
+def entered_files(spark: SparkSession, manifest: str, bronze: str) -> DataFrame:
+    """Manifest entries whose delivery is still there; files of a vanished one count as not ingested.
+
+    Entries without rows have no files to lose. Deliveries are few, and the driver lists their files in any case.
+    """
+    there = spark.createDataFrame(sorted(deliveries(spark, bronze)), "fecha_ingesta string, _batch string")
+    entries = read_or_empty(spark, manifest, MANIFEST)
+    empty = entries.filter(F.col("filas") == 0)
+    return entries.filter(F.col("filas") > 0).join(there, ["fecha_ingesta", "_batch"], "left_semi").select(*empty.columns).unionAll(empty)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,15 +103,25 @@ def ingest_once(
 ) -> DataFrame:
     """Ingest the files whose content is not in the manifest, or all of them if forced.
 
-    One call is one delivery: its files share the batch ``batch`` (default: the time of ingestion).
-    Only files whose path, size or time changed are hashed. The manifest is written last and says
-    which delivery of a file counts (``read_bronze``): a failed run leaves nothing visible, a forced
-    one supersedes its files of the same date. Returns the manifest rows of this run; a file without
-    records is entered with 0 rows.
+    Every call is an attempt of its own and writes a delivery that no other call has: ``batch`` (default: the time of
+    ingestion) with a random part, so two calls of one time, a retry and parallel calls never touch each other's rows.
+    The manifest is an append-only log, written last, and says which delivery of a file counts (``read_bronze``): what
+    failed before it is never visible, and of a content that two calls ingested at once the last entry counts. A ``batch``
+    that was named before is refused. Files of a delivery that has vanished are ingested again. Only files whose path, size
+    or time changed are hashed. Returns the manifest rows of this run; a file without records is entered with 0 rows.
+    Scratch copies are removed when the run ends, also by an error.
     """
-    batch = batch or re.sub(r"\W+", "-", ingested_at)
+    label = re.sub(r"\W+", "-", batch or ingested_at)
+    with scratch_scope(spark):
+        return _ingest(spark, source, paths, bronze, manifest, date, ingested_at, kind, force, label, batch is not None)
+
+
+def _ingest(spark, source, paths, bronze, manifest, date, ingested_at, kind, force, label, named) -> DataFrame:
+    entered = entered_files(spark, manifest, bronze)
+    if named and entered.filter(F.col("_batch").rlike(f"^{re.escape(label)}-a[0-9a-f]{{12}}$")).take(1):
+        raise ValueError(f"the manifest already has a delivery {label}")
+    batch = delivery_name(label)
     listed = _listing(spark, paths)
-    entered = read_or_empty(spark, manifest, MANIFEST)
     if not force:
         listed = listed.join(entered.select("_path", "_bytes", "_modified"), ["_path", "_bytes", "_modified"], "left_anti")
     # the reader takes a list of paths; the driver lists the files in any case
@@ -111,6 +146,7 @@ def ingest_once(
         .groupBy("_source_sha256")
         .agg(F.count(F.lit(1)).alias("filas"))
     )
+    order = (read_or_empty(spark, manifest, MANIFEST).agg(F.max("_orden")).first()[0] or 0) + 1
     entry = todo.join(counts, "_source_sha256", "left").select(
         "_source_sha256",
         file_name(F.col("_file")).alias("_source_file"),
@@ -122,6 +158,7 @@ def ingest_once(
         F.col("_file").alias("_path"),
         "_bytes",
         "_modified",
+        F.lit(order).cast("bigint").alias("_orden"),
         # the header of a CSV is a line but no record; blank lines are none in either format
         (F.col("registros") - (1 if kind == "csv" else 0)).alias("_expected"),
     )
@@ -129,9 +166,9 @@ def ingest_once(
     lost = entry.filter(F.col("filas") != F.greatest("_expected", F.lit(0))).select("_path", "_expected", "filas").take(1)
     if lost:
         raise RuntimeError(f"{source}: written rows differ from the lines read: {lost[0]}")
-    entry = entry.drop("_expected")
-    entry.write.mode("append").parquet(manifest)
-    return entry
+    # an entry per folder: entries written at once do not share a commit either
+    entry.drop("_expected", "_batch").write.mode("errorifexists").parquet(f"{manifest}/_batch={batch}")
+    return spark.read.schema(MANIFEST).parquet(manifest).filter(F.col("_batch") == batch)
 
 
 def read_bronze(spark: SparkSession, path: str, latest_batch: bool = False, manifest: str | None = None) -> DataFrame:
@@ -145,7 +182,7 @@ def read_bronze(spark: SparkSession, path: str, latest_batch: bool = False, mani
         last = (
             spark.read.schema(MANIFEST).parquet(manifest)
             .groupBy("_source_sha256", "fecha_ingesta")
-            .agg(F.max_by("_batch", F.struct("_ingestion_ts", "_batch")).alias("_batch"))
+            .agg(F.max_by("_batch", F.struct("_ingestion_ts", "_orden", "_batch")).alias("_batch"))
             .select("_source_sha256", F.col("fecha_ingesta").cast(df.schema["fecha_ingesta"].dataType), F.col("_batch").cast(df.schema["_batch"].dataType))
         )
         df = df.join(last, ["_source_sha256", "fecha_ingesta", "_batch"], "left_semi")

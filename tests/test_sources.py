@@ -115,6 +115,67 @@ def test_lost_rows_raise_and_leave_nothing_visible(spark, tmp_path, monkeypatch)
     assert entered(spark, tmp_path).count() == 3
 
 
+def test_two_deliveries_of_one_time_keep_all_rows(spark, tmp_path):
+    write(tmp_path / "in" / "a.csv", "id,v\n" + "".join(f"{i},a\n" for i in range(10)))
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 1
+    write(tmp_path / "in" / "b.csv", "id,v\n" + "".join(f"{i},b\n" for i in range(7)))
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 1
+    entries = spark.read.parquet(str(tmp_path / "manifest"))
+    assert entered(spark, tmp_path).count() == 17 and entries.agg(F.sum("filas")).head()[0] == 17
+    assert entered(spark, tmp_path, latest_batch=True).count() == 7
+
+
+def test_a_crash_before_the_log_leaves_nothing_visible(spark, tmp_path, monkeypatch):
+    write(tmp_path / "in" / "a.csv", "id,v\n1,a\n2,b\n")
+    real = bronze.write_once
+    monkeypatch.setattr(bronze, "write_once", lambda df, name: (_ for _ in ()).throw(OSError("crash")) if name == "manifest-entry" else real(df, name))
+    with pytest.raises(OSError, match="crash"):
+        ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00")
+    monkeypatch.undo()
+    assert len(bronze.deliveries(spark, str(tmp_path / "bronze"))) == 1
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 1
+    assert entered(spark, tmp_path).count() == 2 and len(bronze.deliveries(spark, str(tmp_path / "bronze"))) == 2
+
+
+def test_two_calls_at_once_count_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    write(tmp_path / "in" / "a.csv", "id,v\n1,a\n2,b\n")
+    with ThreadPoolExecutor(2) as pool:
+        calls = [pool.submit(ingest, spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") for _ in range(2)]
+        assert all(c.result() in (0, 1) for c in calls)
+    assert entered(spark, tmp_path).count() == 2
+
+
+def test_vanished_output_is_ingested_again_and_named_batches_are_refused(spark, tmp_path):
+    import shutil
+
+    write(tmp_path / "in" / "a.csv", "id,v\n1,a\n2,b\n")
+    write(tmp_path / "in" / "head.csv", "id,v\n")
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 2
+    shutil.rmtree(tmp_path / "bronze")
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-02T00:00:00") == 1
+    assert entered(spark, tmp_path).count() == 2
+    call = lambda: bronze.ingest_once(
+        spark, "s", str(tmp_path / "in"), str(tmp_path / "bronze"), str(tmp_path / "manifest"), "2024-01-01", "t", force=True, batch="lote"
+    ).count()
+    assert call() == 2
+    with pytest.raises(ValueError, match="lote"):
+        call()
+    (date, name), = [d for d in bronze.deliveries(spark, str(tmp_path / "bronze")) if d[1].startswith("lote")]
+    with pytest.raises(Exception, match="already exists"):
+        bronze.write_bronze(spark.range(1), str(tmp_path / "bronze"), date, name)
+
+
+def test_ingestion_leaves_no_scratch(spark, tmp_path):
+    from corredor import session
+
+    write(tmp_path / "in" / "a.csv", "id,v\n1,a\n")
+    before = session.scratch_mark(spark)
+    assert ingest(spark, tmp_path, str(tmp_path / "in"), "2024-01-01T00:00:00") == 1
+    assert session.scratch_mark(spark) == before
+
+
 def test_scratch_copies_can_be_released(spark, tmp_path):
     from corredor import session
 
