@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,27 +79,51 @@ def min_user_catalog(df: DataFrame, key: str) -> DataFrame:
 _LOG = "version string, numero int"
 
 
-def rebuild_staging(tables: Mapping[str, DataFrame], base: str, expected: Mapping[str, int] | None = None) -> str:
+def rebuild_staging(
+    tables: Mapping[str, DataFrame], base: str, expected: Mapping[str, int] | None = None, keep: int | None = None
+) -> str:
     """Write every table under a new version and publish it once all of them check out.
 
     All inputs are analysed before anything is written. Readers follow the version log, so they
-    see the old tables until the last check passes; nothing is renamed or deleted.
+    see the old tables until the last check passes; nothing is renamed. Each input plan runs once: its rows are
+    counted while they are written and compared with what is read back, and with ``expected`` where it is given.
+    With ``keep`` only the newest published versions stay (at least the new one); without it none is deleted.
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, df in tables.items():
         target = f"{base}/{name}/version={version}"
-        df.write.mode("errorifexists").parquet(target)
-        # the input count prunes every column, so it does not repeat the work of the write
-        wanted = (expected or {}).get(name)
-        assert_written(spark, target, df.count() if wanted is None else wanted)
+        seen = Observation(f"{name}-{version}")
+        df.observe(seen, F.count(F.lit(1)).alias("filas")).write.mode("errorifexists").parquet(target)
+        written = seen.get["filas"]
+        wanted = (expected or {}).get(name, written)
+        if written != wanted:
+            raise RuntimeError(f"{target}: {written} rows written, {wanted} expected")
+        assert_written(spark, target, written)
     log = read_or_empty(spark, f"{base}/_versions", _LOG)
     number = (log.agg(F.max("numero")).first()[0] or 0) + 1  # one row per rebuild; nothing reads the clock
     log = spark.createDataFrame([(version, number)], _LOG)
     log.coalesce(1).write.mode("append").parquet(f"{base}/_versions")
+    if keep is not None:
+        prune_staging(spark, base, list(tables), keep)
     return version
 
 
+def prune_staging(spark: SparkSession, base: str, names: Sequence[str], keep: int) -> list[str]:
+    """Deletes the tables of all published versions but the ``keep`` newest; versions that were never published stay.
+
+    Jobs that still read an older version fail: keep as many as rebuilds can pass during the longest job.
+    """
+    log = read_or_empty(spark, f"{base}/_versions", _LOG)
+    old = [r["version"] for r in log.orderBy(F.desc("numero"), "version").collect()][max(keep, 1):]  # one row per rebuild
+    context = spark.sparkContext
+    for version in old:
+        for name in names:
+            target = context._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/version={version}")
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return old
+
+
 def read_staging(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The published version of a staging table."""
     log = read_or_empty(spark, f"{base}/_versions", _LOG)

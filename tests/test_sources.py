@@ -233,6 +233,22 @@ def test_rebuild_publishes_only_complete_versions(spark, tmp_path):
     assert staging.read_staging(spark, base, "t").count() == 3
 
 
+def test_rebuild_runs_each_input_once_and_keeps_few_versions(spark, tmp_path):
+    import os
+
+    ran = spark.sparkContext.accumulator(0)
+    counted = spark.sparkContext.parallelize(range(3), 2).map(lambda i: (ran.add(1), (i,))[1])
+    base = str(tmp_path / "stg")
+    tables = {"t": spark.createDataFrame(counted, "id long").filter("id >= 0"), "vacia": spark.range(5).filter("id < 0"), "nada": spark.range(0)}
+    staging.rebuild_staging(tables, base, keep=2)
+    assert ran.value == 3
+    for _ in range(3):
+        last = staging.rebuild_staging({"t": spark.range(7), "vacia": spark.range(0)}, base, keep=2)
+    assert staging.read_staging(spark, base, "t").count() == 7 and staging.read_staging(spark, base, "vacia").count() == 0
+    left = [n for n in os.listdir(f"{base}/t") if n.startswith("version=")]
+    assert len(left) == 2 and f"version={last}" in left
+
+
 def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     data = silver(spark, tm=[("a", "TC-1", "2026-06-01T08:00:00.250000", 1, "p,\"q"), ("b", "TC-1", "2026-09-01", 1, "p")],
                   mr=[("m", "MR1", "2026-08-29T23:50", "2026-08-30", 1, "1")])
