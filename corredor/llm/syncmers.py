@@ -36,9 +36,11 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
         raise ValueError(f"s = {s} must be 1 or more and below k = {k}")
     w, keep = k - s + 1, df.columns
     gram = lambda n: "concat_ws(' ', " + ", ".join(f"_w[i + {j}]" for j in range(n)) + ")"
-    own = [f"_h[i + {j}]" for j in range(w)]
-    first = f"{own[0]} <= {_least(own[1:])}"
-    last = f"{own[-1]} < {_least(own[:-1])}"
+    # a k-gram of whole s-grams is put together from those
+    whole = "concat_ws(' ', " + ", ".join(f"_h[i + {j}]" for j in range(0, k, s)) + ")" if k % s == 0 else gram(k)
+    inner = _least([f"_h[i + {j}]" for j in range(1, w - 1)])
+    edge = f"_h[i] <= _h[i + {w - 1}]"
+    closed = f"CASE WHEN {edge} THEN _h[i] <= {inner} ELSE _h[i + {w - 1}] < {inner} END" if inner else "true"
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     # a column per step: each is evaluated once, however often a later one refers to it. Elements are taken by
     # place: slice() would copy the whole array each time
@@ -48,31 +50,26 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     rows = rows.withColumn("_h", F.expr(f"CASE WHEN size(_w) >= {k} THEN transform(sequence(0, size(_w) - {s}), i -> {gram(s)}) END"))
     rows = rows.withColumn(
         "_at",
-        F.expr(f"""CASE WHEN size(_w) >= {k} THEN filter(sequence(0, size(_w) - {k}), i -> {first} OR {last})
+        F.expr(f"""CASE WHEN size(_w) >= {k} THEN filter(sequence(0, size(_w) - {k}), i -> {closed})
                    WHEN trim(_t) <> '' THEN array(0) ELSE array() END"""),
     )
-    token = f"base64(unhex(substring(md5(if(size(_w) < {k}, array_join(_w, ' '), {gram(k)})), 1, 6)))"
-    rows = rows.withColumn("_a", F.expr(f"transform(_at, i -> struct(i + 1 AS p, {token} AS t))"))
-    rows = rows.withColumn("_a", F.expr("filter(_a, (x, j) -> j = 0 OR x.t <> _a[j - 1].t)"))
-    item = f"transform(_a, (x, j) -> concat(substring('{GAPS}', least(x.p - if(j = 0, 0, _a[j - 1].p), 35), 1), x.t))"
+    token = f"base64(unhex(substring(md5(if(_h IS NULL, array_join(_w, ' '), {whole})), 1, 6)))"
+    rows = rows.withColumn("_a", F.expr(f"transform(_at, i -> {token})"))
+    rows = rows.withColumn("_j", F.expr("CASE WHEN size(_a) > 0 THEN filter(sequence(0, size(_a) - 1), j -> j = 0 OR _a[j] <> _a[j - 1]) ELSE array() END"))
+    item = f"transform(_j, (j, n) -> concat(substring('{GAPS}', least(_at[j] - if(n = 0, -1, _at[_j[n - 1]]), 35), 1), _a[j]))"
     return rows.select(*[F.col(f"`{c}`") for c in keep], F.array_join(F.expr(item), "").alias(name))
 
 
 def _least(values: list[str]) -> str:
-    return f"least({', '.join(values)})" if len(values) > 1 else values[0]
+    return f"least({', '.join(values)})" if len(values) > 1 else "".join(values)
 
 
 def anchors_of(fingerprint: Column) -> Column:
-    """Distinct anchors with the distance to their predecessor and that predecessor."""
+    """Distinct anchors with the distance to their predecessor and that predecessor, as 64-bit hashes."""
     raw = fingerprint.cast("binary")  # of binary, unlike of strings, a part is cut without reading what is before it
     count = (F.length(fingerprint) / 5).cast("int")
-
-    def key(i: Column) -> Column:
-        own = F.substring(raw, i * 5 + 1, F.lit(5)).cast("string")
-        return F.concat(F.when(i == 0, F.lit("")).otherwise(F.substring(raw, i * 5 - 3, F.lit(4)).cast("string")), own)
-
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, key))
+    key = lambda i: F.xxhash64(F.when(i == 0, F.substring(raw, 1, 5)).otherwise(F.substring(raw, i * 5 - 3, F.lit(9))))
+    return F.array_distinct(F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), key)).otherwise(F.array().cast("array<bigint>")))
 
 
 def likeness(left: str, right: str) -> Column:
