@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corredor.operators import cdc as cdc_ops
 from corredor.operators import quality
-from corredor.plans import gold, pit, silver, views
+from corredor.plans import gold, guards, pit, silver, views
 from corredor.plans.silver import AM, HORIZON, MR, TM, TU
 from corredor.sources.bronze import read_or_empty
 
@@ -245,4 +245,4 @@ def checks(t: Tables, s: Settings) -> dict[str, DataFrame]:
     counted = [t[f"silver.{n}"].select(F.lit(m).alias("modo")) for m, n in OPERATOR_TABLES.items()]
     kept = facts.select(F.col("fuente_evento").alias("modo")).unionAll(trips.select(F.col("fuente_evento").alias("modo")))
     out["conteo_por_modo"] = quality.counts_match(union_all(counted), kept, ["modo"])
-    return out
+    return out | guards.published(t)

@@ -317,6 +317,9 @@ def last_instant(silver: Mapping[str, DataFrame]) -> DataFrame:
 
 USER_WINDOWS = (7, 30, 90)
 
+#: Days whose bits one number holds.
+DAY_BITS = 64
+
 
 def with_identity(events: DataFrame, operator: str, key: str, bridge: DataFrame | None) -> DataFrame:
     """Identity columns of each event.
@@ -351,8 +354,9 @@ def user_features(
 ) -> DataFrame:
     """One row per identity at the cut-off; windows are ``(cut - N days, cut]``.
 
-    The events are reduced in a chain (identity, zone, day) -> (identity, zone) -> identity, so
-    an identity with very many events meets only its daily totals in one task.
+    One pass over the events groups them by (identity, zone) and by (identity, block of 64 days), the days of
+    a block being bits of one number; both kinds of rows then meet per identity. An identity with very many
+    events meets only its zones and blocks in one task, and no list of days is ever gathered.
     """
     ops = operations(silver)
     if cut is None:
@@ -379,9 +383,7 @@ def user_features(
         for n in USER_WINDOWS
     ]
     mode_counts = {m: f"eventos_{s}" for m, s in MODE_SUFFIX.items()}
-    daily = located.groupBy(
-        "usuario_canonico_id", "fecha_corte", "zona", used.cast("date").alias("dia")
-    ).agg(
+    measures = [
         F.min("metodo_match").alias("metodo_match"),
         F.min("nivel_confianza").alias("nivel_confianza"),
         F.count(F.lit(1)).alias("n"),
@@ -392,27 +394,23 @@ def user_features(
         F.sum("tarifa_quetzales").alias("gasto"),
         F.count("tarifa_quetzales").alias("con_tarifa"),
         *[F.count_if(F.col("operador") == m).alias(c) for m, c in mode_counts.items()],
-    )
+        F.bit_or("_bit").alias("_dias"),
+    ]
     sums = ["n", *[f"n_{n}" for n in USER_WINDOWS], "pico", "gasto", "con_tarifa", *mode_counts.values()]
-
-    def totals(grouped, *extra):
-        return grouped.agg(
-            F.min("metodo_match").alias("metodo_match"),
-            F.min("nivel_confianza").alias("nivel_confianza"),
-            F.min("primero").alias("primero"),
-            F.max("ultimo").alias("ultimo"),
-            *[F.sum(c).alias(c) for c in sums],
-            *extra,
-        )
-
-    per_zone = totals(
-        daily.groupBy("usuario_canonico_id", "fecha_corte", "zona"),
-        F.collect_list("dia").alias("dias"),
-    )
-    per_user = totals(
-        per_zone.groupBy("usuario_canonico_id", "fecha_corte"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("dias")))).cast("long").alias("dias_activos"),
-        F.min_by("zona", F.struct(-F.col("n"), F.col("zona"))).alias("zona_origen_frecuente"),
+    day = F.unix_date(used.cast("date"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(DAY_BITS)))
+    dated = located.withColumns({"_bloque": F.floor(day / DAY_BITS), "_bit": bit})
+    user = ["usuario_canonico_id", "fecha_corte"]
+    parts = dated.groupingSets([[*user, "zona"], [*user, "_bloque"]], *user, "zona", "_bloque").agg(*measures)
+    by_zone = F.col("zona").isNotNull()  # the other rows are blocks of days
+    per_user = parts.groupBy(*user).agg(
+        F.min("metodo_match").alias("metodo_match"),
+        F.min("nivel_confianza").alias("nivel_confianza"),
+        F.min("primero").alias("primero"),
+        F.max("ultimo").alias("ultimo"),
+        *[F.sum(F.when(by_zone, F.col(c))).alias(c) for c in sums],
+        F.sum(F.when(~by_zone, F.bit_count("_dias"))).cast("long").alias("dias_activos"),
+        F.min_by("zona", F.when(by_zone, F.struct(-F.col("n"), F.col("zona")))).alias("zona_origen_frecuente"),
     )
     ranked_modes = F.array_sort(
         F.array(*[F.struct((-F.col(c)).alias("n"), F.lit(m).alias("modo")) for m, c in mode_counts.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corredor.operators import quality
 from corredor.operators.sets import symmetric_diff
-from corredor.plans import gold, layers, silver, views
+from corredor.plans import gold, guards, layers, silver, views
 from corredor.queries.bindings import Warehouse
 
 SF = "/root/testdata/sf0.001"
@@ -108,11 +108,54 @@ def test_derived_and_joined_identities_agree(spark):
     assert symmetric_diff(a, b).count() == 0
 
 
+def test_active_days_count_a_day_of_two_zones_once(spark):
+    when = ["1969-12-31T23:00", "1970-01-01T08:00", "2026-06-01T08:00", "2026-06-01T21:00", "2026-06-02T08:00", "2026-09-30T08:00"]
+    data = frames(
+        spark,
+        tm=[(f"a{i}", "TC-00000001", t, 1, "p") for i, t in enumerate(when)],
+        tu=[("b", "0000000001", "2026-06-01T09:00", 2, "p"), ("c", "0000000001", "2026-06-05T09:00", 2, "gone")],
+    )
+    found = silver.user_features(data, points(spark), "2026-10-01 00:00:00")
+    got = found.select("total_eventos", "dias_activos", "zona_origen_frecuente", "eventos_ultimos_7_dias").collect()
+    assert [tuple(r) for r in got] == [(8, 6, "Zona 1", 1)]
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _one_more(column, row=None):
+    """The relation with one more in a column, of one row or of all."""
+    return lambda df: df.withColumn(column, (F.col(column) + (1 if row is None else F.when(row, 1).otherwise(0))).cast(df.schema[column].dataType))
+
+
+# for each guard a relation and a damage that it must report
+DAMAGE = {
+    "cobertura_reconciliada": ("gold.mart_cobertura", _one_more("eventos_transmetro")),
+    "tren_grano": ("gold.mart_metroriel_zonas", lambda df: df.limit(1)),
+    "tren_reconciliado": ("gold.mart_metroriel_zonas", _one_more("viajes_metroriel_iniciados")),
+    "tren_ranking": ("gold.mart_metroriel_zonas", _one_more("ranking_demanda_otros_modos")),
+    "vistas_totales": ("gold.v_cobertura", _one_more("viajes_mr_iniciados")),
+    "vista_metroriel": ("gold.v_metroriel", _one_more("areas_en_ranking_red")),
+    "vista_multimodalidad": ("gold.v_multimodalidad", _one_more("usuarios_multimodales_total")),
+    "vista_transbordos": ("gold.v_transbordos", _one_more("tiempo_promedio_transferencia_minutos")),
+    "vistas_sin_identidad": ("gold.v_multimodalidad", lambda df: df.withColumn("user_hash", F.lit("h"))),
+}
+
+
+def broken_guards(tables):
+    """Guards that report their damage."""
+    found = set()
+    for name, (relation, damage) in DAMAGE.items():
+        changed = dict(tables.tables) | {relation: damage(tables[relation])}
+        if not guards.published(changed)[name].isEmpty():
+            found.add(name)
+    return found
+
+
 def test_layers_pass_its_checks_and_repeats_itself(spark, tmp_path):
     w = Warehouse(spark, SF)
     first = layers.run(w.staging, str(tmp_path / "a"), w.settings)
     failed = [r["prueba"] for r in quality.summary(layers.checks(first, w.settings)).collect() if r["violaciones"]]
     assert failed == []
+    assert broken_guards(first) == DAMAGE.keys()
     second = layers.run({n: df.repartition(5) for n, df in w.staging.items()}, str(tmp_path / "b"), w.settings)
     same = [n for n in first.tables if n.startswith(("silver.", "gold."))]
     assert quality.runs_equal({n: first[n] for n in same}, {n: second[n] for n in same}).count() == 0
