@@ -98,6 +98,19 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def finished_folders(spark: SparkSession, path: str, prefix: str, marker: str | None = None) -> set[str]:
+    """What follows ``prefix`` in the names of the folders in ``path``; with ``marker`` only of those that hold this file."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return set()
+    found = [f.getPath() for f in files.listStatus(root) if f.isDirectory() and f.getPath().getName().startswith(prefix)]
+    if marker:
+        found = [f for f in found if files.exists(context._jvm.org.apache.hadoop.fs.Path(f, marker))]
+    return {f.getName()[len(prefix):] for f in found}
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Copies that ``write_once`` makes inside, in this thread, are deleted at the end, also after an error.

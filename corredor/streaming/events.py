@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corredor.functions.scalars import is_json
-from corredor.session import release_scratch, scratch_mark, write_once
+from corredor.session import finished_folders, release_scratch, scratch_mark, write_once
 from corredor.sources.bronze import read_or_empty
 from corredor.sources.raw import with_record_number
 
@@ -137,6 +137,59 @@ def dedup_events(events: DataFrame, stored: DataFrame, horizon: str | None = Non
     return first.join(known, "_event_id", "left_anti")
 
 
+#: Hash buckets of a lot in the id index.
+ID_BUCKETS = 16
+
+_STORED = "_event_id string, _published_at string, _lote bigint"
+_INDEX = "_huella bigint, _lote bigint, _cubo int"
+
+
+def _mark(buckets: int) -> list:
+    """The 64-bit hash of an id and its bucket."""
+    mark = F.xxhash64("_event_id")
+    return [mark.alias("_huella"), F.pmod(mark, F.lit(buckets)).cast("int").alias("_cubo")]
+
+
+def index_batch(events: DataFrame, index: str, batch: int, buckets: int = ID_BUCKETS) -> None:
+    """The ids of a stored lot as sorted 64-bit hashes by hash bucket; an unfinished lot lacks its ``_SUCCESS`` and does not count."""
+    (
+        events.select(*_mark(buckets)).hint("rebalance", "_cubo").sortWithinPartitions("_cubo", "_huella")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_cubo").parquet(f"{index}/_lote={batch}")
+    )
+
+
+def index_rows(spark: SparkSession, index: str, lots: Sequence[int], buckets: Sequence[int]) -> DataFrame:
+    """Hashes of the given lots in the given buckets; files of other lots and buckets are not opened."""
+    if not lots:
+        return spark.createDataFrame([], _INDEX)
+    found = spark.read.schema(_INDEX).option("basePath", index).parquet(*[f"{index}/_lote={n}" for n in sorted(lots)])
+    return found.filter(F.col("_cubo").isin(list(buckets)))
+
+
+def stored_candidates(
+    spark: SparkSession, events: DataFrame, bronze: str, index: str, batch: int, buckets: int = ID_BUCKETS
+) -> DataFrame:
+    """Ids of the stored lots that may hold one of ``events``; the lot of ``batch`` itself is left out.
+
+    A batch of new events reads eight bytes per stored id, of the buckets its own ids fall into, and no Bronze file. Lots
+    whose index holds a hash of the batch are read in full, so equal hashes of other ids only cost time; so are lots that
+    have no finished index (a crash before it was written, Bronze from before there was an index). Only bucket numbers and
+    lot numbers reach the driver, which lists the folders of the lots in any case.
+    """
+    lots = {int(n) for n in finished_folders(spark, bronze, "_lote=")} - {batch}
+    indexed = lots & {int(n) for n in finished_folders(spark, index, "_lote=", "_SUCCESS")}
+    marks = events.select(*_mark(buckets)).distinct()
+    hit = set()
+    if indexed:
+        wanted = [r["_cubo"] for r in marks.select("_cubo").distinct().collect()]
+        same = index_rows(spark, index, sorted(indexed), wanted).join(marks.select("_huella"), "_huella", "left_semi")
+        hit = {r["_lote"] for r in same.select("_lote").distinct().collect()}
+    asked = sorted((lots - indexed) | hit)
+    if not asked:
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).option("basePath", bronze).parquet(*[f"{bronze}/_lote={n}" for n in asked])
+
+
 @dataclass(frozen=True)
 class Drain:
     """A finished drain: its query, and where the counts of its batches are stored."""
@@ -172,17 +225,19 @@ def consume(
     """Drain what is available into Bronze and its dead letters, exactly once, and stop.
 
     Each batch is read and decoded once for both sinks, its counts are stored with it, and progress is
-    committed after all three are written.
+    committed after all three are written. The index of stored ids lies beside Bronze (``<bronze>_ids``); it follows the lot
+    it describes and may be deleted, then the lots are asked themselves.
     """
-    counts = f"{checkpoint}/counts"
+    counts, index = f"{checkpoint}/counts", f"{bronze.rstrip('/')}_ids"
 
     def store(batch: DataFrame, number: int) -> None:
         session, mark = batch.sparkSession, scratch_mark(batch.sparkSession)
         messages = write_once(with_position(batch), "stream-batch")
         good, bad = split_valid(messages, consumed_at)
-        stored = read_or_empty(session, bronze, "_event_id string, _published_at string, _lote bigint")
-        fresh = write_once(dedup_events(good, stored.filter(F.col("_lote") != number), horizon), "stream-fresh")
+        stored = stored_candidates(session, good, bronze, index, number)
+        fresh = write_once(dedup_events(good, stored, horizon), "stream-fresh")
         write_batch(fresh, bronze, number)
+        index_batch(fresh, index, number)
         write_batch(bad, rejected, number)
         consumed, valid, new = messages.count(), good.count(), fresh.count()
         row = session.createDataFrame(

@@ -91,3 +91,42 @@ def test_offsets_are_lines_of_their_file(spark, tmp_path):
     run(spark, base)
     got = {r["_record_number"]: r["_kafka_offset"] for r in spark.read.parquet(f"{base}/bronze").collect()}
     assert got == {k: k for k in range(7)}
+
+
+def test_a_batch_opens_only_buckets_and_lots_that_its_ids_hit(spark, tmp_path):
+    base = str(tmp_path)
+    bronze, index, lots, buckets = f"{base}/bronze", f"{base}/bronze_ids", 100, 8
+    schema = "_event_id string, _published_at string, _lote bigint"
+    made = spark.createDataFrame([(f"{n}:{k}", AT, n) for n in range(lots) for k in range(4)], schema).coalesce(1)
+    made.write.partitionBy("_lote").parquet(bronze)
+    for n in range(lots):
+        st.index_batch(made.filter(F.col("_lote") == n), index, n, buckets)
+
+    def asked(ids, batch=lots):
+        events = spark.createDataFrame([(i,) for i in ids], "_event_id string")
+        found = st.stored_candidates(spark, events, bronze, index, batch, buckets)
+        return sorted({int(f.split("_lote=")[1].split("/")[0]) for f in found.inputFiles()})
+
+    assert asked(["new", "other"]) == []
+    assert asked(["new", "7:2", "93:0"]) == [7, 93]
+    assert asked(["7:2"], batch=7) == []
+    # of the index only the bucket of the id is opened, at most one file a lot
+    rows = st.index_rows(spark, index, range(lots), [3])
+    opened = rows.select(F.col("_metadata.file_path").alias("f")).distinct()
+    assert opened.filter("f NOT LIKE '%/_cubo=3/%'").count() == 0 and 0 < opened.count() <= lots
+    # a lot without a finished index is asked itself, and so are all once the index is gone
+    (tmp_path / "bronze_ids" / "_lote=5" / "_SUCCESS").unlink()
+    assert asked(["new"]) == [5]
+    assert st.stored_candidates(spark, made.limit(1), bronze, f"{base}/none", lots).count() == 4 * lots
+
+
+def test_replays_of_any_age_are_found_through_the_index(spark, tmp_path):
+    base = str(tmp_path)
+    for i in range(5):
+        st.publish(messages(spark, [("f", 10 * i + k, "c", 1.0) for k in range(5)]).coalesce(1), f"{base}/topic")
+        run(spark, base)
+    st.publish(messages(spark, [("f", 0, "c", 1.0), ("f", 44, "c", 1.0), ("f", 99, "c", 1.0)]), f"{base}/topic")
+    run(spark, base)
+    stored = spark.read.parquet(f"{base}/bronze")
+    assert stored.count() == stored.select("_event_id").distinct().count() == 26
+    assert spark.read.parquet(f"{base}/bronze_ids").count() == 26
