@@ -7,10 +7,12 @@ point at which they fill up.
 
 Within a source every document is taken ``base = floor(target / words)`` times; what is left of the target
 is a subset sum over documents, fitted on counts by exact length: each length gives its proportional
-share, then a bounded-knapsack programme over the leftover counts (bit sets, at most ``DP_WORDS`` wide)
-fills the rest. Documents of a length are chosen in the order of a seeded hash. Only counts by (source,
-length) reach a task; documents are ranked inside 64 hash slots of their (source, length), so a length
-that a third of all rows share is never ranked in one task.
+share, then a bounded-knapsack programme over the leftover counts (bit sets of reachable sums) fills the
+rest as closely as the leftover can. Where the rest is wider than ``DP_WORDS``, documents in a scattered order
+narrow it first; if the programme then misses the rest, it runs again over its whole width. Documents of a
+length are chosen in the order of a seeded hash. Only counts by (source, length) reach a task; documents are
+ranked inside 64 hash slots of their (source, length), so a length that a third of all rows share is never
+ranked in one task.
 
 Null text has size 0; sources whose words are 0 have target 0; a document of size 0 takes 0 words.
 Repeated rows are documents of their own. An empty table gives no rows; extra columns are ignored.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from corredor.llm.util import steps, strings, words_of, written
 
 SLOTS = 64
-#: Width of the knapsack's bit sets, in words.
+#: Width of the rest, in units of the lengths' common grain, above which documents narrow it first.
 DP_WORDS = 65_536
 
 
@@ -72,7 +74,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, cap: floa
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come to ``budget``, or just below it."""
+    """How many documents of each length to take so that their words come to ``budget``, or as near below it as can be.
+
+    Each length first gives the floor of its proportional share; the sum is the best that the leftover documents allow.
+    """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -80,33 +85,65 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget <= 0:
         return np.zeros_like(counts)
     take = np.floor(counts * (budget / total)).astype(np.int64)
-    rest = budget - int((sizes * take).sum())
     spare = np.where(sizes > 0, counts - take, 0)
+    open_sizes = sizes[spare > 0]
+    rest = budget - int((sizes * take).sum())
+    if rest <= 0 or not len(open_sizes):
+        return take
     order = np.argsort(mix_order(sizes), kind="stable")
-    while rest > DP_WORDS:  # one more of each length, in a scattered order, down to the width of the programme
+    grain = int(np.gcd.reduce(open_sizes))  # sums are multiples of it
+    units, width = sizes // grain, rest // grain
+    near = _narrow(units, spare, width, order)
+    left = width - int((units * near).sum())
+    fill = _subset(units, spare - near, left, order)
+    if left == int((units * fill).sum()):
+        return take + near + fill
+    return take + _subset(units, spare, width, order)
+
+
+def _narrow(units: np.ndarray, spare: np.ndarray, width: int, order: np.ndarray) -> np.ndarray:
+    """One document of each length in turn, until ``DP_WORDS`` or less is left."""
+    near = np.zeros_like(spare)
+    moved = True
+    while width > DP_WORDS and moved:
         moved = False
         for i in order:
-            if spare[i] and sizes[i] <= rest and rest > DP_WORDS:
-                take[i], spare[i], rest, moved = take[i] + 1, spare[i] - 1, rest - int(sizes[i]), True
-        if not moved:
-            return take
-    if rest <= 0:
-        return take
-    mask, reach, layers = (1 << (rest + 1)) - 1, 1, []
+            if near[i] < spare[i] and units[i] <= width and width > DP_WORDS:
+                near[i], width, moved = near[i] + 1, width - int(units[i]), True
+    return near
+
+
+def _subset(units: np.ndarray, spare: np.ndarray, width: int, order: np.ndarray) -> np.ndarray:
+    """Documents whose lengths have the greatest sum up to ``width``: bit ``s`` of a number says that ``s`` can be reached.
+
+    Only every ``apart``-th bit set is kept on the way and those between are made again on the way back, so the memory is
+    that of some ``2 * sqrt(layers)`` bit sets.
+    """
+    layers = []
     for i in order:
-        left, chunk = int(min(spare[i], rest // max(1, sizes[i]))) if sizes[i] else 0, 1
+        left, chunk = int(min(spare[i], width // int(units[i]))) if units[i] > 0 else 0, 1
         while left > 0:  # counts as powers of two
             k = min(chunk, left)
-            layers.append((i, k, reach))
-            reach |= (reach << (k * int(sizes[i]))) & mask
+            layers.append((int(i), k, k * int(units[i])))
             left, chunk = left - k, chunk * 2
-        if reach >> rest & 1:
+    take, mask, reach = np.zeros_like(spare), (1 << (width + 1)) - 1, 1
+    apart, kept, used = max(1, int(len(layers) ** 0.5)), [], 0
+    for n, (_, _, words) in enumerate(layers):
+        if reach >> width & 1:
             break
+        if n % apart == 0:
+            kept.append(reach)
+        reach, used = reach | (reach << words) & mask, n + 1
     at = reach.bit_length() - 1
-    for i, k, before in reversed(layers):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(sizes[i])
+    for first in range((len(kept) - 1) * apart, -1, -apart):
+        reach, part, before = kept[first // apart], layers[first : min(first + apart, used)], []
+        for _, _, words in part:
+            before.append(reach)
+            reach |= (reach << words) & mask
+        for (i, k, words), was in zip(reversed(part), reversed(before)):
+            if not was >> at & 1:
+                take[i] += k
+                at -= words
     return take
 
 
@@ -153,8 +190,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), all columns as they were."""
-    plan = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]))
-    names = [docs[c] for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), all columns as they were, whatever their names.
+
+    Rows that share both id and source are told apart by nothing else: all come as often as the most taken of them.
+    """
+    plan = mix(docs).filter("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same = rows["row.doc_id"].eqNullSafe(plan["doc_id"]) & rows["row.source"].cast("string").eqNullSafe(plan["source"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return rows.join(plan, same).select("row", copies).select("row.*")

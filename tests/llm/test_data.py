@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -156,6 +157,31 @@ def test_knapsack_hits_the_best_sum_near_its_share(pairs, budget):
         assert got == max(best)
 
 
+def test_knapsack_is_exact_beyond_the_narrowed_width():
+    one = np.ones(4, dtype=int)
+    sizes = np.array([70_001, 69_999, 99_000, 60_000])
+    assert int((sizes * mixing.fit(sizes, one, 140_000)).sum()) == 140_000
+    assert int((sizes * 1000 * mixing.fit(sizes * 1000, one, 140_000_999)).sum()) == 140_000_000
+    rnd = random.Random(4)
+    for _ in range(30):
+        sizes = np.array(rnd.sample(range(30_000, 400_000), 9))
+        budget = rnd.randrange(1, int(sizes.sum()))
+        sums = {0}
+        for s in sizes:
+            sums |= {x + int(s) for x in sums}
+        assert int((sizes * mixing.fit(sizes, np.ones(9, dtype=int), budget)).sum()) == max(x for x in sums if x <= budget)
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    docs = frame(spark, [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)] + [(3, "w", None), (None, "w w", "a")])
+    plain = Counter(map(str, mixing.mixed_documents(docs).select("doc_id", "source", "text").collect()))
+    names = ["copy", "_copy", "_copies", "row", "size", "h", "slot", "rank", "take"]
+    wide = mixing.mixed_documents(docs.withColumns({n: F.lit(n) for n in names}))
+    assert wide.columns == docs.columns + names
+    assert Counter(map(str, wide.select("doc_id", "source", "text").collect())) == plain
+    assert wide.filter(" OR ".join(f"{n} <> '{n}'" for n in names)).count() == 0
+
+
 def test_mixed_documents_repeat_rows(spark):
     docs = frame(spark, [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(200)])
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
