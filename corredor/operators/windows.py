@@ -1,10 +1,11 @@
 """Ordered operators that hold up when one key owns a large share of the rows.
 
-A window over ``partitionBy(key)`` puts a whole key into one task. Here the keys that hold too
-large a share are found first; each of them is cut into slots of its order column (a minute, a
-range of sequence numbers). The window runs inside the slot, and what must cross a slot border
-travels through a summary with one row per hot key and slot. All other keys form one slot each.
-The rows are shuffled once.
+A window over ``partitionBy(key)`` puts a whole key into one task. Here the rows are first counted by
+cells of the hashed key: one aggregate over the key columns with a fixed number of groups. Where no cell
+holds too large a share, the window runs as it is, over one scan of the input. Else the keys of the overfull
+cells are cut into slots of the order column (a minute, a range of sequence numbers), the rows are stored
+once with their slot, the window runs inside the slot, and what must cross a slot border travels through
+a summary with one row per key and slot. The rows are shuffled once and the input plan appears once, in both cases.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from corredor.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
-HOT_ROWS = 1_000_000  # a key with fewer rows is never split
-HOT_SHARE = 20_000  # a hot key holds more than 1/20,000 of the rows, so there are fewer than that
+HOT_ROWS = 1_000_000  # a cell with fewer rows is never split
+HOT_SHARE = 20_000  # a hot cell holds more than 1/20,000 of the rows, so there are fewer than that
+KEY_CELLS = 1 << 16  # groups of the count, whatever the number of keys
 
 
 def named_window(keys: Sequence[str], order: Sequence) -> WindowSpec:
@@ -57,20 +59,21 @@ def later_duplicates(
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows and more than ``1 / HOT_SHARE`` of all rows.
+def key_cell(keys: Sequence[str]) -> Column:
+    """One of ``KEY_CELLS`` cells by the hash of the key columns."""
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_CELLS))
 
-    By the second condition there are fewer than ``HOT_SHARE`` of them, whatever the data: the
-    result may be broadcast.
-    """
-    from corredor.operators.joins import with_scalar
 
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    share = with_scalar(counts, total)
-    return share.filter(
-        (F.col("_n") >= hot_rows) & (F.col("_n") * HOT_SHARE > F.col("_total"))
-    ).select(*keys, F.lit(True).alias("_hot"))
+def hot_cells(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Cells with at least ``hot_rows`` rows and more than ``1 / HOT_SHARE`` of all rows.
+
+    A key above both bounds always lies in one of them; keys that share its cell are split with it, which
+    changes no result. By the second bound there are fewer than ``HOT_SHARE`` cells, so they may stand in a plan.
+    """
+    counts = df.groupBy(key_cell(keys).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))  # KEY_CELLS rows at most
+    found = share.filter((F.col("_n") >= hot_rows) & (F.col("_n") * HOT_SHARE > F.col("_total")))
+    return sorted(r["_cell"] for r in found.collect())
 
 
 def ordered_context(
@@ -89,10 +92,12 @@ def ordered_context(
 
     ``slot`` must not decrease along ``order`` and ``keys`` must not be NULL. Adds ``prev`` and
     ``next`` structs holding the named columns of the neighbouring row, and one column per
-    running expression (last non-NULL value, or maximum, up to and including the row).
+    running expression (last non-NULL value, or maximum, up to and including the row). The cells are
+    counted when this is called; with a hot cell the rows are checkpointed with their slots then, too.
     """
     running_last, running_max = dict(running_last or {}), dict(running_max or {})
-    inner = named_window([*keys, "_slot"], order)
+    hot = hot_cells(df, keys, hot_rows)
+    inner = named_window([*keys, "_slot"] if hot else keys, order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     position = F.struct(*order)
 
@@ -119,18 +124,20 @@ def ordered_context(
         summary.append(F.max(value).alias(f"_t_{name}"))
         across[f"_c_{name}"] = F.max(f"_t_{name}").over(before)
 
-    hot = F.broadcast(hot_keys(df.select(*keys), keys, hot_rows))
-    # only rows of hot keys get a slot; the NULL slot of a normal key never meets the summary
-    slotted = df.join(hot, list(keys), "left").withColumn("_slot", F.when(F.col("_hot"), slot))
+    if not hot:
+        return df.withColumns(local).select(*df.columns, *local)
+    # only rows of hot cells get a slot; the NULL slot of other keys never meets the summary
+    cell = f"_cell IN ({', '.join(map(str, hot))})"
+    slotted = df.withColumn("_cell", key_cell(keys)).withColumn("_slot", F.when(F.expr(cell), slot)).drop("_cell")
+    laid = cut_lineage(slotted)
     carry = (
-        df.join(hot, list(keys))
-        .withColumn("_slot", slot)
+        laid.filter(F.col("_slot").isNotNull())
         .groupBy(*keys, "_slot")
         .agg(*summary)
         .withColumns(across)
         .select(*keys, "_slot", *across)
     )
-    joined = slotted.withColumns(local).join(carry, [*keys, "_slot"], "left")
+    joined = laid.withColumns(local).join(carry, [*keys, "_slot"], "left")
     merged = {
         name: F.greatest(name, f"_c_{name}")
         if name in running_max

@@ -1,6 +1,7 @@
 from fixtures import at, rows
 
 from corredor.operators import cdc, quality
+from corredor.plans import silver
 
 LOG = [
     ("1", "2024-01-01T00:00:00", "INSERT", "TC-00000001", "general", "Zona 1", "ACTIVA"),
@@ -26,6 +27,15 @@ def test_fold_keeps_attributes_and_orders_numerically(spark):
     ]
 
 
+def test_history_reads_the_log_once(spark, tmp_path):
+    log(spark).write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    for hot, scans in ((1, 0), (1_000_000, 1)):  # with a hot card the log is read when its slots are stored
+        history = silver.card_history(stored, slot_width=2, hot_rows=hot)
+        assert history._jdf.queryExecution().executedPlan().toString().count("FileScan") == scans
+        assert history.count() == 5
+
+
 def test_history_one_version_per_event(spark):
     for hot in (1, 1_000_000):
         history = cdc.scd2(log(spark), slot_width=2, hot_rows=hot)

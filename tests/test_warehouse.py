@@ -98,6 +98,23 @@ def test_transfers_need_adjacent_events_of_other_modes(spark):
     assert quality.transfer_sequence(gold.transfers(events, 60), events).count() == 2
 
 
+def test_transfers_read_their_events_once(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.range(300).select(
+        F.when(F.col("id") % 2 == 0, F.lit("u")).otherwise(F.col("id").cast("string")).alias("usuario_sk"),
+        F.element_at(F.array(F.lit("Transmetro"), F.lit("Transurbano")), (F.col("id") % 4 < 2).cast("int") + 1).alias("modo"),
+        F.lit("Zona 1").alias("zona"),
+        (F.lit("2026-06-01").cast("timestamp") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("fecha_hora"),
+        F.lit(1).cast("decimal(10,2)").alias("tarifa_quetzales"), F.format_string("%03d", "id").alias("bronze_record_id"),
+    ).write.parquet(path)
+    found = []
+    for hot, scans in ((20, 0), (1_000_000, 1)):
+        pairs = gold.transfers(spark.read.parquet(path), hot_rows=hot)
+        assert pairs._jdf.queryExecution().executedPlan().toString().count("FileScan") == scans
+        found.append(rows(pairs, "bronze_record_id_origen", "bronze_record_id_destino"))
+    assert found[0] == found[1] and len(found[0]) == 149
+
+
 def test_derived_and_joined_identities_agree(spark):
     w = Warehouse(spark, SF)
     joined = gold.fact_boardings(w.silver, w.points, "k", bridge=w.bridge)

@@ -52,9 +52,27 @@ def test_context_property(spark, places, width):
     assert spread(events(spark, data), 1, width) == brute(data)
 
 
-def test_hot_keys_are_few(spark):
+def test_hot_cells_are_those_of_hot_keys(spark):
     df = events(spark, [("hot", s, 0) for s in range(50)] + [(f"k{i}", 0, 0) for i in range(20)])
-    assert [r["k"] for r in windows.hot_keys(df, ["k"], 10).collect()] == ["hot"]
+    own = {r["cell"] for r in df.filter("k = 'hot'").select(windows.key_cell(["k"]).alias("cell")).collect()}
+    assert windows.hot_cells(df, ["k"], 10) == sorted(own)
+    assert windows.hot_cells(df, ["k"], 51) == windows.hot_cells(df.limit(0), ["k"], 1) == []
+
+
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_ordered_operators_scan_and_shuffle_their_rows_once(spark, tmp_path, hot_rows):
+    path = str(tmp_path / "rows")
+    events(spark, [("hot", s, s) for s in range(60)] + [(f"k{i}", 0, 0) for i in range(20)]).write.parquet(path)
+    out = windows.ordered_context(
+        spark.read.parquet(path), ["k"], ["s"], F.floor(F.col("s") / 7), previous=["s"], following=["s"],
+        running_last={"last": F.col("v")}, hot_rows=hot_rows,
+    )
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # with a hot key the rows are read when their slots are stored: the plan holds the stored rows only
+    assert plan.count("FileScan") == (0 if hot_rows == 10 else 1)
+    if hot_rows > 10:
+        assert plan.count("Exchange") == 1
+    assert out.count() == 80 and out.filter("s > 0 and prev.s <> s - 1").isEmpty()
 
 
 def test_first_and_later_rows_partition_the_input(spark):
