@@ -206,6 +206,34 @@ def test_segments_of_separated_clusters(spark):
     assert out.groupBy("segmento").count().filter("count = 30").count() == 3
 
 
+def test_all_segment_runs_share_their_passes_and_match_single_fits(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(11)
+    rows = [([rng.gauss(6 * (i % 4), 1), rng.gauss(5 * (i % 2), 1)],) for i in range(400)] + [([50.0, 50.0],)] * 200  # a third at one point
+    points = spark.createDataFrame(rows, "p array<double>").repartition(5)
+    runs, passes, step = [(k, r) for k in (2, 5) for r in range(4)], [], segments.lloyd_step
+
+    def counted(df, centres):
+        passes.append(len(centres))
+        return step(df, centres)
+
+    monkeypatch.setattr(segments, "lloyd_step", counted)
+    fits = segments.lloyd(points, segments.starts(points, runs))
+    assert passes[0] == len(runs) and passes == sorted(passes, reverse=True) and len(passes) < 60
+    again = segments.starts(points.coalesce(1), runs)
+    assert all((a == b).all() for a, b in zip(again, segments.starts(points, runs)))
+    vectors = points.select(array_to_vector("p").alias("x"))
+    for i, k in enumerate((2, 5)):
+        best = min(fit[2] for fit in fits[4 * i : 4 * i + 4])
+        single = min(KMeans(featuresCol="x", k=k, seed=r, maxIter=300).fit(vectors).summary.trainingCost for r in range(4))
+        assert best <= single * 1.001
+    for centres, sizes, inertia in fits:
+        gaps = [[sum((a - b) ** 2 for a, b in zip(p, c)) for c in centres] for p, in rows]
+        assert abs(sum(map(min, gaps)) - inertia) < 1e-6 * inertia and sizes.sum() == len(rows)
+
+
 def test_silhouette_equals_brute_force(spark):
     from pyspark.ml.linalg import Vectors
 
