@@ -173,3 +173,17 @@ def test_audits_find_nothing_and_catch_a_planted_leak(spark):
     times = {TM: ["fecha_hora"], MR: ["fecha_hora_ingreso", "fecha_hora_salida"]}
     audit = quality.leakage_audit(sources, times, "2026-08-30", _build(cut), keys, ignore)
     assert sum(r["diferencias"] for r in audit.collect()) == 0
+
+
+def test_one_cut_reads_the_events_once_and_gives_the_same_units(spark):
+    from pyspark.sql import functions as F
+
+    from corredor.queries.bindings import Warehouse
+
+    w = Warehouse(spark, "/root/testdata/sf0.001")
+    for cut in ("A",):
+        own = w.at_cut(cut)
+        for name in ("population", "features"):
+            whole, one = getattr(w, name).filter(F.col("corte") == cut), getattr(own, name)
+            assert whole.count() > 0 and whole.exceptAll(one).isEmpty() and one.exceptAll(whole).isEmpty()
+            assert not [f for f in one.inputFiles() if "events.parquet" in f]
