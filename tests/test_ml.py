@@ -144,6 +144,15 @@ def test_forests_keep_their_leaves_on_rare_labels(spark, matrix):
     assert rates[True] > rates[False]
 
 
+def test_forests_do_not_walk_their_trees_per_level_and_grow_the_same(spark, matrix):
+    spec = models.Spec("rf", "forest", {"trees": 6, "depth": 12, "leaf": 2})
+    cached, walked = models.build(spec, 1), models.build(spec, 1)
+    assert cached.getStages()[-1].getCacheNodeIds()
+    walked.getStages()[-1].setParams(cacheNodeIds=False)
+    a, b = (models.with_score(p.fit(matrix), matrix).select("unidad_id", "puntaje") for p in (cached, walked))
+    assert a.exceptAll(b).isEmpty() and a.count() == 120
+
+
 def test_importance_stops_on_other_scores_and_on_models_that_did_not_converge(spark, matrix):
     oof, _ = models.cross_validate(matrix, SPECS[2:], 3)
     for spec in SPECS[2:]:
