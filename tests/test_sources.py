@@ -265,3 +265,16 @@ def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     extra[snapshot.QUARANTINE].write.mode("append").option("header", True).csv(f"{out}/{snapshot.QUARANTINE}")
     with pytest.raises(ValueError, match="manifest"):
         snapshot.import_snapshot(spark, out, cut)
+
+
+def test_the_contract_file_is_written_without_narrowing_its_join(spark, monkeypatch):
+    from corredor.queries import registry
+
+    registry.load_all()
+
+    def narrowed(self, n):
+        raise AssertionError("coalesce puts the join before it into the same tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", narrowed)
+    found = {r["problema"]: r["detalle"] for r in registry.QUERIES["S24_validate_raw"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == {"claves", "json_invalido", "filas", "falta"} and int(found["filas"]) > int(found["claves"]) > 0
