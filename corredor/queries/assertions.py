@@ -203,6 +203,7 @@ def q17(w: Warehouse):
 
 @query("Q18_user_features_recomputed", _features_sql(_CUT, "SELECT usuario_canonico_id FROM uf WHERE eventos_aerometro > 0"))
 def q18(w: Warehouse):
+    w = w.stored
     features = silver.user_features(w.silver, w.points, "2024-01-20 00:00:00", bridge=w.bridge)
     altered = features.withColumn("total_eventos", c("total_eventos") + c("usa_aerometro").cast("int"))
     return quality.user_features_recomputed(altered, w.silver, w.bridge, w.points)
@@ -249,8 +250,9 @@ def q22(w: Warehouse):
        UNION ALL SELECT md5(op || '-' || llave), 'clave' FROM feat WHERE op = 'Aerometro' AND corte = 'A'""",
 )
 def q23(w: Warehouse):
+    w = w.at_cut("A")
     cards = w.population.select("unidad_id", "corte", c("llave_operacional").alias("tarjetas"))
-    rows = w.features.filter(c("corte") == "A").join(cards, ["unidad_id", "corte"])
+    rows = w.features.join(cards, ["unidad_id", "corte"])
     broken = rows.withColumns(
         {
             "gasto_28d_gtq": F.when(c("operador") != MR, c("gasto_28d_gtq")),
@@ -290,6 +292,7 @@ def q24(w: Warehouse):
 
 @query("Q25_invariance_audit", f"SELECT n AS columna, CAST(0 AS BIGINT) AS diferencias FROM (VALUES {_ZEROS}) x(n) WHERE (SELECT count(*) FROM feat) > 0")
 def q25(w: Warehouse):
+    w = w.stored
     sources = {**w.silver, "cuarentena": w.quarantine, "historia": w.history}
     cut = dict(w.cuts)["C"]
     future = pit.future_rows(sources, cut, 30)

@@ -327,6 +327,15 @@ class Warehouse:
             vars(base)[name] = kept(getattr(base, name), name)
         return {name: vars(base)[name] for name in ("events", "tu_transactions_raw", "uses")}
 
+    @cached_property
+    def stored(self) -> Warehouse:
+        """The same layers on typed events, bus rows and conformed events that are written once, for readers of several of them."""
+        out = Warehouse(self.spark, self.sf_dir)
+        for name in ("events", "tu_transactions_raw"):
+            vars(out)[name] = kept(getattr(out, name), name)
+        vars(out)["silver"] = {op: kept(df, "silver") for op, df in out.silver.items()}
+        return out
+
     def at_cut(self, cut: str) -> Warehouse:
         """The same layers for one cut-off, its population and the relations below it written once."""
         out = Warehouse(self.spark, self.sf_dir, cut)

@@ -499,4 +499,5 @@ _NULL_COLUMNS = [
     ),
 )
 def m38(w: Warehouse):
+    w = w.stored
     return evidence.layer_profile(w.silver, w.user_features, w.users, w.transfers)

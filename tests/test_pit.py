@@ -187,3 +187,15 @@ def test_one_cut_reads_the_events_once_and_gives_the_same_units(spark):
             whole, one = getattr(w, name).filter(F.col("corte") == cut), getattr(own, name)
             assert whole.count() > 0 and whole.exceptAll(one).isEmpty() and one.exceptAll(whole).isEmpty()
             assert not [f for f in one.inputFiles() if "events.parquet" in f]
+
+
+def test_assertions_over_several_layers_read_stored_events(spark):
+    from corredor.queries import registry
+    from corredor.queries.bindings import Warehouse
+
+    registry.load_all()
+    own = Warehouse(spark, "/root/testdata/sf0.001").stored
+    for df in (*own.silver.values(), own.events, own.tu_transactions_raw):
+        assert not [f for f in df.inputFiles() if "events.parquet" in f]
+    found = registry.QUERIES["Q23_scoring_input_rules"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "events.parquet" in f and "sf0.001" in f]
