@@ -16,8 +16,9 @@ SCHEMA = "event_id bigint, user_id bigint, event_type string"
 _ID = "sha256('archivo:' || (event_id + 1))"
 
 
-def _messages(w: Warehouse, source="eventos"):
-    rows = w.events.select(
+def _messages(w: Warehouse, source="eventos", kind: str | None = None):
+    events = w.events if kind is None else w.events.filter(c("event_type") == kind)
+    rows = events.select(
         F.lit("archivo").alias("_source_sha256"), (c("event_id") + 1).alias("_record_number"), "event_id", "user_id", "event_type"
     )
     return st.to_events(rows, source, AT, ["event_id", "user_id", "event_type"])
@@ -25,12 +26,10 @@ def _messages(w: Warehouse, source="eventos"):
 
 def _with_noise(w: Warehouse):
     """All messages, replays of the purchases, broken JSON for views and lost ids for errors."""
-    m = _messages(w)
-    kind = F.get_json_object("value", "$.data.event_type")
-    replays = m.filter(kind == "purchase")
-    broken = m.filter(kind == "view").withColumn("value", F.substring_index("value", ",", 2))
-    no_id = m.filter(kind == "error").withColumn("value", F.regexp_replace("value", '"_event_id"', '"id"'))
-    return m.unionByName(replays).unionByName(broken).unionByName(no_id)
+    replays = _messages(w, kind="purchase")
+    broken = _messages(w, kind="view").withColumn("value", F.substring_index("value", ",", 2))
+    no_id = _messages(w, kind="error").withColumn("value", F.regexp_replace("value", '"_event_id"', '"id"'))
+    return _messages(w).unionByName(replays).unionByName(broken).unionByName(no_id)
 
 
 def _drain(w: Warehouse, messages=None, batches: int | None = None):

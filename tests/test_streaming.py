@@ -130,3 +130,19 @@ def test_replays_of_any_age_are_found_through_the_index(spark, tmp_path):
     stored = spark.read.parquet(f"{base}/bronze")
     assert stored.count() == stored.select("_event_id").distinct().count() == 26
     assert spark.read.parquet(f"{base}/bronze_ids").count() == 26
+
+
+def test_noise_is_made_of_the_events_it_needs(spark):
+    from pyspark.sql import functions as F
+
+    from corredor.queries import streams
+    from corredor.queries.bindings import Warehouse
+
+    w = Warehouse(spark, "/root/testdata/sf0.001")
+    noisy = streams._with_noise(w)
+    assert "$.data.event_type" not in noisy._jdf.queryExecution().optimizedPlan().toString()
+    m = streams._messages(w)
+    kind = F.get_json_object("value", "$.data.event_type")
+    for one in ("purchase", "view", "error"):
+        assert streams._messages(w, kind=one).exceptAll(m.filter(kind == one)).isEmpty()
+        assert streams._messages(w, kind=one).count() == m.filter(kind == one).count() > 0
