@@ -238,6 +238,54 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert got <= short | long and short <= got and len(got & long) >= 0.95 * len(long) and len(short) > 20 and len(long) > 80
 
 
+def edited(seed, n, letters="abé ñ漢", longest=60):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        a = "".join(rng.choice(list(letters), rng.integers(0, longest)))
+        b = list(a)
+        for _ in range(rng.integers(0, 1 + max(1, len(a) // 4))):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i : i + int(rng.integers(0, 2))] = rng.choice(list(letters), rng.integers(0, 2))
+        yield a, "".join(b)
+
+
+def test_filters_of_line_pairs_lose_no_similar_pair():
+    pairs = [*edited(4, 3000), ("a" * 9000, "a" * 8000), ("", ""), ("é", "e")]
+    a, b = (pa.array(x, pa.string()) for x in zip(*pairs))
+    similar = np.array([lines.similar(x, y, 0.8) for x, y in pairs])
+    assert similar.sum() > 1000 and (lines._may_be_similar(a, b, 0.8) | ~similar).all()
+    for (x, y), same in zip(pairs[:400], similar):
+        assert len(lines._similar_forest(np.array([1, 2]), [x, y], 0.8)[0]) == same
+
+
+def test_line_candidates_of_large_groups_are_pairs_not_components():
+    """Strong links form a forest, weak ones stay pairs: a chain of weak links makes no component that meets as a whole."""
+    rng = np.random.default_rng(2)
+    two = rng.integers(0, 4, (30, lines.BANDS * lines.ROWS), dtype=np.uint32)
+    two[:, :20] = two[0, :20]  # all agree in a third of the minima and more
+    two[20:] = two[19]
+    high, low = lines._sketch((two << np.uint32(7)).T)
+    agree = (two[:, None, :] == two[None, :, :]).sum(axis=2)
+    for n in (8, 30):  # a small group and a large one
+        a, b, strong = lines._value_links(np.zeros(n, np.uint32), np.arange(n), high[:n], low[:n], np.full(n, 50, np.uint32), 0.8)
+        found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+        weak = {(i, j) for i in range(n) for j in range(i + 1, n) if lines.AGREE <= agree[i, j] < lines.STRONG}
+        assert weak <= found and strong.sum() == (10 if n == 30 else 0)
+    a, b, _ = lines._value_links(np.zeros(2, np.uint32), np.arange(2), high[20:22], low[20:22], np.array([50, 39], np.uint32), 0.8)
+    assert not len(a)
+
+
+@pytest.mark.parametrize("block,chunk_bytes", [(2, 3000), (4000, 2 << 20)])
+def test_line_dedup_in_pieces_and_passes(spark, block, chunk_bytes):
+    """Cells, components and pairs cut by a tiny block give the links of one piece, and no shuffle setting is left changed."""
+    base = [prose(k, 25, 2000) for k in range(6)]
+    rows = [" ".join(w if (i + n) % 13 else f"{w}é{i}" for n, w in enumerate(base[i % 6])) for i in range(150)]
+    before = spark.conf.get(lines._CLEANUP)
+    got = lines.remove_repeated_lines(frame(spark, list(enumerate(rows))), distance=None, block=block, chunk_bytes=chunk_bytes).collect()
+    assert sorted(r["doc_id"] for r in got if not r["n_removed"]) == list(range(6))
+    assert spark.conf.get(lines._CLEANUP) == before
+
+
 def test_lines_that_share_no_digits_stay(spark):
     texts = [(1, "1998 4417 23.5"), (2, "2021 8852 67.1"), (3, "1998 4417 23.6"), (4, "1998  4417 23.5")]
     got = lines.remove_repeated_lines(frame(spark, texts), distance=None).collect()
