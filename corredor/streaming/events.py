@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,6 +56,27 @@ def publish(messages: DataFrame, target: str, fmt: str = "text", **options: str)
         messages.select("value").write.mode("append").format(fmt).save(target)
 
 
+#: Messages of one segment of a published log.
+SEGMENT = 1 << 16
+
+
+def publish_log(messages: DataFrame, order: str, target: str, rows: int = SEGMENT) -> None:
+    """Messages as one partition of a topic in the order of column ``order``, kept as a broker keeps it.
+
+    The log is cut into segments of some ``rows`` messages, each a file in a folder named by the offset of its first message;
+    every segment is ordered and written by a task, so no task holds the log.
+    """
+    parts = 1 + messages.count() // rows
+    # range bounds are sampled: the cut is stored once
+    dealt = messages.repartitionByRange(parts, order).select("value", F.col(order).alias("_order"), F.spark_partition_id().alias("_part"))
+    cut = write_once(dealt, "log-cut")
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per segment
+    bases = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("base_offset"))
+    placed = cut.join(bases, cut["_part"] == bases["_p"]).repartition(parts, "base_offset").sortWithinPartitions("base_offset", "_order")
+    placed.select("value", "base_offset").write.mode("error").partitionBy("base_offset").text(target)
+
+
 def event_stream(
     spark: SparkSession, source: str, fmt: str = "text", max_per_batch: int | None = None, **options: str
 ) -> DataFrame:
@@ -89,12 +110,20 @@ def event_stream(
 
 
 def with_position(messages: DataFrame) -> DataFrame:
-    """Of a file source, a file is a partition and the line in it the offset; a broker gives its own."""
+    """Of a file source, a file is a partition and the line in it the offset; a broker gives its own.
+
+    The segments of a published log are one partition, and offsets count on from the one that names the segment.
+    """
     if "_file" not in messages.columns:
         return messages
+    segment = r"/base_offset=([0-9]+)/[^/]*$"
+    base = F.regexp_extract("_file", segment, 1)
     numbered = with_record_number(messages, "_line")
     return numbered.withColumns(
-        {"_kafka_partition": F.hash("_file"), "_kafka_offset": F.col("_line") - 1}
+        {
+            "_kafka_partition": F.hash(F.regexp_replace("_file", segment, "")),
+            "_kafka_offset": F.col("_line") - 1 + F.when(base == "", 0).otherwise(base.try_cast("bigint")),
+        }
     ).drop("_file", "_line")
 
 

@@ -93,6 +93,18 @@ def test_offsets_are_lines_of_their_file(spark, tmp_path):
     assert got == {k: k for k in range(7)}
 
 
+def test_a_log_in_segments_is_one_partition_with_offsets_that_count_on(spark, tmp_path):
+    for per_batch in (None, 3):
+        base = str(tmp_path / f"log{per_batch}")
+        rows = messages(spark, [("f", (k * 37) % 100, "c", 1.0) for k in range(100)])
+        st.publish_log(rows.withColumn("n", F.get_json_object("value", "$._record_number").cast("long")), "n", f"{base}/topic", rows=16)
+        assert len(list((tmp_path / f"log{per_batch}" / "topic").glob("base_offset=*/*.txt"))) > 4  # no task writes the whole log
+        st.consume(spark, f"{base}/topic", f"{base}/bronze", f"{base}/dead", f"{base}/cp", AT, max_per_batch=per_batch)
+        got = spark.read.parquet(f"{base}/bronze").collect()
+        assert sorted((r["_record_number"], r["_kafka_offset"]) for r in got) == [(k, k) for k in range(100)]
+        assert len({r["_kafka_partition"] for r in got}) == 1
+
+
 def test_a_batch_opens_only_buckets_and_lots_that_its_ids_hit(spark, tmp_path):
     base = str(tmp_path)
     bronze, index, lots, buckets = f"{base}/bronze", f"{base}/bronze_ids", 100, 8
