@@ -258,6 +258,21 @@ def test_filters_of_line_pairs_lose_no_similar_pair():
         assert len(lines._similar_forest(np.array([1, 2]), [x, y], 0.8)[0]) == same
 
 
+def test_unrelated_lines_of_one_vocabulary_are_told_apart_without_their_distance():
+    """Lines of one set of syllables share most runs of three; their segments still fit nowhere."""
+    rng = np.random.default_rng(6)
+    syllables = ["th", "er", "and", "ing", "on", "the", "re", "ion", "ha", "en", "st", " ", " ", " ", ". "]
+    text = ["".join(rng.choice(syllables, 300)) for _ in range(200)]
+    a, b = text[::2], text[1::2]
+    assert lines._may_be_similar(pa.array(a), pa.array(b), 0.8).mean() > 0.9 and lines._may_meet(a, b, 0.8).mean() < 0.1
+    near = [*edited(7, 1500), *edited(8, 1500, letters="abcdefgh é漢😀", longest=400), ("ab" * 500, "ab" * 450), ("", ""), ("", "a"), ("é", "e")]
+    for a, b in (zip(*near), zip(*(p[::-1] for p in near))):
+        a, b = list(a), list(b)
+        for similarity in (0.8, 0.9):
+            similar = np.array([lines.similar(x, y, similarity) for x, y in zip(a, b)])
+            assert similar.sum() > 500 and (lines._may_meet(a, b, similarity) | ~similar).all()
+
+
 def test_line_candidates_of_large_groups_are_pairs_not_components():
     """Strong links form a forest, weak ones stay pairs: a chain of weak links makes no component that meets as a whole."""
     rng = np.random.default_rng(2)
