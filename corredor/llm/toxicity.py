@@ -108,8 +108,8 @@ class Distances(dict):
         return float(1 / (1 + np.exp(-np.clip(self.model.weights[0] + x @ self.model.weights[1:], -30, 30))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, seed: int) -> pa.Table:
-    """(text, mark) of a bounded sample of the labelled rows that may be learned from, toxic ones marked 1."""
+def sampled(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, seed: int) -> DataFrame:
+    """(doc_id, text, mark) of a bounded sample of the labelled rows that may be learned from, toxic ones marked 1."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     parts = [
@@ -118,11 +118,20 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: i
     ]
     chosen = F.broadcast(parts[0].unionAll(parts[1]))  # at most toxic_rows + ordinary_rows ids
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.length("text") <= LONGEST).dropDuplicates(["doc_id"])
-    return texts.select("doc_id", "text", "mark").toArrow().sort_by("doc_id").select(["text", "mark"])
+    return texts.select("doc_id", "text", "mark")
+
+
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int, seed: int) -> pa.Table:
+    """(text, mark) of the sample, by doc_id."""
+    return _ordered(sampled(docs, labels, toxic_rows, ordinary_rows, seed).toArrow())
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    return rows.sort_by("doc_id").select(["text", "mark"])
 
 
 def _texts(rows: pa.Table, mark: int):
-    """The texts of one mark, a few at a time: word lists of the whole sample would not fit the driver."""
+    """The texts of one mark, a few at a time: word lists of the whole sample would not fit a task."""
     for batch in rows.filter(pc.equal(rows.column("mark"), mark)).to_batches(max_chunksize=500):
         yield from strings(batch.column(0)).to_pylist()
 
@@ -203,7 +212,17 @@ def _calibrate(model: Model, rows: pa.Table) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, ordinary_rows: int = 10_000, seed: int = 11) -> Model:
-    return fit(sample(docs, labels, toxic_rows, ordinary_rows, seed), seed)
+    """The fit of the bounded sample, made in a task: only the model comes to the driver."""
+    rows = sampled(docs, labels, toxic_rows, ordinary_rows, seed)
+
+    def learn(batches):
+        held = [*batches]
+        if held:
+            model = pickle.dumps(fit(_ordered(pa.Table.from_batches(held)), seed))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(_ordered(rows.limit(0).toArrow()), seed)
 
 
 _TABLES: dict[str, Distances] = {}

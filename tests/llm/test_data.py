@@ -307,6 +307,19 @@ def test_toxicity_never_learns_held_out_labels_and_needs_both_classes(spark):
     assert [r["doc_id"] for r in flags if r["h"]] == held
 
 
+def test_toxicity_trains_without_texts_on_the_driver(spark, monkeypatch):
+    rows, marks = labelled(200)
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    expect = toxicity.fit(toxicity.sample(docs, labels, 4000, 10_000, 11))
+
+    def refused(_):
+        raise AssertionError("texts on the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    model = toxicity.train(docs, labels)
+    assert (model.toxic, model.ordinary) == (expect.toxic, expect.ordinary) and np.allclose(model.weights, expect.weights)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, marks = labelled(300)
     rows += [(1000 + i, rows[i + 1][1].upper() if i % 2 else rows[i + 1][1], "copy") for i in range(0, 12, 4)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -137,6 +138,20 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_round_of_components_is_three_shuffles_without_joins(spark):
+    """Most of what the driver holds of a run grows with its stages and tasks."""
+    rnd = random.Random(9)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1200)]
+    edges = spark.createDataFrame([(max(p), min(p)) for p in links if p[0] != p[1]], "u long, v long").distinct().localCheckpoint()
+    plan = graph._small_star(graph._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
+    least = {}
+    for a, b in links:  # merged by hand
+        old = {least.get(a, a), least.get(b, b)}
+        least |= {n: min(old) for n in [*least, a, b] if least.get(n, n) in old}
+    assert {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()} == least
+
+
 def brute_substrings(texts, window):
     seen, out = set(), []
     for i, t in texts:
