@@ -305,6 +305,77 @@ def test_line_candidates_of_large_groups_are_pairs_not_components():
     assert not len(a)
 
 
+def band_links(names, places=True):
+    """Strong and other candidates of all bands."""
+    flat = np.frombuffer("".join(n + " " for n in names).encode(), dtype=np.uint8)
+    at = np.cumsum([0, *(len(n.encode()) + 1 for n in names)])
+    chars, cells = lines._cells(flat, at)
+    assert chars.tolist() == [len(n) for n in names]
+    lows = lines.minima(flat, at, cells)
+    cells, lows = (lows % 4**lines.CELL).astype(np.uint16), lows >> np.uint32(2 * lines.CELL)
+    high, low = lines._sketch(lows << np.uint32(7))
+    strong, weak = set(), set()
+    for k in range(0, len(lows), lines.ROWS):
+        _, value = np.unique(lows[k : k + lines.ROWS], axis=1, return_inverse=True)
+        own = cells[k : k + lines.ROWS] if places else []
+        a, b, firm = lines._value_links(value.ravel().astype(np.uint32), np.arange(len(names)), high, low, chars, 0.8, *own)
+        for x, y, z in zip(a.tolist(), b.tolist(), firm.tolist()):
+            (strong if z else weak).add((min(x, y), max(x, y)))
+    return strong, weak - strong
+
+
+def test_chance_candidates_are_told_by_where_their_runs_lie():
+    """Unrelated lines of one vocabulary share runs at any place; near copies where the edits allowed can move them."""
+    rng = np.random.default_rng(6)
+    syllables = ["th", "er", "and", "ing", "on", "the", "re", "ion", "ha", "en", "st", " ", " ", " ", ". "]
+    names = ["".join(rng.choice(syllables, 260)).strip() for _ in range(300)]
+    for i in range(150):  # a part of each line goes, comes or is changed
+        a, n = names[i], int(rng.integers(0, len(names[i]) // 6))
+        at, other = int(rng.integers(0, len(a) - n)), "".join(rng.choice(syllables, 80))[:n]
+        names.append([a[:at] + a[at + n :], a[:at] + other + a[at:], a[:at] + other + a[at + n :]][i % 3].strip())
+    names = [" ".join(n.split()) for n in names]
+    (strong, weak), (same, every) = band_links(names), band_links(names, places=False)
+    assert strong == same and weak <= every and len(every) > 500 and len(weak) < 0.5 * len(every)
+    assert not [p for p in every - weak if lines.similar(names[p[0]], names[p[1]], 0.8)]
+    assert len({p for p in strong | weak if p[1] - p[0] == 300 and p[0] < 150}) > 130
+
+
+def test_links_of_large_groups_span_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 30), (400, 390), (2000, 5000)):
+        a, b = np.sort(rng.integers(0, n, (2, m)), axis=0)
+        kept, tree = lines._spanning(a, b, n)
+        _, again = lines._spanning(a[kept], b[kept], n)
+        assert (tree == again).all() and (tree[a] == tree[b]).all() and len(kept) == n - len(np.unique(tree))
+    count = lines.FLAT + 300
+    base = np.zeros((lines.BANDS * lines.ROWS, count), dtype=np.uint32)
+    base[:, lines.FLAT :] = rng.integers(0, 4, (len(base), 300))  # a tree above FLAT members, and others in its group
+    base[:20, lines.FLAT :] = 0
+    high, low = lines._sketch(base << np.uint32(7))
+    agree = (base[:, -1:] == base).sum(axis=0)
+    a, b, strong = lines._value_links(np.zeros(count, np.uint32), np.arange(count), high, low, np.full(count, 50, np.uint32), 0.8)
+    found = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+    last = count - 1
+    assert lines.FLAT - 1 <= strong.sum() < lines.FLAT + 50 and {frozenset((i, last)) for i in np.flatnonzero((agree >= lines.AGREE) & (agree < lines.STRONG))} <= found
+
+
+def test_bounds_of_many_pairs_say_what_their_distance_says():
+    near = [*edited(7, 900), *edited(8, 900, letters="abcdefgh é漢😀", longest=400), *edited(9, 900, letters="abcdefghi é", longest=400)]
+    near += [("ab" * 500, "ab" * 450), ("", ""), ("", "a"), ("é", "e"), ("a" * 64, "a" * 64)]
+    for a, b in (zip(*near), zip(*(p[::-1] for p in near))):
+        a, b = list(a), list(b)
+        for similarity in (0.8, 0.9):
+            similar, sure = np.array([lines.similar(x, y, similarity) for x, y in zip(a, b)]), lines._surely_meet(a, b, similarity)
+            assert not (sure & ~similar).any() and sure.sum() > 300 and (lines._alike(a, b, similarity) == similar).all()
+    text = [t for p in near[:60] for t in p]
+    bounds = np.array([0, 1, 9, 10, 40, 120])
+    a, b = lines._similar_forests(text, bounds, 0.8)
+    for lo, hi in zip(bounds, bounds[1:]):
+        x, y = map(np.array, zip(*[(lo, lo), *((i, j) for i in range(lo, hi) for j in range(i + 1, hi) if lines.similar(text[i], text[j], 0.8))]))
+        own = (a >= lo) & (a < hi)
+        assert (lines._spanning(x, y, 120)[1] == lines._spanning(a[own], b[own], 120)[1]).all()
+
+
 @pytest.mark.parametrize("block,chunk_bytes", [(2, 3000), (4000, 2 << 20)])
 def test_line_dedup_in_pieces_and_passes(spark, block, chunk_bytes):
     """Cells, components and pairs cut by a tiny block give the links of one piece, and no shuffle setting is left changed."""
