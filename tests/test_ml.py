@@ -297,3 +297,15 @@ def test_stratified_sample_keeps_the_share(spark):
     counts = {r["etiqueta"]: r["count"] for r in picked.groupBy("etiqueta").count().collect()}
     assert counts == {0: 16, 1: 4}
     assert models.stratified_sample(df, "etiqueta", 500, ["unidad_id"]).count() == 100
+
+
+def test_fits_do_not_depend_on_the_layout_and_rows_are_scored_once(spark, matrix, monkeypatch):
+    specs = SPECS[3:]
+    monkeypatch.setattr(models, "FIT_ROWS", 50, raising=False)  # several tasks a fit
+    spread, whole = matrix.repartition(7, "gasto_28d_gtq"), matrix.coalesce(1)
+    (a, _), (b, _) = (models.cross_validate(x, specs, 3) for x in (spread, whole))
+    assert a.exceptAll(b).isEmpty() and a.count() == 120
+    # what leaves is a copy of the scores: no model stands in its plan any more
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "Relation" in plan
+    models.drops_per_fold(whole, specs[0], 3, repeats=1, oof=a)
