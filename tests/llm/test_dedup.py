@@ -376,6 +376,21 @@ def test_bounds_of_many_pairs_say_what_their_distance_says():
         assert (lines._spanning(x, y, 120)[1] == lines._spanning(a[own], b[own], 120)[1]).all()
 
 
+def test_unlike_members_of_a_group_cost_one_bound_and_cut_groups_meet_across(monkeypatch):
+    near = list(edited(11, 300, longest=300))
+    text = [t for p in near[:80] for t in p]
+    side = np.random.default_rng(2).integers(1, 3, len(text))
+    a, b = lines._similar_forests(text, np.array([0, len(text)]), 0.8, side)
+    x, y = map(np.array, zip(*[(0, 0), *((i, j) for i in range(160) for j in range(i + 1, 160) if side[i] != side[j] and lines.similar(text[i], text[j], 0.8))]))
+    assert (lines._spanning(x, y, 160)[1] == lines._spanning(a, b, 160)[1]).all() and (side[a] != side[b]).all()
+    tried, sure = [], lines._surely_meet
+    monkeypatch.setattr(lines, "_surely_meet", lambda a, b, s: tried.append(len(a)) or sure(a, b, s))
+    rng = np.random.default_rng(5)
+    unlike = ["".join(rng.permutation(list("the quick brown fox jumps over a lazy dog " * 4))) for _ in range(60)]
+    a, _ = lines._similar_forests(unlike, np.array([0, 60]), 0.8)
+    assert not len(a) and sum(tried) < 60 * 59 // 2 // 10
+
+
 @pytest.mark.parametrize("block,chunk_bytes", [(2, 3000), (4000, 2 << 20)])
 def test_line_dedup_in_pieces_and_passes(spark, block, chunk_bytes):
     """Cells, components and pairs cut by a tiny block give the links of one piece, and no shuffle setting is left changed."""
