@@ -402,6 +402,16 @@ def test_line_dedup_in_pieces_and_passes(spark, block, chunk_bytes):
     assert spark.conf.get(lines._CLEANUP) == before
 
 
+def test_band_values_go_before_the_lines_are_cut(spark):
+    from corredor.session import finished_folders, shared_dir
+
+    rows = [" ".join(prose(k // 2, 20, 900)) + ("" if k % 2 else " more") for k in range(8)]
+    before = finished_folders(spark, shared_dir(spark), "line-bands-")
+    cut = lines.remove_repeated_lines(frame(spark, list(enumerate(rows))), distance=None)
+    assert finished_folders(spark, shared_dir(spark), "line-bands-") == before
+    assert sum(r["n_removed"] for r in cut.collect()) == 4
+
+
 def test_lines_that_share_no_digits_stay(spark):
     texts = [(1, "1998 4417 23.5"), (2, "2021 8852 67.1"), (3, "1998 4417 23.6"), (4, "1998  4417 23.5")]
     got = lines.remove_repeated_lines(frame(spark, texts), distance=None).collect()
