@@ -391,6 +391,25 @@ def test_unlike_members_of_a_group_cost_one_bound_and_cut_groups_meet_across(mon
     assert not len(a) and sum(tried) < 60 * 59 // 2 // 10
 
 
+def test_chains_among_unlike_members_stay_whole():
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        text = ["".join(rng.choice(list("abcdefghij "), 120)) for _ in range(14)]
+        for k in (0, 1):
+            for _ in range(9):
+                step = list(text[-1] if _ else text[k])
+                for i in rng.choice(120, 14, replace=False):
+                    step[i] = "xyz"[int(rng.integers(3))]
+                text.append("".join(step))
+        text = [text[i] for i in rng.permutation(len(text))]
+        n = len(text)
+        for side in (np.zeros(n, dtype=int), rng.integers(1, 3, n)):
+            a, b = lines._similar_forests(text, np.array([0, n]), 0.8, side)
+            meet = [(i, j) for i in range(n) for j in range(i + 1, n) if (side[i] == 0 or side[i] != side[j]) and lines.similar(text[i], text[j], 0.8)]
+            x, y = map(np.array, zip((0, 0), *meet))
+            assert (lines._spanning(x, y, n)[1] == lines._spanning(a, b, n)[1]).all()
+
+
 @pytest.mark.parametrize("block,chunk_bytes", [(2, 3000), (4000, 2 << 20)])
 def test_line_dedup_in_pieces_and_passes(spark, block, chunk_bytes):
     """Cells, components and pairs cut by a tiny block give the links of one piece, and no shuffle setting is left changed."""
